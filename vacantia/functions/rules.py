@@ -37,9 +37,13 @@ def same_host(a: Column, b: Column) -> Column:
 
 def same_org(a: Column, b: Column) -> Column:
     """Same host, or same first label of two non-empty hosts ('acme.com' and 'acme.careers')."""
-    ha, hb = host(a), host(b)
+    return same_org_hosts(host(a), host(b))
+
+
+def same_org_hosts(a: Column, b: Column) -> Column:
+    """`same_org` of two hosts."""
     dot, one = F.lit("."), F.lit(1)
-    return (ha == hb) | ((ha != "") & (hb != "") & (F.split_part(ha, dot, one) == F.split_part(hb, dot, one)))
+    return (a == b) | ((a != "") & (b != "") & (F.split_part(a, dot, one) == F.split_part(b, dot, one)))
 
 
 def has_non_job_segment(p: Column) -> Column:

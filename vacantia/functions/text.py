@@ -101,16 +101,16 @@ def _decode_piece(p: Column, attribute: bool) -> Column:
     legacy_ok = legacy != ""
     if attribute:
         legacy_ok &= ~F.substr(p, F.length(legacy) + 1).rlike("^[=a-zA-Z0-9]")
-    return (
-        F.when(number != "", F.concat(_code_point(point), rest(number)))
-        .when(_lookup(_NAMED, name).isNotNull(), F.concat(_lookup(_NAMED, name), rest(name)))
-        .when(legacy_ok, F.concat(_lookup(_LEGACY, legacy), rest(legacy)))
-        .otherwise(F.concat(F.lit("&"), p))
+    return F.coalesce(
+        F.when(number != "", F.concat(_code_point(point), rest(number))),
+        F.when(name != "", F.concat(_lookup(_NAMED, name), rest(name))),
+        F.when(legacy_ok, F.concat(_lookup(_LEGACY, legacy), rest(legacy))),
+        F.concat(F.lit("&"), p),
     )
 
 
 def unescape(c: Column, attribute: bool = False) -> Column:
-    """Decode HTML character references.
+    """Decode HTML character references. Give it a plain column (see `bind`), as it reads it several times.
 
     Three tiers, cheapest first: no '&' at all, only common references (plain replaces), anything else
     (split at '&' and decode each piece). In an attribute, a reference without ';' that runs into a
@@ -119,11 +119,8 @@ def unescape(c: Column, attribute: bool = False) -> Column:
     common = c
     for ref, char in _COMMON:
         common = F.replace(common, F.lit(ref), F.lit(char))
-    pieces = F.split(c, "&")
-    every = F.concat(
-        F.get(pieces, F.lit(0)),
-        F.array_join(
-            F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: _decode_piece(p, attribute)), ""
-        ),
+    # Each piece but the first followed a '&'.
+    every = F.array_join(
+        F.transform(F.split(c, "&"), lambda p, i: F.when(i == 0, p).otherwise(_decode_piece(p, attribute))), ""
     )
     return F.when(~F.contains(c, F.lit("&")), c).when(~c.rlike(_NOT_COMMON), common).otherwise(every)

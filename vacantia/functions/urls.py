@@ -6,9 +6,10 @@ its tolerant form returns null for hosts with '_' and paths with spaces, both of
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.functions.bind import bind
 from vacantia.functions.text import not_blank, strip
 
 _SCHEME = "[a-zA-Z][a-zA-Z0-9+.-]*"
@@ -71,38 +72,58 @@ def _resolve_dots(p: Column) -> Column:
     return F.array_join(kept, "/")
 
 
-def absolutize(base: Column, href: Column) -> Column:
-    """Join `href` to `base`, with `base` always taken as a folder (a '/' is added at its end).
+def base_parts(base: Column) -> Column:
+    """What a join needs of its base, taken as a folder: a '/' is added at its end.
 
-    The added slash lands in the query when the base has one. Relative paths lose empty inner segments,
-    root-relative ones keep them.
+    The added slash lands in the query when the base has one. Compute it once per page, not per link.
     """
     b = F.when(base.endswith("/"), base).otherwise(F.concat(base, F.lit("/")))
-    b_scheme = F.lower(F.regexp_extract(b, f"^({_SCHEME}):", 1))
-    origin = F.concat(b_scheme, F.lit("://"), F.regexp_extract(b, _NETLOC, 1))
+    scheme = F.lower(F.regexp_extract(b, f"^({_SCHEME}):", 1))
     b_path = F.regexp_extract(b, _PATH, 1)
+    return F.struct(
+        b.alias("url"),
+        scheme.alias("scheme"),
+        F.concat(scheme, F.lit("://"), F.regexp_extract(b, _NETLOC, 1)).alias("origin"),
+        b_path.alias("path"),
+        F.regexp_extract(b_path, "(?s)^(?:.*/)?", 0).alias("folder"),
+        F.regexp_extract(b, r"(?s)^[^?#]*(\?[^#]+)", 1).alias("query"),
+    )
+
 
-    h = F.translate(href, "\t\r\n", "")
-    scheme = F.lower(F.regexp_extract(h, f"^({_SCHEME}):", 1))
-    rest = F.when(scheme == "", h).otherwise(F.substr(h, F.length(scheme) + 2))
-    rest = F.when(rest.rlike("^//(?:[/?#]|$)"), F.substr(rest, F.lit(3))).otherwise(rest)
-    h_path = F.regexp_extract(rest, "(?s)^[^?#]*", 0)
-    query = F.regexp_extract(rest, r"(?s)^[^?#]*(\?[^#]+)", 1)
-    b_query = F.regexp_extract(b, r"(?s)^[^?#]*(\?[^#]+)", 1)
-    fragment = F.regexp_extract(rest, "(?s)^[^#]*(#.+)", 1)
-
-    folder = F.regexp_extract(b_path, "(?s)^(?:.*/)?", 0)
-    merged = F.when(h_path.startswith("/"), h_path).otherwise(F.regexp_replace(F.concat(folder, h_path), "/{2,}", "/"))
-    merged = F.when(merged.rlike(r"(?:^|/)\.\.?(?:/|$)"), _resolve_dots(merged)).otherwise(merged)
-    merged = F.when(merged.startswith("/"), merged).otherwise(F.concat(F.lit("/"), merged))
-
-    return (
-        F.when(href == "", b)
-        .when((scheme != "") & (scheme != b_scheme), href)
+def with_absolute(df: DataFrame, out: str, base: str, href: str) -> DataFrame:
+    """Add `out`: the address `href` joined to `base`.
+
+    `base` names a text column or a `base_parts` column. Relative paths lose empty inner segments, root-relative
+    ones keep them. An address with another scheme than the base is returned as it is.
+    """
+    columns = df.columns
+    if dict(df.dtypes)[base] == "string":
+        df = bind(df, _base=base_parts(F.col(base)))
+        base = "_base"
+    b, h = F.col(base), F.translate(href, "\t\r\n", "")
+    df = bind(df, _scheme=F.lower(F.regexp_extract(h, f"^({_SCHEME}):", 1)), _rest=h)
+    scheme, rest = F.col("_scheme"), F.col("_rest")
+    after = F.when(scheme == "", rest).otherwise(F.substr(rest, F.length(scheme) + 2))
+    df = bind(df, _rest=after)
+    # An empty host after '//' is no host.
+    df = bind(df, _rest=F.when(rest.rlike("^//(?:[/?#]|$)"), F.substr(rest, F.lit(3))).otherwise(rest))
+    df = bind(df, _path=F.regexp_extract(rest, "(?s)^[^?#]*", 0), _tail=F.regexp_extract(rest, r"(?s)^[^?#]*(.*)$", 1))
+    h_path, tail = F.col("_path"), F.col("_tail")
+    # A '?' or '#' with nothing behind it disappears.
+    query = F.regexp_extract(tail, r"(?s)^(\?[^#]+)", 1)
+    fragment = F.regexp_extract(tail, "(?s)^[^#]*(#.+)", 1)
+    merged = F.when(h_path.startswith("/"), h_path).otherwise(F.regexp_replace(F.concat(b["folder"], h_path), "/{2,}", "/"))
+    df = bind(df, _merged=merged, _query=query, _tail=F.concat(query, fragment), _fragment=fragment)
+    merged, tail = F.col("_merged"), F.col("_tail")
+    df = bind(df, _merged=F.when(merged.rlike(r"(?:^|/)\.\.?(?:/|$)"), _resolve_dots(merged)).otherwise(merged))
+    joined = (
+        F.when(F.col(href) == "", b["url"])
+        .when((scheme != "") & (scheme != b["scheme"]), F.col(href))
+        .when(rest.startswith("//"), F.concat(b["scheme"], F.lit(":"), h_path, tail))
         .when(
-            rest.startswith("//"),
-            F.concat(b_scheme, F.lit(":"), F.regexp_extract(rest, "(?s)^[^?#]*", 0), query, fragment),
+            h_path == "",
+            F.concat(b["origin"], b["path"], F.when(F.col("_query") == "", b["query"]).otherwise(F.col("_query")), F.col("_fragment")),
         )
-        .when(h_path == "", F.concat(origin, b_path, F.when(query == "", b_query).otherwise(query), fragment))
-        .otherwise(F.concat(origin, merged, query, fragment))
+        .otherwise(F.concat(b["origin"], F.when(merged.startswith("/"), "").otherwise("/"), merged, tail))
     )
+    return bind(df, **{out: joined}).select(*[c for c in columns if c != out], out)

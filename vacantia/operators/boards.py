@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import variants as J
 from vacantia.functions import vocabulary as V
+from vacantia.functions.bind import bind
 from vacantia.schemas import job
 
 VENDORS = {"greenhouse": V.GREENHOUSE_API, "lever": V.LEVER_API, "ashby": V.ASHBY_API}
@@ -79,17 +80,11 @@ def _parse(payloads: DataFrame, vendor: str) -> DataFrame:
         # Only a literal false hides an entry.
         entries = F.filter(entries, lambda e: F.coalesce(J.raw(J.field(e["_raw"], "isListed")) != "false", F.lit(True)))
     entries = F.transform(entries, lambda e: F.struct(e["board_pos"], e["job"]))
-    head = V.GREENHOUSE_API[0] if vendor == "greenhouse" else VENDORS[vendor][0]
-    return (
-        payloads.where(F.col("request_url").startswith(head))
-        .withColumn("_root", F.when((F.col("status") == 200) & F.col("error").isNull(), J.parse(body)))
-        .withColumn("_jobs", listed)
-        .withColumn("fault", fault)
-        .select(
-            "request_url", "fetched_at", "fault",
-            F.when(F.col("fault").isNull(), entries).alias("jobs"),
-        )
-    )
+    readable = (F.col("status") == 200) & F.col("error").isNull()
+    ours = payloads.where(F.col("request_url").startswith(VENDORS[vendor][0]))
+    ours = bind(ours, _root=F.when(readable, J.parse(body)))
+    ours = bind(ours, _jobs=listed)
+    return bind(ours, fault=fault).select("request_url", "fetched_at", "fault", F.when(F.col("fault").isNull(), entries).alias("jobs"))
 
 
 def board_payloads(responses: DataFrame) -> DataFrame:

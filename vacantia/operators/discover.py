@@ -93,16 +93,24 @@ def visited_pages(careers: DataFrame, latest: DataFrame, parts: DataFrame, facts
     """
     ok = F.col("error").isNull() & ((F.col("status") == 200) if render == "http" else F.lit(True))
     texts = parts.where(F.col("render") == render).select("request_url", "fetched_at", "page_url", "has_text")
-    pages = (
+    captured = (
         latest.where(F.col("render") == render)
         .select("request_url", "fetched_at", ok.alias("_ok"))
         .join(texts, ["request_url", "fetched_at"], "left")
         .select(
-            F.col("request_url").alias("wanted_url"), "request_url", "fetched_at",
-            F.when(F.col("_ok"), F.col("page_url")).alias("page_url"),
+            "request_url", "fetched_at", F.when(F.col("_ok"), F.col("page_url")).alias("page_url"),
             (F.coalesce("_ok", F.lit(False)) & F.coalesce("has_text", F.lit(False))).alias("has_text"),
         )
     )
+    # A redirected capture also answers for the address it ended at, unless that has a capture of its own.
+    alias = F.when(F.col("page_url") != F.col("request_url"), F.col("page_url"))
+    pages = (
+        captured.select("*", F.posexplode(F.array("request_url", alias)).alias("_rank", "wanted_url"))
+        .where("wanted_url IS NOT NULL")
+        .groupBy("wanted_url")
+        .agg(F.min_by(F.struct(*captured.columns), F.struct("_rank", "request_url")).alias("p"))
+        .select("wanted_url", "p.*")
+    )
     landing = careers.select("careers_url", F.lit(0).alias("page_rank"), F.col("careers_url").alias("wanted_url")).join(
         pages, "wanted_url", "left"
     )

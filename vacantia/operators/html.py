@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import rules as R
 from vacantia.functions import vocabulary as V
+from vacantia.functions.bind import bind
 from vacantia.functions.text import WHITESPACE, collapse, empty_to_null, not_blank, strip, unescape
 from vacantia.functions.urls import strip_fragment
 
@@ -30,11 +31,11 @@ _MAY_HOLD_POSTING = r"(?i)JobPosting|\\u00|" + "|".join(V.JOB_HINT_KEYS)
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of the start tag at the head of `tag`, decoded; '' if absent or empty."""
+    """Value of an attribute of the start tag at the head of `tag`, not decoded; '' if absent or empty."""
     other = rf"""(?:[\s/]+|(?<=["']))(?!{name}[\s=/>])[^\s/>=]++(?:\s*+=\s*+{_VALUE.replace('(', '(?:', 1)}?)?+"""
     value = F.regexp_extract(tag, rf"""(?is)^<[a-z]+(?:{other})*+(?:[\s/]+|(?<=["'])){name}\s*+=\s*+{_VALUE}""", 1)
-    bare = F.when(value.rlike("^[\"']"), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-    return unescape(bare, attribute=True)
+    # Quotes in a value not written with quotes are rare and not paired, so pairs can be cut off by pattern.
+    return F.regexp_replace(value, "(?s)^([\"'])(.*)\\1$", "$2")
 
 
 def anchor_blocks(html: Column) -> Column:
@@ -47,17 +48,22 @@ def script_blocks(html: Column) -> Column:
     return F.filter(F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(0)), lambda s: ~s.startswith("<!"))
 
 
+def _tagged(tokens: Column, tag: list[Column]) -> Column:
+    return F.transform(tokens, lambda t: F.struct(*tag, t.alias("token")))
+
+
 def board_tokens(html: Column) -> Column:
     """ARRAY<STRUCT<vendor_rank, vendor, token>> of the hiring boards named in a page, each once."""
     found = []
-    for rank, (vendor, pattern) in enumerate(
-        [("greenhouse", V.GREENHOUSE_IN_TEXT), ("lever", V.LEVER_IN_TEXT), ("ashby", V.ASHBY_IN_URL)]
-    ):
+    patterns = {"greenhouse": V.GREENHOUSE_IN_TEXT, "lever": V.LEVER_IN_TEXT, "ashby": V.ASHBY_IN_URL}
+    for rank, (vendor, pattern) in enumerate(patterns.items()):
         tokens = F.array_distinct(F.regexp_extract_all(html, F.lit("(?i)" + pattern), F.lit(1)))
         # The token pattern has no dot, so no file name ('.js', '.css', '.png') can be among them.
-        keep = lambda t, v=vendor: (F.length(t) >= 2) & (~F.lower(t).isin(V.ASHBY_RESERVED) if v == "ashby" else F.lit(True))
-        tokens = F.filter(tokens, keep)
-        found.append(F.transform(tokens, lambda t, r=rank, v=vendor: F.struct(F.lit(r).alias("vendor_rank"), F.lit(v).alias("vendor"), t.alias("token"))))
+        tokens = F.filter(tokens, lambda t: F.length(t) >= 2)
+        if vendor == "ashby":
+            tokens = F.filter(tokens, lambda t: ~F.lower(t).isin(V.ASHBY_RESERVED))
+        tag = [F.lit(rank).alias("vendor_rank"), F.lit(vendor).alias("vendor")]
+        found.append(_tagged(tokens, tag))
     return F.concat(*found)
 
 
@@ -67,53 +73,47 @@ def page_parts(pages: DataFrame) -> DataFrame:
     Map-only: one scan of the archive, no shuffle. Input columns: request_url, render, fetched_at,
     final_url, body.
     """
-    body = F.col("body")
+    body, no_boards = F.col("body"), F.array().cast("array<struct<vendor_rank:int,vendor:string,token:string>>")
     page_url = strip_fragment(F.coalesce(empty_to_null(F.col("final_url")), F.col("request_url")))
-    # A pattern without ATS names has no board tokens either: one scan of the body decides both.
-    return (
-        pages.withColumn("has_ats_text", R.matches(body, V.ATS_HOST))
-        .select(
-            "request_url", "render", "fetched_at",
-            page_url.alias("page_url"),
-            not_blank(body).alias("has_text"),
-            "has_ats_text",
-            anchor_blocks(body).alias("anchors"),
-            F.filter(script_blocks(body), lambda s: s.rlike(_MAY_HOLD_POSTING)).alias("scripts"),
-            F.when(F.col("has_ats_text"), board_tokens(body)).otherwise(F.array().cast("array<struct<vendor_rank:int,vendor:string,token:string>>")).alias("boards"),
-        )
+    # A page without a board host's name has no board tokens either: one scan of the body decides both.
+    has_ats_text = R.matches(body, V.ATS_HOST)
+    return bind(pages, has_ats_text=has_ats_text).select(
+        "request_url", "render", "fetched_at",
+        page_url.alias("page_url"),
+        not_blank(body).alias("has_text"),
+        "has_ats_text",
+        anchor_blocks(body).alias("anchors"),
+        F.filter(script_blocks(body), lambda s: s.rlike(_MAY_HOLD_POSTING)).alias("scripts"),
+        F.when(F.col("has_ats_text"), board_tokens(body)).otherwise(no_boards).alias("boards"),
     )
 
 
 def explode_anchors(df: DataFrame, blocks: str = "anchors") -> DataFrame:
     """One row per anchor: pos, href, text, aria_label, title_attr, label. Other columns are kept."""
     keep = [c for c in df.columns if c != blocks]
-    inner = F.regexp_replace(F.regexp_replace("block", rf"(?is)^<a{_ATTRS}>", ""), _TAG, _CUT)
-    ws = WHITESPACE + _CUT
-    return (
-        df.select(*keep, F.posexplode(blocks).alias("pos", "block"))
-        .withColumn("_inner", unescape(inner))
-        .select(
-            *keep,
-            "pos",
-            strip(attribute(F.col("block"), "href")).alias("href"),
-            collapse(F.replace("_inner", F.lit(_CUT), F.lit(""))).alias("text"),
-            strip(attribute(F.col("block"), "aria-label")).alias("aria_label"),
-            strip(attribute(F.col("block"), "title")).alias("title_attr"),
-            # Text of each child stripped, joined with one space.
-            F.trim(F.regexp_replace("_inner", f"[{WHITESPACE}]*+{_CUT}[{ws}]*+", " "), F.lit(WHITESPACE)).alias("_child_text"),
-        )
-        .withColumn("label", F.concat_ws(" ", *[empty_to_null(F.col(c)) for c in ("aria_label", "title_attr", "_child_text")]))
-        .drop("_child_text")
+    block = F.col("_block")
+    rows = df.select(*keep, F.posexplode(blocks).alias("pos", "_block"))
+    # Attribute values are decoded together, cut apart by a character that cannot be typed into a page.
+    attrs = F.concat_ws(_CUT, attribute(block, "href"), attribute(block, "aria-label"), attribute(block, "title"))
+    inner = F.regexp_replace(F.regexp_replace(block, rf"(?is)^<a{_ATTRS}>", ""), _TAG, _CUT)
+    rows = bind(rows, _attrs=attrs, _inner=inner)
+    rows = bind(rows, _attrs=unescape(F.col("_attrs"), attribute=True), _inner=unescape(F.col("_inner")))
+    inner, attr = F.col("_inner"), lambda i: strip(F.split_part("_attrs", F.lit(_CUT), F.lit(i)))
+    cut = F.contains(inner, F.lit(_CUT))
+    # Text of each child stripped, joined with one space.
+    children = F.when(cut, F.regexp_replace(inner, f"[{WHITESPACE}]*+{_CUT}[{WHITESPACE}{_CUT}]*+", " ")).otherwise(inner)
+    rows = bind(
+        rows, href=attr(1), aria_label=attr(2), title_attr=attr(3),
+        text=collapse(F.replace(inner, F.lit(_CUT), F.lit(""))), _children=strip(children),
     )
+    label = F.concat_ws(" ", *[empty_to_null(F.col(c)) for c in ("aria_label", "title_attr", "_children")])
+    return rows.select(*keep, "pos", "href", "text", "aria_label", "title_attr", label.alias("label"))
 
 
 def explode_scripts(df: DataFrame, blocks: str = "scripts") -> DataFrame:
     """One row per script element: pos, id_lc, type_lc, body. Other columns are kept."""
     keep = [c for c in df.columns if c != blocks]
-    return df.select(*keep, F.posexplode(blocks).alias("pos", "block")).select(
-        *keep,
-        "pos",
-        F.lower(attribute(F.col("block"), "id")).alias("id_lc"),
-        F.lower(attribute(F.col("block"), "type")).alias("type_lc"),
-        F.regexp_extract("block", rf"(?is)^<script{_ATTRS}>(.*?)(?:</script\s*>)?\z", 1).alias("body"),
-    )
+    rows = df.select(*keep, F.posexplode(blocks).alias("pos", "_block"))
+    name = lambda n: F.lower(attribute(F.col("_block"), n))
+    body = F.regexp_replace("_block", rf"(?is)^<script{_ATTRS}>|</script\s*>$", "")
+    return bind(rows, id_lc=name("id"), type_lc=name("type"), body=body).drop("_block")

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import rules as R
 from vacantia.functions import vocabulary as V
-from vacantia.functions.urls import absolutize, path, strip_fragment
+from vacantia.functions.bind import bind
+from vacantia.functions.urls import base_parts, host, path, strip_fragment, with_absolute
 from vacantia.operators.html import explode_anchors
 from vacantia.operators.scripts import RANK_LINK
 from vacantia.schemas import job
 
 
-def link_targets(anchors: DataFrame) -> DataFrame:
+def link_targets(anchors: DataFrame, base: str = "page_url") -> DataFrame:
     """Anchors with a usable address, plus `target`: absolute against the page, without fragment."""
-    return anchors.where(R.usable_href(F.col("href"))).withColumn(
-        "target", strip_fragment(absolutize(F.col("page_url"), F.col("href")))
-    )
+    usable = anchors.where(R.usable_href(F.col("href")))
+    return with_absolute(usable, "target", base, "href").withColumn("target", strip_fragment(F.col("target")))
 
 
 def link_facts(parts: DataFrame, same_site_only: bool = True) -> DataFrame:
@@ -26,44 +26,45 @@ def link_facts(parts: DataFrame, same_site_only: bool = True) -> DataFrame:
     root_tier/root_score/root_target: candidate for the careers page when the page is a site root (1 = hiring
     board named in the page, 3 = careers-like navigation). hub_score: lead to the list of roles. is_job: one role.
     """
+    # Once per page: join base and host. A site root is judged by its own address, even if it was redirected.
     is_root = F.col("request_url").rlike("^https?://[^/?#]+$")
-    page, target, root_target = F.col("page_url"), F.col("target"), F.col("_root_target")
-    anchors = link_targets(explode_anchors(parts.drop("scripts", "boards", "has_text")))
-    # A site root is judged by its own address, even where the capture was redirected.
-    same_base = F.col("request_url") == page
-    root_full = F.when(is_root & same_base, target).when(
-        is_root, strip_fragment(absolutize(F.col("request_url"), F.col("href")))
+    moved = is_root & (F.col("request_url") != F.col("page_url"))
+    pages = bind(
+        parts.drop("scripts", "boards", "has_text"),
+        _page=base_parts(F.col("page_url")), _site=F.when(moved, base_parts(F.col("request_url"))), _is_root=is_root,
+        _page_host=host(F.col("page_url")),
+    )
+    anchors = link_targets(explode_anchors(pages), "_page")
+    anchors = with_absolute(
+        anchors.withColumn("_href", F.when(F.col("_site").isNotNull(), F.col("href"))), "_moved_target", "_site", "_href"
+    )
+    target, root_target = F.col("target"), F.col("root_target")
+    anchors = bind(
+        anchors,
+        root_target=F.when(F.col("_is_root"), F.coalesce(strip_fragment(F.col("_moved_target")), target)),
+        _ats=R.is_ats_url(target), _host=host(target), _low=F.lower(path(target)),
+    )
+    anchors = bind(
+        anchors,
+        _near=F.col("_ats") | R.same_org_hosts(F.col("_page_host"), F.col("_host")),
+        root_tier=F.when(F.col("has_ats_text") & R.is_ats_url(root_target), 1).when(R.is_careers_nav(root_target), 3),
     )
-    in_scope = F.col("_in_scope")
-    facts = (
-        anchors.withColumn("_root_target", root_full)
-        .withColumn("_in_scope", R.is_ats_url(target) | R.same_org(page, target))
-        .withColumn("_path", path(target))
-        .withColumn(
-            "root_tier",
-            F.when(F.col("has_ats_text") & R.is_ats_url(root_target), 1).when(R.is_careers_nav(root_target), 3),
-        )
-        .withColumn("root_score", F.when(F.col("root_tier").isNotNull(), R.careers_score(root_target, F.col("request_url"))))
-        .withColumn(
-            "hub_score",
-            F.when(in_scope & ~R.is_script_or_mail(F.col("href")), R.hub_score(F.col("_path"), F.col("label"))).otherwise(0),
-        )
-        .withColumn(
-            "is_job",
-            (in_scope if same_site_only else F.lit(True))
-            & F.length("text").between(1, V.MAX_LINK_TITLE)
-            & R.is_job_link(F.col("_path"), F.col("text")),
-        )
+    # Links to other sites end here, before the costly rules.
+    in_scope = F.col("_near") if same_site_only else F.lit(True)
+    anchors = anchors.where(in_scope | F.col("root_tier").isNotNull())
+    low, label = F.col("_low"), F.col("label")
+    anchors = bind(
+        anchors,
+        root_score=F.when(F.col("root_tier").isNotNull(), R.careers_score(root_target, F.col("request_url"))),
+        hub_score=F.when(F.col("_near") & ~R.is_script_or_mail(F.col("href")), R.hub_score(low, label)).otherwise(0),
+        is_job=in_scope & F.length("text").between(1, V.MAX_LINK_TITLE) & R.is_job_link(low, F.col("text")),
     )
     useful = F.coalesce(F.col("root_score") >= 0, F.lit(False))
-    return (
-        facts.where(useful | (F.col("hub_score") > 0) | F.col("is_job"))
-        .select(
-            "request_url", "render", "fetched_at", "page_url", "pos", "target", "text", "hub_score", "is_job",
-            F.when(useful, F.col("root_tier")).alias("root_tier"),
-            F.when(useful, F.col("root_score")).alias("root_score"),
-            F.when(useful, root_target).alias("root_target"),
-        )
+    return anchors.where(useful | (F.col("hub_score") > 0) | F.col("is_job")).select(
+        "request_url", "render", "fetched_at", "page_url", "pos", "target", "text", "hub_score", "is_job",
+        F.when(useful, F.col("root_tier")).alias("root_tier"),
+        F.when(useful, F.col("root_score")).alias("root_score"),
+        F.when(useful, root_target).alias("root_target"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import variants as J
 from vacantia.functions import vocabulary as V
+from vacantia.functions.bind import bind
 from vacantia.functions.text import unescape
 from vacantia.schemas import job
 
@@ -47,14 +48,13 @@ def listing_pages(responses: DataFrame) -> DataFrame:
         .when(listed.isNull() & J.truthy(postings), F.lit("listings: page data has no job list"))
         .when(F.exists(listed, lambda p: J.field(p, "title").isNull() & ~J.is_object(p)), F.lit("listings: broken entry in the job list"))
     )
+    address = F.col("request_url")
+    pages = responses.where((F.col("render") == "http") & address.startswith(prefix) & address.endswith(suffix))
+    pages = bind(pages, _payload=F.regexp_extract(F.coalesce("body", F.lit("")), 'data-page="([^"]+)"', 1))
+    pages = bind(pages, _root=J.parse(unescape(payload)))
+    pages = bind(pages, _listed=J.items(postings))
     return (
-        responses.where(
-            (F.col("render") == "http") & F.col("request_url").startswith(prefix) & F.col("request_url").endswith(suffix)
-        )
-        .withColumn("_payload", F.regexp_extract(F.coalesce("body", F.lit("")), 'data-page="([^"]+)"', 1))
-        .withColumn("_root", J.parse(unescape(payload)))
-        .withColumn("_listed", J.items(postings))
-        .withColumn("fault", fault)
+        bind(pages, fault=fault)
         .select("request_url", "fetched_at", "fault", F.when(F.col("fault").isNull(), F.transform(listed, _listing)).alias("jobs"))
         .groupBy("request_url")
         .agg(F.max_by(F.struct("fault", "jobs"), F.struct("fetched_at", "fault")).alias("p"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from vacantia.functions import variants as J
 from vacantia.functions import vocabulary as V
 from vacantia.functions.text import empty_to_null, not_blank, strip
-from vacantia.functions.urls import absolutize, strip_fragment
+from vacantia.functions.bind import bind
+from vacantia.functions.urls import strip_fragment, with_absolute
 from vacantia.operators.json_walk import json_objects
 from vacantia.schemas import job
 
@@ -17,12 +18,10 @@ RANK_BOARD, RANK_EMBEDDED, RANK_LINKED_DATA, RANK_LINK = range(4)
 
 def _objects(scripts: DataFrame, text: Column, linked: bool, limit: int = V.MAX_JSON_NODES) -> DataFrame:
     keep = [c for c in scripts.columns if c not in ("body", "id_lc", "type_lc")]
-    return (
-        scripts.select(*keep, json_objects(text, linked, limit).alias("objects"))
-        .select(*keep, F.posexplode("objects").alias("walk_pos", "object"))
-        .withColumn("v", F.try_parse_json("object"))
-        .drop("object")
+    objects = scripts.select(*keep, json_objects(text, linked, limit).alias("objects")).select(
+        *keep, F.posexplode("objects").alias("walk_pos", "object")
     )
+    return bind(objects, v=F.try_parse_json("object")).drop("object")
 
 
 def _is_http(text: Column) -> Column:
@@ -32,14 +31,9 @@ def _is_http(text: Column) -> Column:
 # --- JSON-LD ------------------------------------------------------------------------------------
 
 
-def _linked_url(url: Column, page_url: Column) -> Column:
+def _first_http(url: Column) -> Column:
     texts = F.transform(F.filter(J.items(url), J.is_text), J.text)
-    plain = strip(J.text(url))
-    return (
-        F.when(J.is_list(url), F.get(F.filter(texts, lambda t: t.startswith("http")), F.lit(0)))
-        .when(J.is_text(url) & plain.startswith("/"), absolutize(page_url, plain))
-        .when(J.is_text(url), strip_fragment(plain))
-    )
+    return F.get(F.filter(texts, lambda t: t.startswith("http")), F.lit(0))
 
 
 def _linked_location(loc: Column) -> Column:
@@ -68,22 +62,19 @@ def linked_data_postings(scripts: DataFrame) -> DataFrame:
         J.is_list(kind), F.exists(J.items(kind), lambda t: J.is_text(t) & (J.text(t) == "JobPosting"))
     ).otherwise(J.is_text(kind) & (J.text(kind) == "JobPosting"))
     found = _objects(chosen, strip(F.col("body")), linked=True).where(is_posting)
-    title = J.field(v, "title")
-    return (
-        found.where(J.truthy(title) & not_blank(J.text(title)))
-        .withColumn("_url", J.first_truthy(v, ["url", "sameAs"]))
-        .withColumn("_location", J.field(v, "jobLocation"))
-        .withColumn(
-            "job",
-            job(
-                source=F.lit("json_ld"),
-                title=strip(J.text(title)),
-                url=_linked_url(F.col("_url"), F.col("page_url")),
-                location=_linked_location(F.col("_location")),
-            ),
-        )
-        .withColumn("extractor", F.lit(RANK_LINKED_DATA))
-        .drop("v", "_url", "_location")
+    found = bind(
+        found,
+        _title=J.field(v, "title"), _url=J.first_truthy(v, ["url", "sameAs"]), _location=J.field(v, "jobLocation"),
+    )
+    title, url, keep = F.col("_title"), F.col("_url"), found.columns
+    found = bind(found, _url_text=F.when(J.is_text(url), strip(J.text(url))), _named=J.truthy(title) & not_blank(J.text(title)))
+    found = bind(found.where("_named"), _local=F.when(F.col("_url_text").startswith("/"), F.col("_url_text")))
+    found = with_absolute(found, "_joined", "page_url", "_local")
+    address = F.coalesce(F.col("_joined"), strip_fragment(F.col("_url_text")), _first_http(url))
+    return found.select(
+        *[c for c in keep if not c.startswith("_") and c != "v"],
+        F.lit(RANK_LINKED_DATA).alias("extractor"),
+        job(source=F.lit("json_ld"), title=strip(J.text(title)), url=address, location=_linked_location(F.col("_location"))).alias("job"),
     )
 
 
@@ -104,19 +95,6 @@ def embedded_scripts(scripts: DataFrame) -> DataFrame:
     )
 
 
-def _embedded_url(v: Column, page_url: Column) -> Column:
-    named = [F.when(J.is_text(J.field(v, k)) & _is_http(J.text(J.field(v, k))), J.text(J.field(v, k))) for k in V.EMBEDDED_URL_KEYS]
-    url = J.field(v, "url")
-    plain = F.when(J.is_text(url), J.text(url))
-    marked = F.lower(plain).rlike("|".join(V.EMBEDDED_URL_MARKERS))
-    return F.coalesce(
-        empty_to_null(strip_fragment(strip(F.coalesce(*named)))),
-        F.when(_is_http(plain) & marked, strip_fragment(strip(plain)))
-        .when(_is_http(plain), None)
-        .when(strip(plain).startswith("/"), empty_to_null(strip_fragment(absolutize(page_url, strip(plain))))),
-    )
-
-
 def _embedded_location(loc: Column) -> Column:
     named = J.first_truthy(loc, ["name", "title"])
     addr = J.field(loc, "address")
@@ -132,26 +110,37 @@ def embedded_postings(scripts: DataFrame, limit: int = V.MAX_JSON_NODES) -> Data
     hints = r"(?i)\\u00|" + "|".join(V.JOB_HINT_KEYS)
     chosen = embedded_scripts(scripts).where(F.col("body").rlike(hints)).withColumnRenamed("pos", "script_pos")
     v = F.col("v")
-    title = strip(J.text(F.col("_title")))
-    apply_url = F.col("_apply")
-    return (
-        _objects(chosen, F.col("body"), linked=False, limit=limit)
-        .withColumn("_title", J.first_truthy(v, V.EMBEDDED_TITLE_KEYS))
-        .where(J.is_text(F.col("_title")) & (F.length(title) >= 2) & ~F.lower(title).isin(V.EMBEDDED_TITLE_BLOCK))
-        .withColumn("_url", _embedded_url(v, F.col("page_url")))
-        .where("_url IS NOT NULL")
-        .withColumn("_location", J.first_truthy(v, ["location", "jobLocation"]))
-        .withColumn("_apply", J.first_truthy(v, ["applyUrl", "apply_url"]))
-        .withColumn(
-            "job",
-            job(
-                source=F.lit("embedded_json"),
-                title=title,
-                url=F.col("_url"),
-                location=_embedded_location(F.col("_location")),
-                apply_url=F.when(J.is_text(apply_url) & _is_http(J.text(apply_url)), strip_fragment(strip(J.text(apply_url)))),
-            ),
-        )
-        .withColumn("extractor", F.lit(RANK_EMBEDDED))
-        .drop("v", "_title", "_url", "_location", "_apply")
+    found = bind(_objects(chosen, F.col("body"), linked=False, limit=limit), _title=J.first_truthy(v, V.EMBEDDED_TITLE_KEYS))
+    title = F.col("_title")
+    found = bind(found.where(J.is_text(title)), _title=strip(J.text(title)))
+    found = found.where((F.length(title) >= 2) & ~F.lower(title).isin(V.EMBEDDED_TITLE_BLOCK))
+
+    text_of = lambda name: F.when(J.is_text(J.field(v, name)), J.text(J.field(v, name)))
+    http_text = lambda name: F.regexp_extract(strip(text_of(name)), "(?s)^http.*", 0)
+    named = F.coalesce(*[empty_to_null(http_text(k)) for k in V.EMBEDDED_URL_KEYS])
+    found = bind(
+        found,
+        _named=empty_to_null(strip_fragment(named)), _plain=text_of("url"),
+        _location=J.first_truthy(v, ["location", "jobLocation"]), _apply=J.first_truthy(v, ["applyUrl", "apply_url"]),
+    )
+    plain, apply_url = F.col("_plain"), F.col("_apply")
+    marked = F.lower(plain).rlike("|".join(V.EMBEDDED_URL_MARKERS))
+    found = bind(
+        found,
+        _marked=F.when(_is_http(plain) & marked, strip_fragment(strip(plain))),
+        _local=F.when(F.col("_named").isNull() & strip(plain).startswith("/"), strip(plain)),
+    )
+    found = with_absolute(found, "_joined", "page_url", "_local")
+    found = bind(found, _address=F.coalesce("_named", "_marked", empty_to_null(strip_fragment(F.col("_joined"))))).where("_address IS NOT NULL")
+    return found.select(
+        *[c for c in chosen.columns if c not in ("body", "id_lc", "type_lc")],
+        "walk_pos",
+        F.lit(RANK_EMBEDDED).alias("extractor"),
+        job(
+            source=F.lit("embedded_json"),
+            title=title,
+            url=F.col("_address"),
+            location=_embedded_location(F.col("_location")),
+            apply_url=F.when(J.is_text(apply_url) & _is_http(J.text(apply_url)), strip_fragment(strip(J.text(apply_url)))),
+        ).alias("job"),
     )

@@ -35,9 +35,10 @@ def crawl_frontier(run: Collection, include_listings: bool = False) -> DataFrame
     wanted = wanted.unionByName(row(run.direct, "board", "request_url"))
     for n, p in enumerate(run.passes):
         render = "browser" if n or run.first_render == "browser" else "http"
+        missing = p.visits.where("request_url IS NULL")
         wanted = (
-            wanted.unionByName(row(p.visits.where("page_rank = 0"), "careers", "wanted_url", render))
-            .unionByName(row(p.visits.where("page_rank > 0"), "hub", "wanted_url", render))
+            wanted.unionByName(row(missing.where("page_rank = 0"), "careers", "wanted_url", render))
+            .unionByName(row(missing.where("page_rank > 0"), "hub", "wanted_url", render))
             .unionByName(row(p.boards, "board", "request_url"))
         )
     if include_listings:
