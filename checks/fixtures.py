@@ -59,7 +59,7 @@ def text(template: str) -> Column:
 
 def sql_text(template: str) -> str:
     """The same template as a DuckDB expression."""
-    return "concat(" + ", ".join(_pieces(template)) + ")"
+    return "concat('', " + ", ".join(_pieces(template) or ["''"]) + ")"
 
 
 def _pieces(template: str) -> list[str]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -44,83 +43,76 @@ _COMMON = (
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&#x27;", "'"),
+    ("&#39;", "\\'"),
+    ("&#x27;", "\\'"),
     ("&#34;", '"'),
     ("&#x2F;", "/"),
-    ("&nbsp;", " "),
+    ("&nbsp;", "\u00a0"),
     ("&amp;", "&"),
 )
 _NOT_COMMON = "&(?!(?:amp|lt|gt|quot|nbsp|#39|#x27|#34|#x2F);)(?:#[0-9xX]|[a-zA-Z])"
 
-# The HTML standard's tables, taken from the Python library.
-_NAMED = json.dumps({k: v for k, v in html5.items() if k.endswith(";")}, ensure_ascii=False)
-_LEGACY = json.dumps({k: v for k, v in html5.items() if not k.endswith(";")}, ensure_ascii=False)
-_LEGACY_NAME = "^(?:" + "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True)) + ")"
+# The HTML standard's tables, taken from the Python library. As one text each: '\x02' name '\x03' characters.
+_NAMED = {k: v for k, v in html5.items() if k.endswith(";")}
+_LEGACY = {k: v for k, v in html5.items() if not k.endswith(";")}
+_LEGACY_NAME = "^(?:" + "|".join(sorted(_LEGACY, key=len, reverse=True)) + ")"
 # Numbers 128-159 mean the Windows code page.
-_WINDOWS = json.dumps(
-    {str(i): bytes([i]).decode("cp1252") for i in range(0x80, 0xA0) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)},
-    ensure_ascii=False,
-)
+_WINDOWS = {str(i): bytes([i]).decode("cp1252") for i in range(0x80, 0xA0) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
-def _lookup(table: str, key: Column) -> Column:
-    # A constant JSON text folds into one map literal, far smaller than a map built of 2,000 literals.
-    return F.try_element_at(F.from_json(F.lit(table), "map<string,string>"), key)
+def _lookup(table: dict[str, str], key: str) -> str:
+    """SQL: entry of a table, null if there is none. A text literal costs the optimizer nothing, a map literal much."""
+    escapes = str.maketrans({"\\": "\\\\", "'": "\\'"})
+    rows = "".join(f"\x02{k}\x03{v.translate(escapes)}" for k, v in table.items()) + "\x02"
+    mark = f"concat('\x02', {key}, '\x03')"
+    return f"CASE WHEN contains('{rows}', {mark}) THEN substring_index(substring_index('{rows}', {mark}, -1), '\x02', 1) END"
 
 
-def _code_point(n: Column) -> Column:
-    """Character for a code point given as BIGINT."""
-    illegal = (
-        n.between(0x1, 0x8) | n.between(0xE, 0x1F) | n.between(0x7F, 0x9F) | n.between(0xFDD0, 0xFDEF)
-        | (n == 0xB) | ((n >= 0xFFFE) & (F.pmod(n, F.lit(0x10000)) >= 0xFFFE))
-    )
-    return (
-        F.when(n.between(0x80, 0x9F), F.coalesce(_lookup(_WINDOWS, n.cast("string")), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
-        .when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("�"))
-        .when(illegal, F.lit(""))
-        .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
-    )
+_CHAR = "decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32')"
+# Character of a code point n. Code points that no page may hold vanish.
+_CODE_POINT = f"""CASE
+  WHEN n BETWEEN 128 AND 159 THEN coalesce({_lookup(_WINDOWS, "CAST(n AS STRING)")}, {_CHAR})
+  WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN '\ufffd'
+  WHEN n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR (n >= 65534 AND n % 65536 >= 65534) THEN ''
+  ELSE {_CHAR} END"""
+# Code point of a numeric reference r; anything too long is out of range.
+_NUMBER = """CASE
+  WHEN r RLIKE '^#[xX]0*[0-9a-fA-F]{7}' OR r RLIKE '^#0*[0-9]{8}' THEN 1114112L
+  WHEN r RLIKE '^#[xX]' THEN CAST(conv(regexp_extract(r, '^#[xX]([0-9a-fA-F]+)', 1), 16, 10) AS BIGINT)
+  ELSE CAST(regexp_extract(r, '^#([0-9]+)', 1) AS BIGINT) END"""
 
 
-def _decode_piece(p: Column, attribute: bool) -> Column:
-    """Text after one '&', with the reference it starts with (if any) decoded."""
-    number = F.regexp_extract(p, "^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
-    hexa = F.ltrim(F.regexp_extract(number, "^#[xX]([0-9a-fA-F]+)", 1), F.lit("0"))
-    deci = F.ltrim(F.regexp_extract(number, "^#([0-9]+)", 1), F.lit("0"))
-    is_hex = number.rlike("^#[xX]")
-    point = (
-        F.when(is_hex & (F.length(hexa) > 6), F.lit(0x110000))
-        .when(is_hex, F.conv(F.concat(F.lit("0"), hexa), 16, 10).cast("bigint"))
-        .when(F.length(deci) > 9, F.lit(0x110000))
-        .otherwise(F.concat(F.lit("0"), deci).cast("bigint"))
-    )
-    name = F.regexp_extract(p, "^[a-zA-Z][a-zA-Z0-9]*;", 0)
-    legacy = F.regexp_extract(p, _LEGACY_NAME, 0)
-    rest = lambda head: F.substr(p, F.length(head) + 1)
-    legacy_ok = legacy != ""
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _decode_piece(attribute: bool) -> str:
+    """SQL: text p after one '&', with the reference it starts with (if any) decoded."""
+    rest = "substr(p, length(r) + 1)"
+    number = _let("r", "regexp_extract(p, '^#(?:[xX][0-9a-fA-F]+|[0-9]+);?', 0)", f"concat({_let('n', _NUMBER, _CODE_POINT)}, {rest})")
+    named = _let("r", "regexp_extract(p, '^[a-zA-Z][a-zA-Z0-9]*;', 0)", f"concat({_lookup(_NAMED, 'r')}, {rest})")
+    legacy = f"concat({_lookup(_LEGACY, 'r')}, {rest})"
     if attribute:
-        legacy_ok &= ~F.substr(p, F.length(legacy) + 1).rlike("^[=a-zA-Z0-9]")
-    return F.coalesce(
-        F.when(number != "", F.concat(_code_point(point), rest(number))),
-        F.when(name != "", F.concat(_lookup(_NAMED, name), rest(name))),
-        F.when(legacy_ok, F.concat(_lookup(_LEGACY, legacy), rest(legacy))),
-        F.concat(F.lit("&"), p),
+        legacy = f"CASE WHEN NOT {rest} RLIKE '^[=a-zA-Z0-9]' THEN {legacy} END"
+    legacy = _let("r", f"regexp_extract(p, '{_LEGACY_NAME}', 0)", legacy)
+    return (
+        f"CASE WHEN p RLIKE '^#(?:[xX][0-9a-fA-F]|[0-9])' THEN {number} "
+        f"WHEN p RLIKE '^[a-zA-Z]' THEN coalesce({named}, {legacy}, concat('&', p)) ELSE concat('&', p) END"
     )
 
 
-def unescape(c: Column, attribute: bool = False) -> Column:
-    """Decode HTML character references. Give it a plain column (see `bind`), as it reads it several times.
+def unescape(column: str, attribute: bool = False) -> Column:
+    """Decode the HTML character references of a text column.
 
     Three tiers, cheapest first: no '&' at all, only common references (plain replaces), anything else
     (split at '&' and decode each piece). In an attribute, a reference without ';' that runs into a
     letter, digit or '=' is left alone, so query strings such as '?a=1&copy=2' survive.
     """
-    common = c
+    common = column
     for ref, char in _COMMON:
-        common = F.replace(common, F.lit(ref), F.lit(char))
+        common = f"replace({common}, '{ref}', '{char}')"
     # Each piece but the first followed a '&'.
-    every = F.array_join(
-        F.transform(F.split(c, "&"), lambda p, i: F.when(i == 0, p).otherwise(_decode_piece(p, attribute))), ""
+    every = f"array_join(transform(split({column}, '&'), (p, i) -> CASE WHEN i = 0 THEN p ELSE {_decode_piece(attribute)} END), '')"
+    return F.expr(
+        f"CASE WHEN NOT contains({column}, '&') THEN {column} WHEN NOT {column} RLIKE '{_NOT_COMMON}' THEN {common} ELSE {every} END"
     )
-    return F.when(~F.contains(c, F.lit("&")), c).when(~c.rlike(_NOT_COMMON), common).otherwise(every)

@@ -97,7 +97,7 @@ def explode_anchors(df: DataFrame, blocks: str = "anchors") -> DataFrame:
     attrs = F.concat_ws(_CUT, attribute(block, "href"), attribute(block, "aria-label"), attribute(block, "title"))
     inner = F.regexp_replace(F.regexp_replace(block, rf"(?is)^<a{_ATTRS}>", ""), _TAG, _CUT)
     rows = bind(rows, _attrs=attrs, _inner=inner)
-    rows = bind(rows, _attrs=unescape(F.col("_attrs"), attribute=True), _inner=unescape(F.col("_inner")))
+    rows = bind(rows, _attrs=unescape("_attrs", attribute=True), _inner=unescape("_inner"))
     inner, attr = F.col("_inner"), lambda i: strip(F.split_part("_attrs", F.lit(_CUT), F.lit(i)))
     cut = F.contains(inner, F.lit(_CUT))
     # Text of each child stripped, joined with one space.

@@ -51,7 +51,7 @@ def listing_pages(responses: DataFrame) -> DataFrame:
     address = F.col("request_url")
     pages = responses.where((F.col("render") == "http") & address.startswith(prefix) & address.endswith(suffix))
     pages = bind(pages, _payload=F.regexp_extract(F.coalesce("body", F.lit("")), 'data-page="([^"]+)"', 1))
-    pages = bind(pages, _root=J.parse(unescape(payload)))
+    pages = bind(pages, _root=J.parse(unescape("_payload")))
     pages = bind(pages, _listed=J.items(postings))
     return (
         bind(pages, fault=fault)

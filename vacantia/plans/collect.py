@@ -84,28 +84,27 @@ class Collection:
         max_hub_urls: int = V.MAX_HUB_URLS,
         same_site_only: bool = True,
         max_json_nodes: int = V.MAX_JSON_NODES,
-        staged: bool = True,
     ):
         if render not in RENDER_MODES:
             raise ValueError(f"render must be one of {RENDER_MODES}")
         tune(companies.sparkSession)
-        self.staged, self.max_hub_urls, self.max_json_nodes = staged, max_hub_urls, max_json_nodes
+        self.max_hub_urls, self.max_json_nodes = max_hub_urls, max_json_nodes
         self.first_render = "browser" if render == "browser" else "http"
         self.companies = companies.withColumn("root", normalize_website(F.col("website")))
         self.responses = responses
-        self.latest = stage(latest_captures(responses), "captures", staged)
+        self.latest = stage(latest_captures(responses), "captures")
         pages = page_captures(responses)
         if render == "http":
             pages = pages.where("render = 'http'")
-        self.parts = stage(page_parts(pages), "parts", staged)
-        self.facts = stage(link_facts(self.parts, same_site_only), "links", staged)
-        self.payloads = stage(board_payloads(responses), "payloads", staged)
+        self.parts = stage(page_parts(pages), "parts")
+        self.facts = stage(link_facts(self.parts, same_site_only), "links")
+        self.payloads = stage(board_payloads(responses), "payloads")
         roots = self.companies.where("root IS NOT NULL").select("root").distinct()
-        self.discovered = stage(discover_careers(roots, self.latest, self.facts), "careers", staged)
+        self.discovered = stage(discover_careers(roots, self.latest, self.facts), "careers")
         careers = self.discovered.where("careers_url IS NOT NULL").select("careers_url").distinct()
         self.direct = direct_boards(careers, self.payloads)
         state = self.direct.select("careers_url", "fault", (F.size("jobs") > 0).alias("has_jobs"))
-        state = stage(careers.join(state, "careers_url", "left"), "boards", staged)
+        state = stage(careers.join(state, "careers_url", "left"), "boards")
         has_jobs = F.coalesce("has_jobs", F.lit(False))
         self.direct_outcome = state.where(F.col("fault").isNotNull() | has_jobs).select(
             "careers_url", F.col("careers_url").alias("shown_url"), F.col("fault").alias("error"), has_jobs.alias("has_jobs")
@@ -127,7 +126,7 @@ class Collection:
 
     def _read(self, careers: DataFrame, render: str) -> Pass:
         visits = stage(
-            visited_pages(careers, self.latest, self.parts, self.facts, render, self.max_hub_urls), "visits", self.staged
+            visited_pages(careers, self.latest, self.parts, self.facts, render, self.max_hub_urls), "visits"
         )
         boards = page_boards(visits, self.parts, self.payloads, render)
         faults = boards.where("fault IS NOT NULL").groupBy("careers_url").agg(
@@ -150,7 +149,7 @@ class Collection:
         merged = merge_postings(listed.unionByName(on_pages), ["careers_url"])
         # A fault anywhere loses all postings of its careers URL.
         postings = stage(
-            merged.join(faults, "careers_url", "left_anti").select("careers_url", "job"), "postings", self.staged
+            merged.join(faults, "careers_url", "left_anti").select("careers_url", "job"), "postings"
         )
         shown = F.when(F.col("has_text"), F.col("page_url")).otherwise(F.col("careers_url"))
         outcome = (
@@ -159,7 +158,7 @@ class Collection:
             .join(postings.select("careers_url", F.lit(True).alias("has_jobs")).distinct(), "careers_url", "left")
             .withColumn("has_jobs", F.coalesce("has_jobs", F.lit(False)))
         )
-        return Pass(visits, boards, postings, stage(outcome, "outcome", self.staged))
+        return Pass(visits, boards, postings, stage(outcome, "outcome"))
 
     def located_companies(self) -> DataFrame:
         """Companies with careers_url, shown_url, error, has_jobs."""
@@ -228,12 +227,11 @@ def collect_jobs(
     max_hub_urls: int = V.MAX_HUB_URLS,
     same_site_only: bool = True,
     max_json_nodes: int = V.MAX_JSON_NODES,
-    staged: bool = True,
 ) -> DataFrame:
     """Records of all open roles of the chosen companies.
 
     render: 'http', 'browser', or 'fallback' (rendered captures for companies without postings over HTTP).
-    staged: write shared intermediate tables to the checkpoint folder (see `vacantia.session.stage`).
+    Shared intermediate tables are written to the checkpoint folder (see `vacantia.session.stage`).
     """
     if skip_external and not include_listings:
         raise ValueError("skip_external leaves nothing to collect without include_listings")
@@ -242,12 +240,12 @@ def collect_jobs(
         limit_per_shard=limit_per_shard,
     )
     if max_companies:
-        chosen = stage(chosen, "companies", staged)
+        chosen = stage(chosen, "companies")
     parts = []
     if not skip_external:
         run = Collection(
             chosen, responses, render=render, max_hub_urls=max_hub_urls, same_site_only=same_site_only,
-            max_json_nodes=max_json_nodes, staged=staged,
+            max_json_nodes=max_json_nodes,
         )
         parts.append(external_records(run, verbose))
     if include_listings:

@@ -42,15 +42,12 @@ def stage_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, name: str, enabled: bool = True) -> DataFrame:
+def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table once, to be read by several consumers.
 
     The written table survives lost executors, cuts lineage, keeps column pruning and filter push-down for
-    its readers, and has a known size, so joins with it are planned on facts. With `enabled=False` the
-    lazy DataFrame is returned unchanged and each consumer computes it again.
+    its readers, and has a known size, so joins with it are planned on facts.
     """
-    if not enabled:
-        return df
     spark = df.sparkSession
     path = f"{stage_folder(spark).rstrip('/')}/vacantia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
