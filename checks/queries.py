@@ -85,8 +85,8 @@ FROM pages
 def page_addresses(spark, sf):
     url = F.col("url")
     return X.table(spark, sf, "pages").select(
-        "page_id", strip_fragment(url).alias("bare"), host(url).alias("host"), path(url).alias("path"),
-        F.size(path_segments(path(url))).cast("bigint").alias("n_segments"), last_segment(path(url)).alias("last"),
+        "page_id", strip_fragment(url).alias("bare"), host("url").alias("host"), path("url").alias("path"),
+        F.size(path_segments(path("url"))).cast("bigint").alias("n_segments"), last_segment(path("url")).alias("last"),
     )
 
 
@@ -165,19 +165,20 @@ def joined_addresses(spark, sf):
 @query(cases_sql(K.JOB_LINKS, ["path", "title", "is_job"]))
 def job_link_rule(spark, sf):
     df = with_cases(spark, sf, K.JOB_LINKS, ["path", "title"])
-    return df.withColumn("is_job", R.is_job_link(F.col("path"), F.col("title")))
+    return df.withColumn("is_job", R.is_job_link(F.lower("path"), F.col("title")))
 
 
 @query(cases_sql(K.CAREERS_SCORES, ["url", "score"]))
 def careers_scores(spark, sf):
     df = bind(with_cases(spark, sf, K.CAREERS_SCORES, ["url"]), root=text("https://acme{pk}.com"))
-    return df.select("pk", "url", R.careers_score(F.col("url"), F.col("root")).alias("score"))
+    df = bind(df, low=F.lower(path("url")), near=R.same_org(host("root"), host("url")))
+    return df.select("pk", "url", R.careers_score(F.col("url"), F.col("low"), F.col("near")).alias("score"))
 
 
 @query(cases_sql(K.HUB_SCORES, ["path", "label", "score"]))
 def hub_scores(spark, sf):
     df = with_cases(spark, sf, K.HUB_SCORES, ["path", "label"])
-    return df.withColumn("score", R.hub_score(F.col("path"), F.col("label")))
+    return df.withColumn("score", R.hub_score(F.lower("path"), F.col("label")))
 
 
 @query(cases_sql(K.BOARD_URLS, ["url", "vendor", "token"]))

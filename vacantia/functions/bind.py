@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bind(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that later steps may use many times, or filter on, without computing them again.
+def bind(df: DataFrame, **columns: Column | str) -> DataFrame:
+    """Add columns, given as Column or SQL text, that later steps may use many times or filter on.
 
     A filter on a column made by `select` or `withColumn` is pushed below it with the whole expression copied
     in, once per use. With several layers of regular expressions the copies multiply. A one-row generator
     is not crossed by such filters, stays inside generated code, and costs next to nothing.
     """
-    keep = [c for c in df.columns if c not in columns]
-    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    keep = [f"`{c}`" for c in df.columns if c not in columns]
+    fields = [(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()]
+    return df.select(*keep, F.inline(F.array(F.struct(*fields))))

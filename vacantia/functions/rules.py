@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import vocabulary as V
 from vacantia.functions.text import normalize_title
-from vacantia.functions.urls import host, last_segment, path, path_segments, trim_slashes
+from vacantia.functions.urls import last_segment, path_segments, trim_slashes
 
 # Case-blind, Unicode classes, and '.', '$' that know only '\n' as a line end.
 _FLAGS = "(?iUd)"
+# Every alternative of the call-to-action, listing-path and listing-title patterns contains one of these.
+_HUB_STEMS = "open|job|role|position|opportunit|vacanc|listing|team|hiring"
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -31,23 +33,15 @@ def is_ats_url(url: Column) -> Column:
     return matches(url, V.ATS_HOST)
 
 
-def same_host(a: Column, b: Column) -> Column:
-    return host(a) == host(b)
-
-
 def same_org(a: Column, b: Column) -> Column:
-    """Same host, or same first label of two non-empty hosts ('acme.com' and 'acme.careers')."""
-    return same_org_hosts(host(a), host(b))
-
-
-def same_org_hosts(a: Column, b: Column) -> Column:
-    """`same_org` of two hosts."""
+    """Of two hosts: equal, or equal first labels and none empty ('acme.com' and 'acme.careers')."""
     dot, one = F.lit("."), F.lit(1)
     return (a == b) | ((a != "") & (b != "") & (F.split_part(a, dot, one) == F.split_part(b, dot, one)))
 
 
-def has_non_job_segment(p: Column) -> Column:
-    return F.arrays_overlap(path_segments(p), F.array(*[F.lit(w) for w in V.NON_JOB_SEGMENTS]))
+def has_non_job_segment(low: Column) -> Column:
+    """Expects a lower-case path."""
+    return F.arrays_overlap(path_segments(low), F.split(F.lit("|".join(V.NON_JOB_SEGMENTS)), "[|]"))
 
 
 def path_denied(p: Column) -> Column:
@@ -72,13 +66,12 @@ def is_nav_title(title: Column) -> Column:
     return (t == "") | t.isin(V.NON_JOB_TITLES) | is_listing_title(t)
 
 
-def is_job_link(p: Column, title: Column) -> Column:
-    """Does a link (path and text) point to one role? An ordered decision list; first hit decides.
+def is_job_link(low: Column, title: Column) -> Column:
+    """Does a link (lower-case path and text) point to one role? An ordered decision list; first hit decides.
 
     Two of the rules test the last path segment. Where the earlier implementation of these rules aborted on
     them because of a wrong variable name, the evident meaning is used.
     """
-    low = F.lower(p)
     last = last_segment(low)
     numbered = matches(low, r"/jobs?/\d+")
     slug = F.regexp_extract(low, "(?d)/(?:jobs?|careers)/([^/?#]+)/?$", 1)
@@ -86,7 +79,9 @@ def is_job_link(p: Column, title: Column) -> Column:
     norm = normalize_title(title)
     yes, no = F.lit(True), F.lit(False)
     return (
-        F.when(path_denied(low), no)
+        # No rule below accepts a path without one of these folders.
+        F.when(~low.rlike("/(?:jobs?|careers|positions?|role|apply)/"), no)
+        .when(path_denied(low), no)
         .when(has_non_job_segment(low), no)
         .when(last.isin(V.HUB_SEGMENTS) & ~numbered, no)
         .when(numbered, yes)
@@ -103,13 +98,16 @@ def is_job_link(p: Column, title: Column) -> Column:
     )
 
 
-def careers_score(url: Column, root: Column) -> Column:
-    """How good a URL is as the careers landing page of the site `root`; -1 when it is none."""
-    p = trim_slashes(F.lower(path(url)))
+def careers_score(url: Column, low: Column, near: Column) -> Column:
+    """How good a URL is as the careers landing page of a site; -1 when it is none.
+
+    `low` is its lower-case path, `near` tells whether it belongs to the site's organisation.
+    """
+    p = trim_slashes(low)
     shallow = F.length(p) - F.length(F.replace(p, F.lit("/"), F.lit(""))) <= 2
     return (
         F.when(is_ats_url(url), 1000)
-        .when(~same_org(root, url), -1)
+        .when(~near, -1)
         .when(has_non_job_segment(p) | path_denied(p), -1)
         .when(p.isin("/careers", "/jobs", "/job", "/career"), 900)
         .when((p.endswith("/careers") | p.endswith("/jobs")) & shallow, 850)
@@ -125,18 +123,20 @@ def is_careers_nav(url: Column) -> Column:
     return F.lower(url).rlike("/career|/jobs|/join-us|/work-with-us") | is_ats_url(url)
 
 
-def hub_score(p: Column, label: Column) -> Column:
-    """How likely a link on a careers page leads to the real list of roles; 0 when it does not."""
-    low = F.lower(p)
+def hub_score(low: Column, label: Column) -> Column:
+    """How likely a link on a careers page leads to the real list of roles; 0 when it does not. `low`: lower-case path."""
     cta = is_call_to_action(label)
     listing = is_listing_path(low)
+    title = is_listing_title(normalize_title(label)) & low.rlike("/career|/job|/role")
     return (
-        F.when((has_non_job_segment(low) | path_denied(low)) & ~cta, 0)
+        # A score needs a call to action or a listing path or title; all of them hold one of these word stems.
+        F.when(~F.concat_ws(" ", low, F.lower(label)).rlike(_HUB_STEMS), 0)
+        .when(~cta & (has_non_job_segment(low) | path_denied(low)), 0)
         .when(cta & listing, 500)
         .when(cta & low.rlike("/job|/career|/role|/position"), 450)
         .when(cta, 400)
         .when(listing, 300)
-        .when(is_listing_title(normalize_title(label)) & low.rlike("/career|/job|/role"), 250)
+        .when(title, 250)
         .otherwise(0)
     )
 

@@ -29,18 +29,34 @@ def normalize_website(url: Column) -> Column:
     return F.when(not_blank(url) & (root != ""), root)
 
 
-def host(url: Column) -> Column:
-    """Host in lower case without user, port and a leading 'www.'; '' when there is none."""
-    place = F.regexp_replace(F.regexp_extract(url, _NETLOC, 1), "(?s)^.*@", "")
-    name = F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)", 1)).otherwise(F.split_part(place, F.lit(":"), F.lit(1)))
-    return F.regexp_replace(F.lower(name), r"^www\.", "")
+def _after_scheme(url: str) -> str:
+    return f"CASE WHEN startswith({url}, 'https://') THEN substr({url}, 9) WHEN startswith({url}, 'http://') THEN substr({url}, 8) END"
 
 
-def path(url: Column) -> Column:
-    """Path of a URL; for web URLs without the ';parameters' of its last segment."""
-    p = F.regexp_extract(url, _PATH, 1)
-    web = ~url.rlike(f"^{_SCHEME}:") | url.rlike("^(?i)https?:")
-    return F.when(F.contains(p, F.lit(";")) & web, F.regexp_replace(p, ";[^/]*$", "")).otherwise(p)
+def _until(text: str, marks: str) -> str:
+    for m in marks:
+        text = f"substring_index({text}, '{m}', 1)"
+    return text
+
+
+def host(url: str) -> Column:
+    """Host of a URL column in lower case without user, port and a leading 'www.'; '' when there is none.
+
+    Web addresses, nearly all there are, are cut with plain string functions; others by pattern.
+    """
+    place = f"coalesce({_until(_after_scheme(url), '/?#')}, regexp_extract({url}, '{_NETLOC}', 1))"
+    return F.expr(rf"""element_at(transform(array({place}), p -> regexp_replace(lower(CASE
+      WHEN contains(p, '@') OR contains(p, '[') THEN coalesce(nullif(regexp_extract(p, r'(?s)^(?:.*@)?\[([^\]]*)', 1), ''), regexp_extract(p, '(?s)^(?:.*@)?([^:@]*)', 1))
+      ELSE substring_index(p, ':', 1) END), '^www[.]', '')), 1)""")
+
+
+def path(url: str) -> Column:
+    """Path of a URL column; for web URLs without the ';parameters' of its last segment."""
+    web = f"({_until(_after_scheme(url), '?#')})"
+    web_path = f"CASE WHEN contains({web}, '/') THEN substr({web}, locate('/', {web})) WHEN {web} IS NOT NULL THEN '' END"
+    p = f"coalesce({web_path}, regexp_extract({url}, '{_PATH}', 1))"
+    return F.expr(f"""CASE WHEN contains({url}, ';') AND ({url} RLIKE '^(?i)https?:' OR NOT {url} RLIKE '^{_SCHEME}:')
+      THEN regexp_replace({p}, ';[^/]*$', '') ELSE {p} END""")
 
 
 def path_segments(p: Column) -> Column:
@@ -58,18 +74,11 @@ def trim_slashes(c: Column) -> Column:
     return F.rtrim(c, F.lit("/"))
 
 
-def _resolve_dots(p: Column) -> Column:
-    """Resolve '.' and '..' segments of a path."""
-    parts = F.split(p, "/")
-    kept = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda acc, seg: F.when(seg == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(seg == ".", acc)
-        .otherwise(F.concat(acc, F.array(seg))),
-    )
-    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.array_join(kept, "/")
+# Resolve '.' and '..' segments of a path; a path ending in one of them ends in '/'.
+_RESOLVE_DOTS = """concat(
+  array_join(aggregate(split(_merged, '/'), CAST(array() AS ARRAY<STRING>), (done, seg) -> CASE
+    WHEN seg = '..' THEN slice(done, 1, greatest(size(done) - 1, 0)) WHEN seg = '.' THEN done ELSE concat(done, array(seg)) END), '/'),
+  CASE WHEN _merged RLIKE '/[.][.]?$' THEN '/' ELSE '' END)"""
 
 
 def base_parts(base: Column) -> Column:
@@ -100,30 +109,29 @@ def with_absolute(df: DataFrame, out: str, base: str, href: str) -> DataFrame:
     if dict(df.dtypes)[base] == "string":
         df = bind(df, _base=base_parts(F.col(base)))
         base = "_base"
-    b, h = F.col(base), F.translate(href, "\t\r\n", "")
-    df = bind(df, _scheme=F.lower(F.regexp_extract(h, f"^({_SCHEME}):", 1)), _rest=h)
-    scheme, rest = F.col("_scheme"), F.col("_rest")
-    after = F.when(scheme == "", rest).otherwise(F.substr(rest, F.length(scheme) + 2))
-    df = bind(df, _rest=after)
+    df = bind(
+        df,
+        _href=f"translate({href}, '\\t\\r\\n', '')",
+        _scheme=f"CASE WHEN contains({href}, ':') THEN lower(regexp_extract({href}, '^({_SCHEME}):', 1)) ELSE '' END",
+    )
+    df = bind(df, _rest="CASE WHEN _scheme = '' THEN _href ELSE substr(_href, length(_scheme) + 2) END")
     # An empty host after '//' is no host.
-    df = bind(df, _rest=F.when(rest.rlike("^//(?:[/?#]|$)"), F.substr(rest, F.lit(3))).otherwise(rest))
-    df = bind(df, _path=F.regexp_extract(rest, "(?s)^[^?#]*", 0), _tail=F.regexp_extract(rest, r"(?s)^[^?#]*(.*)$", 1))
-    h_path, tail = F.col("_path"), F.col("_tail")
+    df = bind(df, _rest="CASE WHEN startswith(_rest, '//') AND _rest RLIKE '^//(?:[/?#]|$)' THEN substr(_rest, 3) ELSE _rest END")
+    df = bind(df, _path="substring_index(substring_index(_rest, '#', 1), '?', 1)", _lead="substring_index(_rest, '#', 1)")
     # A '?' or '#' with nothing behind it disappears.
-    query = F.regexp_extract(tail, r"(?s)^(\?[^#]+)", 1)
-    fragment = F.regexp_extract(tail, "(?s)^[^#]*(#.+)", 1)
-    merged = F.when(h_path.startswith("/"), h_path).otherwise(F.regexp_replace(F.concat(b["folder"], h_path), "/{2,}", "/"))
-    df = bind(df, _merged=merged, _query=query, _tail=F.concat(query, fragment), _fragment=fragment)
-    merged, tail = F.col("_merged"), F.col("_tail")
-    df = bind(df, _merged=F.when(merged.rlike(r"(?:^|/)\.\.?(?:/|$)"), _resolve_dots(merged)).otherwise(merged))
-    joined = (
-        F.when(F.col(href) == "", b["url"])
-        .when((scheme != "") & (scheme != b["scheme"]), F.col(href))
-        .when(rest.startswith("//"), F.concat(b["scheme"], F.lit(":"), h_path, tail))
-        .when(
-            h_path == "",
-            F.concat(b["origin"], b["path"], F.when(F.col("_query") == "", b["query"]).otherwise(F.col("_query")), F.col("_fragment")),
-        )
-        .otherwise(F.concat(b["origin"], F.when(merged.startswith("/"), "").otherwise("/"), merged, tail))
+    df = bind(
+        df,
+        _query="CASE WHEN length(_lead) > length(_path) + 1 THEN substr(_lead, length(_path) + 1) ELSE '' END",
+        _fragment="CASE WHEN length(_rest) > length(_lead) + 1 THEN substr(_rest, length(_lead) + 1) ELSE '' END",
+        _merged=f"CASE WHEN startswith(_path, '/') THEN _path ELSE concat({base}.folder, _path) END",
     )
+    dots = "(contains(_merged, '/.') OR startswith(_merged, '.')) AND _merged RLIKE '(?:^|/)[.][.]?(?:/|$)'"
+    df = bind(df, _merged="CASE WHEN contains(_merged, '//') AND NOT startswith(_path, '/') THEN regexp_replace(_merged, '/{2,}', '/') ELSE _merged END")
+    df = bind(df, _merged=f"CASE WHEN {dots} THEN {_RESOLVE_DOTS} ELSE _merged END")
+    joined = f"""CASE
+      WHEN {href} = '' THEN {base}.url
+      WHEN _scheme <> '' AND _scheme <> {base}.scheme THEN {href}
+      WHEN startswith(_rest, '//') THEN concat({base}.scheme, ':', _path, _query, _fragment)
+      WHEN _path = '' THEN concat({base}.origin, {base}.path, CASE WHEN _query = '' THEN {base}.query ELSE _query END, _fragment)
+      ELSE concat({base}.origin, CASE WHEN startswith(_merged, '/') THEN '' ELSE '/' END, _merged, _query, _fragment) END"""
     return bind(df, **{out: joined}).select(*[c for c in columns if c != out], out)

@@ -18,16 +18,26 @@ from vacantia.functions.urls import strip_fragment
 # Attributes of a start tag up to its '>'; quotes count only as values after '='.
 _ATTRS = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?|["'])*+"""
 _VALUE = r"""("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
-_COMMENT = r"<!--.*?(?:-->|\z)"
-_INVISIBLE = rf"(?is){_COMMENT}|<(script|style)(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*>|\z)"
-_SCRIPT = rf"(?is){_COMMENT}|<script(?=[\s/>]){_ATTRS}>.*?(?:</script\s*>|\z)"
+_COMMENT = r"!--(?:[^-]|-(?!->))*+(?:-->)?"
+_RAW = r"[^<]*+(?:<(?!/{0}[\s/>])[^<]*+)*+(?:</{0}\s*+>)?"
+_INVISIBLE = rf"(?i)<(?:{_COMMENT}|(script|style)(?=[\s/>]){_ATTRS}>{_RAW.format(chr(92) + '1')})"
+_SCRIPT = rf"(?i)<(?:{_COMMENT}|script(?=[\s/>]){_ATTRS}>{_RAW.format('script')})"
 # An anchor runs to its end tag or to the next anchor, as anchors cannot nest.
 _ANCHOR = rf"(?is)<a(?=[\s/>]){_ATTRS}>[^<]*+(?:<(?!/?a[\s/>])[^<]*+)*+"
 _TAG = rf"(?s)</?[a-zA-Z]{_ATTRS}>|<[!?][^>]*+>"
 _CUT = "\x01"
 
 # Scripts without any of these words cannot hold a posting. A \u escape may hide one of them.
-_MAY_HOLD_POSTING = r"(?i)JobPosting|\\u00|" + "|".join(V.JOB_HINT_KEYS)
+_POSTING_WORDS = ["jobposting", "\\u00", *V.JOB_HINT_KEYS]
+_ATS_HOSTS = V.ATS_HOST.strip("()").replace("\\", "").split("|")
+
+
+def _contains_any(lower: Column, words: list[str]) -> Column:
+    """Plain search, much cheaper on long texts than a case-blind pattern."""
+    found = F.contains(lower, F.lit(words[0]))
+    for w in words[1:]:
+        found |= F.contains(lower, F.lit(w))
+    return found
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -76,14 +86,14 @@ def page_parts(pages: DataFrame) -> DataFrame:
     body, no_boards = F.col("body"), F.array().cast("array<struct<vendor_rank:int,vendor:string,token:string>>")
     page_url = strip_fragment(F.coalesce(empty_to_null(F.col("final_url")), F.col("request_url")))
     # A page without a board host's name has no board tokens either: one scan of the body decides both.
-    has_ats_text = R.matches(body, V.ATS_HOST)
+    has_ats_text = F.exists(F.array(F.lower(body)), lambda low: _contains_any(low, _ATS_HOSTS))
     return bind(pages, has_ats_text=has_ats_text).select(
         "request_url", "render", "fetched_at",
         page_url.alias("page_url"),
-        not_blank(body).alias("has_text"),
+        body.rlike(f"[^{WHITESPACE}]").alias("has_text"),
         "has_ats_text",
         anchor_blocks(body).alias("anchors"),
-        F.filter(script_blocks(body), lambda s: s.rlike(_MAY_HOLD_POSTING)).alias("scripts"),
+        F.filter(script_blocks(body), lambda s: F.exists(F.array(F.lower(s)), lambda low: _contains_any(low, _POSTING_WORDS))).alias("scripts"),
         F.when(F.col("has_ats_text"), board_tokens(body)).otherwise(no_boards).alias("boards"),
     )
 
@@ -94,7 +104,9 @@ def explode_anchors(df: DataFrame, blocks: str = "anchors") -> DataFrame:
     block = F.col("_block")
     rows = df.select(*keep, F.posexplode(blocks).alias("pos", "_block"))
     # Attribute values are decoded together, cut apart by a character that cannot be typed into a page.
-    attrs = F.concat_ws(_CUT, attribute(block, "href"), attribute(block, "aria-label"), attribute(block, "title"))
+    rows = bind(rows, _low=F.lower("_block"))
+    maybe = lambda n: F.when(F.contains("_low", F.lit(n)), attribute(block, n)).otherwise("")
+    attrs = F.concat_ws(_CUT, attribute(block, "href"), maybe("aria-label"), maybe("title"))
     inner = F.regexp_replace(F.regexp_replace(block, rf"(?is)^<a{_ATTRS}>", ""), _TAG, _CUT)
     rows = bind(rows, _attrs=attrs, _inner=inner)
     rows = bind(rows, _attrs=unescape("_attrs", attribute=True), _inner=unescape("_inner"))

@@ -26,45 +26,37 @@ def link_facts(parts: DataFrame, same_site_only: bool = True) -> DataFrame:
     root_tier/root_score/root_target: candidate for the careers page when the page is a site root (1 = hiring
     board named in the page, 3 = careers-like navigation). hub_score: lead to the list of roles. is_job: one role.
     """
-    # Once per page: join base and host. A site root is judged by its own address, even if it was redirected.
+    # Once per page: join base and host. A site root is judged by its own address: when it was redirected, its
+    # links are read twice, against the page they are on and against the root.
     is_root = F.col("request_url").rlike("^https?://[^/?#]+$")
     moved = is_root & (F.col("request_url") != F.col("page_url"))
-    pages = bind(
-        parts.drop("scripts", "boards", "has_text"),
-        _page=base_parts(F.col("page_url")), _site=F.when(moved, base_parts(F.col("request_url"))), _is_root=is_root,
-        _page_host=host(F.col("page_url")),
-    )
-    anchors = link_targets(explode_anchors(pages), "_page")
-    anchors = with_absolute(
-        anchors.withColumn("_href", F.when(F.col("_site").isNotNull(), F.col("href"))), "_moved_target", "_site", "_href"
-    )
-    target, root_target = F.col("target"), F.col("root_target")
-    anchors = bind(
-        anchors,
-        root_target=F.when(F.col("_is_root"), F.coalesce(strip_fragment(F.col("_moved_target")), target)),
-        _ats=R.is_ats_url(target), _host=host(target), _low=F.lower(path(target)),
-    )
-    anchors = bind(
-        anchors,
-        _near=F.col("_ats") | R.same_org_hosts(F.col("_page_host"), F.col("_host")),
-        root_tier=F.when(F.col("has_ats_text") & R.is_ats_url(root_target), 1).when(R.is_careers_nav(root_target), 3),
-    )
+    role = lambda base, page, site: F.struct(F.col(base).alias("_url"), page.alias("_as_page"), site.alias("_as_site"))
+    yes, no = F.lit(True), F.lit(False)
+    roles = F.when(moved, F.array(role("page_url", yes, no), role("request_url", no, yes))).otherwise(F.array(role("page_url", yes, is_root)))
+    pages = parts.select("request_url", "render", "fetched_at", "page_url", "has_ats_text", "anchors", F.inline(roles))
+    pages = bind(pages, _base=base_parts(F.col("_url")), _base_host=host("_url")).drop("_url")
+    anchors = link_targets(explode_anchors(pages).drop("aria_label", "title_attr"), "_base").drop("_base")
+
+    target, as_page, as_site = F.col("target"), F.col("_as_page"), F.col("_as_site")
+    anchors = bind(anchors, _ats=R.is_ats_url(target), _host=host("target"), _low=F.lower(path("target")))
+    tier = F.when(F.col("has_ats_text") & F.col("_ats"), 1).when(R.is_careers_nav(target), 3)
+    anchors = bind(anchors, _near=F.col("_ats") | R.same_org(F.col("_base_host"), F.col("_host")), root_tier=F.when(as_site, tier)).drop("_host", "_base_host")
     # Links to other sites end here, before the costly rules.
     in_scope = F.col("_near") if same_site_only else F.lit(True)
-    anchors = anchors.where(in_scope | F.col("root_tier").isNotNull())
+    anchors = anchors.where((as_page & in_scope) | F.col("root_tier").isNotNull())
     low, label = F.col("_low"), F.col("label")
     anchors = bind(
         anchors,
-        root_score=F.when(F.col("root_tier").isNotNull(), R.careers_score(root_target, F.col("request_url"))),
-        hub_score=F.when(F.col("_near") & ~R.is_script_or_mail(F.col("href")), R.hub_score(low, label)).otherwise(0),
-        is_job=in_scope & F.length("text").between(1, V.MAX_LINK_TITLE) & R.is_job_link(low, F.col("text")),
+        root_score=F.when(F.col("root_tier").isNotNull(), R.careers_score(target, low, F.col("_near"))),
+        hub_score=F.when(as_page & F.col("_near") & ~R.is_script_or_mail(F.col("href")), R.hub_score(low, label)).otherwise(0),
+        is_job=as_page & in_scope & F.length("text").between(1, V.MAX_LINK_TITLE) & R.is_job_link(low, F.col("text")),
     )
     useful = F.coalesce(F.col("root_score") >= 0, F.lit(False))
     return anchors.where(useful | (F.col("hub_score") > 0) | F.col("is_job")).select(
         "request_url", "render", "fetched_at", "page_url", "pos", "target", "text", "hub_score", "is_job",
         F.when(useful, F.col("root_tier")).alias("root_tier"),
         F.when(useful, F.col("root_score")).alias("root_score"),
-        F.when(useful, root_target).alias("root_target"),
+        F.when(useful, target).alias("root_target"),
     )
 
 

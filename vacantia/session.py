@@ -27,6 +27,8 @@ def tune(spark: SparkSession) -> SparkSession:
     """Settings the results depend on. Sizes and cluster settings are left as they are."""
     # The last of two equal keys of a JSON object counts, instead of the object being malformed.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    # The JVM never compiles methods over 8000 bytes; beyond that, generated code is slower than none.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

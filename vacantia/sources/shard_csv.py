@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +20,21 @@ def shard_location(output_base: str) -> tuple[str, str]:
     return str(p.parent), p.stem if p.suffix.lower() in (".jsonl", ".json", ".csv") else p.name
 
 
-def shard_files(spark: SparkSession, output_base: str, num_shards: int | None = None) -> DataFrame:
-    """Existing shard files in merge order: path, name, shard_no. `num_shards` leaves out files of a wider, older run."""
+def shard_files(spark: SparkSession, output_base: str, num_shards: int | None = None) -> DataFrame | None:
+    """Shard files in merge order: path, name, shard_no; None if there are none.
+
+    A shard is one file, or a folder of part files as Spark writes it. `num_shards` leaves out files of a wider, older run.
+    """
     folder, stem = shard_location(output_base)
-    name = F.regexp_extract("path", "([^/]+)$", 1)
+    path = F.regexp_extract("path", r"^(.*?-shard[^/]*\.csv)(?:/|$)", 1)
+    name = F.regexp_extract("path", r"([^/]*-shard[^/]*\.csv)(?:/|$)", 1)
     number = F.coalesce(F.regexp_extract(name, r"(?i)-shard(\d+)", 1).try_cast("int"), F.lit(0))
-    # Only names are listed, contents are not read.
-    listed = (
-        spark.read.format("binaryFile").option("pathGlobFilter", f"{stem}-shard*.csv").load(folder)
-        .select("path", name.alias("name"), number.alias("shard_no"))
-    )
+    try:
+        # Only names are listed; the content column is not read.
+        listed = spark.read.format("binaryFile").load(f"{folder}/{stem}-shard*.csv")
+    except AnalysisException:
+        return None
+    listed = listed.where("path NOT RLIKE '/[_.][^/]*$'").select(path.alias("path"), name.alias("name"), number.alias("shard_no")).distinct()
     if num_shards is not None:
         listed = listed.where(F.col("shard_no") < num_shards)
     return listed.orderBy("shard_no", "name")
@@ -37,15 +43,16 @@ def shard_files(spark: SparkSession, output_base: str, num_shards: int | None =
 def read_shards(spark: SparkSession, output_base: str, num_shards: int | None = None) -> DataFrame | None:
     """All shard files under the columns of the first one, as text; null and missing become ''. None if there are none.
 
-    The list of file names is the only thing on the driver. Files with the same header are read by one scan.
+    The list of shard names is the only thing on the driver. Shards with the same header are read by one scan.
     """
-    paths = [r.path for r in shard_files(spark, output_base, num_shards).select("path").collect()]
+    listed = shard_files(spark, output_base, num_shards)
+    paths = [r.path for r in listed.select("path").collect()] if listed is not None else []
     if not paths:
         return None
     by_header: dict[tuple[str, ...], list[str]] = {}
     for p in paths:
         by_header.setdefault(tuple(spark.read.options(**_READ).csv(p).columns), []).append(p)
-    # A first file without any header falls back to the standard columns.
+    # A first shard without any header falls back to the standard columns.
     columns = next(iter(by_header)) or tuple(CSV_FIELDS)
     merged = None
     for header, files in by_header.items():
