@@ -39,9 +39,8 @@ def stage_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="vacantia-stage-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vacantia-stage-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
