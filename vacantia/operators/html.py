@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vacantia.functions import rules as R
 from vacantia.functions import vocabulary as V
 from vacantia.functions.bind import bind
-from vacantia.functions.text import WHITESPACE, collapse, empty_to_null, not_blank, strip, unescape
+from vacantia.functions.text import WS, collapse, empty_to_null, strip, unescape
 from vacantia.functions.urls import strip_fragment
 
 # Attributes of a start tag up to its '>'; quotes count only as values after '='.
@@ -90,7 +90,7 @@ def page_parts(pages: DataFrame) -> DataFrame:
     return bind(pages, has_ats_text=has_ats_text).select(
         "request_url", "render", "fetched_at",
         page_url.alias("page_url"),
-        body.rlike(f"[^{WHITESPACE}]").alias("has_text"),
+        body.rlike(f"(?U)[^{WS}]").alias("has_text"),
         "has_ats_text",
         anchor_blocks(body).alias("anchors"),
         F.filter(script_blocks(body), lambda s: F.exists(F.array(F.lower(s)), lambda low: _contains_any(low, _POSTING_WORDS))).alias("scripts"),
@@ -113,7 +113,7 @@ def explode_anchors(df: DataFrame, blocks: str = "anchors") -> DataFrame:
     inner, attr = F.col("_inner"), lambda i: strip(F.split_part("_attrs", F.lit(_CUT), F.lit(i)))
     cut = F.contains(inner, F.lit(_CUT))
     # Text of each child stripped, joined with one space.
-    children = F.when(cut, F.regexp_replace(inner, f"[{WHITESPACE}]*+{_CUT}[{WHITESPACE}{_CUT}]*+", " ")).otherwise(inner)
+    children = F.when(cut, F.regexp_replace(inner, f"(?U)[{WS}]*+{_CUT}[{WS}{_CUT}]*+", " ")).otherwise(inner)
     rows = bind(
         rows, href=attr(1), aria_label=attr(2), title_attr=attr(3),
         text=collapse(F.replace(inner, F.lit(_CUT), F.lit(""))), _children=strip(children),
