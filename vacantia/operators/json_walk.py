@@ -9,14 +9,19 @@ All rules on those fields are Spark expressions.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacantia.functions import vocabulary as V
 
+# The functions travel with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _HINTS = frozenset(V.JOB_HINT_KEYS)
 _EMBEDDED_FIELDS = [*V.EMBEDDED_TITLE_KEYS, *V.EMBEDDED_URL_KEYS, "url", "location", "jobLocation"]
 _LD_FIELDS = ["@type", "title", "url", "sameAs", "jobLocation"]
