@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.functions import rules as R
 from vacantia.functions import vocabulary as V
 from vacantia.functions.bind import bind
 from vacantia.functions.text import WS, collapse, empty_to_null, strip, unescape
