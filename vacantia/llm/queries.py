@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import bpe, tokens
+from vacantia.llm import bpe, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,39 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+WORDS_SQL = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+def counted(pattern: str) -> str:
+    return f"length(regexp_replace(joined, '{pattern}', '', 'g'))"
+
+
+QUALITY_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {WORDS_SQL} AS w FROM documents),
+m AS (SELECT *, len(w)::BIGINT AS n_words, array_to_string(w, '') AS joined FROM t),
+g AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i, w FROM m WHERE len(w) > 2),
+k AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS c FROM g),
+r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM k WHERE c > 1) GROUP BY rid),
+l AS (SELECT rid, line, count(*) AS c FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM t)
+      WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid, line),
+d AS (SELECT rid, sum(c - 1)::BIGINT AS n_dup_lines, sum(c)::BIGINT AS n_lines FROM l GROUP BY rid),
+b AS (SELECT doc_id, w, n_words, length(joined)::BIGINT AS word_chars, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+        coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, {counted('[^#*$%&|<>]')}::BIGINT AS n_symbols,
+        {counted('[^!?]')} AS marks, {counted('[^\\p{Lu}]')} AS capitals, {counted('[^\\p{L}]')} AS letters
+      FROM m LEFT JOIN r USING (rid) LEFT JOIN d USING (rid)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines
+    OR 10 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) < 8 * n_words OR 10 * capitals > 4 * letters OR 4 * marks > n_words) AS kept
+FROM f
+"""
+
+
+@query(QUALITY_SQL)
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality(table(spark, sf, "documents"))
+
+
 @query()
 def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = tokens.write_tokens(table(spark, sf, "documents"), tokens.token_folder(spark), tokenizer_path())
