@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import bpe, quality, tokens
+from vacantia.llm import bpe, minhash, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,8 @@ def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op5_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), tokenizer_path())
+
+
+@query()
+def op10_minhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"), size=3, similarity=0.85)
