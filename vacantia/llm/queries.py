@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vacantia.llm import bpe, minhash, quality, tokens
+from vacantia.llm import bpe, minhash, quality, repeats, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +82,9 @@ def op5_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_minhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"), size=3, similarity=0.85)
+
+
+@query()
+def op7_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    out = repeats.without_repeats(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
