@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import bpe, minhash, quality, repeats, tokens
+from vacantia.llm import bpe, lines, minhash, quality, repeats, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,9 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 def op7_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
     out = repeats.without_repeats(table(spark, sf, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = lines.line_digest(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
