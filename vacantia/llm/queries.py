@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import bpe, lines, minhash, quality, repeats, tokens
+from vacantia.llm import archives, bpe, contamination, lines, minhash, quality, repeats, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,24 @@ def op7_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = lines.line_digest(table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ARCHIVE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY hex) AS original,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(hex, 1 + 10 * CAST(i // 8 AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31 AS INT), 1)), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to FROM b
+"""
+
+
+@query(ARCHIVE_SQL)
+def op4_warc_packages(spark: SparkSession, sf: str) -> DataFrame:
+    packages = archives.write_packages(table(spark, sf, "pages"), archives.package_folder(spark))
+    return archives.read_packages(packages)
+
+
+@query()
+def op6_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
