@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import archives, bpe, contamination, lines, minhash, quality, repeats, tokens
+from vacantia.llm import archives, bpe, contamination, extraction, lines, minhash, perplexity, quality, repeats, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,13 @@ def op4_warc_packages(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op6_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op9_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf, "pages"))
+
+
+@query()
+def op3_perplexity_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return perplexity.quality_by_perplexity(table(spark, sf, "documents"), table(spark, sf, "labels"))
