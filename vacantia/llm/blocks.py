@@ -27,7 +27,7 @@ BLOCK = "block long, n_keys long, payload binary, keys binary, counts binary"
 
 def pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
