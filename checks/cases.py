@@ -59,4 +59,5 @@ REFERENCES = [
     ("a &amp; b{pk}", "a & b{pk}"), ("&amp;lt;{pk}", "&lt;{pk}"), ("&copy;{pk}", "©{pk}"), ("&copy{pk}", "©{pk}"), ("&#8217;{pk}", "’{pk}"),
     ("&#x1F600;{pk}", "😀{pk}"), ("&#128;{pk}", "€{pk}"), ("&#0;{pk}", "�{pk}"), ("&bogus;{pk}", "&bogus;{pk}"), ("{pk} & 7 &&", "{pk} & 7 &&"),
     ("&notit;{pk}", "¬it;{pk}"), ("&NotEqualTilde;{pk}", "≂̸{pk}"), ("&quot;{pk}&#39;", "\"{pk}'"), ("&ndash;&hellip;{pk}", "–…{pk}"), ("plain {pk}", "plain {pk}"),
+    ("&#x0000041;{pk}", "A{pk}"), ("&#00000065;{pk}", "A{pk}"),
 ]

@@ -141,11 +141,9 @@ def normalized_conversations(spark, sf):
     return X.table(spark, sf, "conversations").select("conv_id", "turn", F.md5(normalize_title(F.col("text"))).alias("title_md5"))
 
 
-@query("SELECT page_id, md5(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')) AS html_md5 FROM pages "
-       "WHERE NOT regexp_matches(html, '&am;|&amp[^;]|&am[^p]')")
+@query("SELECT page_id, md5(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')) AS html_md5 FROM pages")
 def decoded_pages(spark, sf):
-    whole = ~F.col("html").rlike("&am;|&amp[^;]|&am[^p]")
-    return X.table(spark, sf, "pages").where(whole).select("page_id", F.md5(unescape("html")).alias("html_md5"))
+    return X.table(spark, sf, "pages").select("page_id", F.md5(unescape("html")).alias("html_md5"))
 
 
 @query(cases_sql(K.REFERENCES, ["written", "decoded"]))
@@ -232,6 +230,19 @@ def directory_companies(spark, sf):
     return directory.companies_from_pages(_directory_pages(spark, sf))
 
 
+@query("""
+SELECT n_nationkey AS dir_page, CASE n_nationkey % 7 WHEN 3 THEN 'directory page is malformed' ELSE 'directory page was not captured' END AS fault, CAST(NULL AS VARCHAR) AS slug
+FROM nation WHERE n_nationkey % 7 IN (3, 5) UNION ALL SELECT n_nationkey, NULL, 'co-' || n_nationkey FROM nation WHERE n_nationkey % 7 NOT IN (3, 5)
+""")
+def directory_faults(spark, sf):
+    """Malformed and missing pages do not end the walk, and are told."""
+    n = X.table(spark, sf, "nation").where("n_nationkey % 7 <> 5").select(F.col("n_nationkey").alias("dir_page"))
+    body = F.concat(F.lit('{"hits":[{"slug":"co-'), F.col("dir_page").cast("string"), F.lit('"}],"nbPages":25'), F.when(F.expr("dir_page % 7 <> 3"), "}").otherwise(""))
+    pages = directory.parsed_pages(n.select("dir_page", body.alias("body")))
+    faults = directory.directory_faults(pages).select("dir_page", "fault", F.lit(None).cast("string").alias("slug"))
+    return faults.unionByName(directory.companies_from_hits(pages).select("dir_page", F.lit(None).cast("string").alias("fault"), "slug"))
+
+
 _SHARD = "CAST(('0x' || substr(sha256({key}), 1, 16))::UBIGINT % {n} AS INT)"
 
 
@@ -396,32 +407,47 @@ def embedded_jobs(spark, sf):
     return scripts.embedded_postings(_script_table(o, body, "application/json")).select("pk", "job.title", "job.url", "job.location", "job.apply_url")
 
 
-@query(OPENINGS + """
-SELECT pk, n AS walk_pos FROM (SELECT pk, unnest(generate_series(0, 4)) AS n FROM o) WHERE n * 3 + 4 <= 4 + [0, 4, 9][pk % 3 + 1]
-""")
-def embedded_node_limit(spark, sf):
-    """The node limit counts every visited value, parents first: root, list, then object and its two fields each."""
+@query("SELECT s_suppkey AS k, 'Engineer ' || s_suppkey AS title, n AS walk_pos FROM supplier, (VALUES (0), (1)) v(n)")
+def long_embedded_scripts(spark, sf):
+    """A script of over 90,000 values is read to its end."""
+    c = X.companies_base(spark, sf)
+    k = F.col("k").cast("string")
+    item = F.concat(F.lit('{"title":"Engineer '), k, F.lit('","jobUrl":"https://b.org/'), k, F.lit("/"))
+    body = F.concat(F.lit("["), F.expr("repeat('0,', 90000)"), item, F.lit('1"},[['), item, F.lit('2"}]]]'))
+    found = scripts.embedded_postings(_script_table(c.withColumn("pk", F.col("k")), body, "application/json"))
+    return found.select(F.col("pk").alias("k"), "job.title", "walk_pos")
+
+
+@query(OPENINGS + "SELECT pk, title, 'https://b.org/' || pk AS url, linked FROM o, (VALUES (true), (false)) v(linked) WHERE pk % 4 <> 3")
+def hostile_scripts(spark, sf):
+    """Half a surrogate pair, numbers out of range and nesting no reader follows lose nothing; broken texts give nothing."""
     o = X.openings(spark, sf)
-    item = lambda n: F.concat(F.lit('{"title":"Engineer '), F.lit(str(n)), F.lit('","jobUrl":"https://b.org/'), F.lit(str(n)), F.lit('"}'))
-    body = F.concat(F.lit('{"pad":"....................","jobs":['), F.concat_ws(",", *[item(n) for n in range(5)]), F.lit("]}"))
-    table = _script_table(o, body, "application/json")
+    extra = (
+        F.when(F.expr("pk % 4 = 0"), F.lit('"note":"\\ud83d","location":"\\ud83d"')).when(F.expr("pk % 4 = 1"), F.lit('"location":1e999,"job_id":-1e999,"size":' + "9" * 400))
+        .when(F.expr("pk % 4 = 2"), F.concat(F.lit('"location":'), F.expr("repeat('[', 3000)"), F.expr("repeat(']', 3000)"))).otherwise(F.lit('"x":"\\u12"'))
+    )
+    address = text("https://b.org/{pk}")
+    head = F.concat(F.lit('{"@type":"JobPosting","title":"'), "title", F.lit('","hostedUrl":"'), address, F.lit('","url":"'), address, F.lit('",'))
+    posting = F.concat(head, extra, F.lit("}"))
     found = None
-    for case, limit in enumerate((0, 4, 9)):
-        df = scripts.embedded_postings(table.where(F.expr(f"pk % 3 = {case}")), 4 + limit).select("pk", F.col("walk_pos").cast("bigint").alias("walk_pos"))
+    for linked in (True, False):
+        table = _script_table(o, posting, "application/ld+json" if linked else "application/json")
+        df = scripts.linked_data_postings(table) if linked else scripts.embedded_postings(table)
+        df = df.select("pk", "job.title", "job.url", F.lit(linked).alias("linked"))
         found = df if found is None else found.unionByName(df)
     return found
 
 
-@query(OPENINGS + """SELECT pk, CASE pk % 8 WHEN 0 THEN 'next' WHEN 1 THEN 'json' WHEN 7 THEN 'bundle' END AS kept FROM o WHERE pk % 8 IN (0, 1, 7)""")
+@query(OPENINGS + """SELECT pk, CASE pk % 8 WHEN 0 THEN 'next' WHEN 1 THEN 'json' WHEN 3 THEN 'json' WHEN 7 THEN 'bundle' END AS kept FROM o WHERE pk % 8 IN (0, 1, 3, 7)""")
 def embedded_script_choice(spark, sf):
     o = X.openings(spark, sf)
-    long = F.expr("rpad('x = {absolute_url: 1, Greenhouse', 4001, ' ')")
+    bundle = F.expr("CASE WHEN pk % 3 = 0 THEN 'x = {absolute_url: 1, Greenhouse' ELSE rpad('x = {absolute_url: 1, Greenhouse', 4001, ' ') END")
     df = o.select(
         "pk", F.lit(0).alias("pos"),
         F.expr("CASE pk % 8 WHEN 0 THEN '__next_data__' WHEN 2 THEN '__next_data__' ELSE '' END").alias("id_lc"),
         F.expr("CASE pk % 8 WHEN 1 THEN 'application/json' WHEN 2 THEN 'application/ld+json' WHEN 3 THEN 'application/json' WHEN 4 THEN 'text/javascript' WHEN 5 THEN 'module' WHEN 7 THEN 'text/javascript' ELSE '' END").alias("type_lc"),
-        F.when(F.expr("pk % 8 IN (0, 1, 2, 6)"), F.lit('{"a":"absolute_url greenhouse"}')).when(F.expr("pk % 8 = 3"), F.lit('   {"a":"12345678"}        '))
-        .when(F.expr("pk % 8 IN (5, 7)"), long).otherwise(F.expr("rpad('absolute_url', 4001, ' ')")).alias("body"),
+        F.when(F.expr("pk % 8 IN (0, 1, 2, 6)"), F.when(F.expr("pk % 8 = 6"), F.lit("absolute-url greenhouse")).otherwise(F.lit('{"a":"absolute_url greenhouse"}'))).when(F.expr("pk % 8 = 3"), F.lit('   {"a":"12345678"}        '))
+        .when(F.expr("pk % 8 IN (5, 7)"), bundle).otherwise(F.expr("rpad('absolute_url', 4001, ' ')")).alias("body"),
     )
     return scripts.embedded_scripts(df).select("pk", F.when(F.col("id_lc") != "", "next").when(F.col("type_lc") == "application/json", "json").otherwise("bundle").alias("kept"))
 
@@ -432,6 +458,7 @@ def embedded_script_choice(spark, sf):
 @query(OPENINGS + """
 SELECT k, 'Role ' || title AS title, 'https://co' || k || '.example.com/jobs/' || pk AS url FROM o WHERE pk % 6 <= 3
 UNION ALL SELECT k, title, 'https://jobs.lever.co/lv' || k || '/jobs/' || pk FROM o WHERE pk % 6 = 4
+UNION ALL SELECT k, rtrim(repeat('long ', 50)), 'https://co' || k || '.example.com/jobs/' || pk FROM o WHERE pk % 6 = 5
 """)
 def page_job_links(spark, sf):
     """Forms of the same link; repeats after the first accepted one, other sites and unusable links give nothing."""
@@ -447,7 +474,7 @@ def page_job_links(spark, sf):
     parts = html.page_parts(captures.page_captures(captured))
     found = links.link_postings(links.link_facts(parts)).select("page_url", "script_pos", "extractor", "walk_pos", "job")
     merged = merge_postings(found, ["page_url"], order=["extractor", "script_pos"])
-    return merged.select(F.regexp_extract("page_url", r"co(\d+)\.", 1).cast("bigint").alias("k"), "job.title", "job.url").where("NOT url LIKE '%www.%'")
+    return merged.select(F.regexp_extract("page_url", r"co(\d+)\.", 1).cast("bigint").alias("k"), "job.title", "job.url")
 
 
 @query(OPENINGS + """
@@ -480,8 +507,8 @@ def _hub_rows():
 
 @query("""
 WITH hub(hub_url, hub_score, hub_rank) AS (VALUES ('/jobs', 500, 1), ('/careers/list', 450, 2), ('/x/b', 400, 3), ('/open-roles', 300, 4),
-  ('/roles', 300, 5), ('/vacancies', 300, 6), ('/opportunities', 300, 7), ('/job-board', 300, 8))
-SELECT s_suppkey AS k, 'https://co' || s_suppkey || '.example.com' || hub_url AS hub_url, hub_score, hub_rank FROM supplier, hub
+  ('/roles', 300, 5), ('/vacancies', 300, 6), ('/opportunities', 300, 7), ('/job-board', 300, 8), ('/listings/', 300, 9), ('https://boards.greenhouse.io/x/open-positions', 300, 10))
+SELECT s_suppkey AS k, CASE WHEN hub_url LIKE '/%' THEN 'https://co' || s_suppkey || '.example.com' ELSE '' END || hub_url AS hub_url, hub_score, hub_rank FROM supplier, hub
 """)
 def hub_ranking(spark, sf):
     c = X.companies_base(spark, sf)
@@ -565,7 +592,8 @@ FROM c JOIN (SELECT k, count(*) FILTER (sz % 2 = 0) AS n FROM o GROUP BY k) x ON
 """)
 def boards_named_in_pages(spark, sf):
     run = collection(spark, sf)
-    return page_boards(run.passes[0].visits, run.parts, run.payloads, "http").select(
+    named = page_boards(run.passes[0].visits, run.parts, run.payloads, "http")
+    return named.join(run.payloads.select("request_url", "jobs"), "request_url", "left").select(
         "careers_url", "token", "fault", F.greatest(F.coalesce(F.size("jobs"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_jobs")
     )
 
@@ -713,8 +741,8 @@ def records_by_shard(spark, sf):
 
 
 def _page_captures(spark, sf) -> DataFrame:
-    """Captures of the archive's HTML pages, spread over the days of the event table."""
-    return archive(spark, sf)[1].where("render = 'http' AND status = 200")
+    """All captures of the archive over HTTP, failures included."""
+    return archive(spark, sf)[1].where("render = 'http'")
 
 
 _STREAM_SQL = OPENINGS + """
@@ -737,16 +765,17 @@ def streamed_postings(spark, sf):
     return read.select("page_url", "job.*")
 
 
-@query(_STREAM_SQL + "SELECT page_url, source, title, url FROM p WHERE url IS NOT NULL UNION ALL SELECT DISTINCT page_url, source, title, url FROM p WHERE url IS NULL")
+@query(_STREAM_SQL + "SELECT *, CAST(-1 AS INT) AS day FROM (SELECT page_url, source, title, url FROM p WHERE url IS NOT NULL UNION ALL SELECT DISTINCT page_url, source, title, url FROM p WHERE url IS NULL)")
 def streamed_first_postings(spark, sf):
-    """The same captures arrive twice, the second time a day later under the same address: nothing is added."""
+    """The same captures arrive three times: a day later they add nothing, a day earlier they take the place of the first."""
     source, store = _new_folder(spark, "arrivals"), _new_folder(spark, "store")
     captured = _page_captures(spark, sf)
-    captured.write.parquet(source)
-    stream.first_postings(stream.read_capture_stream(spark, source), store, store + "-state", buckets=4).awaitTermination()
-    captured.withColumn("fetched_at", F.expr("fetched_at + INTERVAL 1 DAY")).write.mode("append").parquet(source)
-    stream.first_postings(stream.read_capture_stream(spark, source), store, store + "-state", buckets=4).awaitTermination()
-    return stream.read_store(spark, store).select("page_url", "job.source", "job.title", "job.url")
+    for days in (0, 1, -1):
+        captured.withColumn("fetched_at", F.expr(f"fetched_at + INTERVAL '{days}' DAY")).write.mode("append").parquet(source)
+        stream.first_postings(stream.read_capture_stream(spark, source), store, store + "-state", buckets=4).awaitTermination()
+    kept = stream.read_store(spark, store)
+    day = F.datediff("fetched_at", F.lit(captured.agg(F.min("fetched_at")).first()[0])).alias("day")
+    return kept.select("page_url", "job.source", "job.title", "job.url", day)
 
 
 @query("""

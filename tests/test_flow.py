@@ -9,7 +9,7 @@ from vacantia import Collection, collect_jobs, crawl_frontier, flatten_records,
 from vacantia.operators.merge import merge_postings
 from vacantia.schemas import job
 from vacantia.sources.captures import latest_captures
-from vacantia.sources.directory import companies_from_pages, read_directory_pages, select_companies
+from vacantia.sources.directory import companies_from_pages, read_directory_pages, select_companies, with_shard
 from vacantia.sources.shard_csv import shard_files, shard_location
 from vacantia.streaming import postings as stream
 
@@ -109,16 +109,31 @@ def test_other_sites_need_the_option(companies, responses):
     assert collect_jobs(c, r).count() == 0 and collect_jobs(c, r, same_site_only=False).count() == 1
 
 
-def test_hub_limit_counts_the_page_itself(companies, responses):
+def test_all_hub_pages_are_followed(companies, responses):
     c = companies(("a", "a.com"))
     hubs = "".join(f'<a href="/open-roles/{i}">Open roles</a>' for i in range(9))
     r = responses(
         ("https://a.com", "x"), ("https://a.com/careers", '<a href="/careers/">See all jobs</a>' + hubs),
         *[(f"https://a.com/open-roles/{i}", f'<a href="/jobs/{i}">Role {i}</a>') for i in range(9)],
     )
-    # The tie-free order: 8 hub pages with score 500, the page itself (450) and the ninth come after.
-    assert [x[3] for x in rows(collect_jobs(c, r))] == [f"Role {i}" for i in range(8)]
-    assert [x[3] for x in rows(collect_jobs(c, r, max_hub_urls=2))] == ["Role 0", "Role 1"]
+    assert [x[3] for x in rows(collect_jobs(c, r))] == [f"Role {i}" for i in range(9)]
+
+
+def test_shards_are_written_apart_and_again(spark, responses, tmp_path):
+    """The shard of a blank slug is that of its object id, and one shard can be rewritten alone."""
+    from vacantia.operators.sinks import write_outputs
+    from vacantia.schemas import COMPANIES
+
+    c = spark.createDataFrame([(0, i, f"s{i}" if i % 3 else "", str(i), f"N{i}", f"c{i}.com", None, True) for i in range(9)], COMPANIES)
+    r = responses(*[x for i in range(9) for x in ((f"https://c{i}.com", "x"), (f"https://c{i}.com/careers", f'<a href="/jobs/{i}">Role {i}</a>'))])
+    base = str(tmp_path / "out")
+    for shard in (0, 1, 2, 1):
+        write_outputs(collect_jobs(c, r, num_shards=3, shard=shard, with_shard=True), base, mode="overwrite")
+    whole = rows(collect_jobs(c, r))
+    for kind in ("jsonl", "json"):
+        assert spark.read.json(f"{base}/{kind}").count() == len(whole) == 9
+    have = {(x["company"]["yc_name"], x["shard"]) for x in spark.read.json(f"{base}/jsonl").collect()}
+    assert have == {(x.name, x.shard) for x in with_shard(c, 3).collect()}
 
 
 def test_options_are_checked(companies, responses):

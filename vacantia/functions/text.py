@@ -79,7 +79,7 @@ _CODE_POINT = f"""CASE
   ELSE {_CHAR} END"""
 # Code point of a numeric reference r; anything too long is out of range.
 _NUMBER = """CASE
-  WHEN r RLIKE '^#[xX]0*[0-9a-fA-F]{7}' OR r RLIKE '^#0*[0-9]{8}' THEN 1114112L
+  WHEN r RLIKE '^#[xX]0*+[0-9a-fA-F]{7}' OR r RLIKE '^#0*+[0-9]{8}' THEN 1114112L
   WHEN r RLIKE '^#[xX]' THEN CAST(conv(regexp_extract(r, '^#[xX]([0-9a-fA-F]+)', 1), 16, 10) AS BIGINT)
   ELSE CAST(regexp_extract(r, '^#([0-9]+)', 1) AS BIGINT) END"""
 

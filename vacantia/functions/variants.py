@@ -10,12 +10,9 @@ _FALSY = r'^(?:null|false|""|\[\]|\{\}|-?0(?:\.0*)?(?:[eE].*)?)$'
 
 
 def parse(c: Column) -> Column:
-    """VARIANT of a JSON text, null when malformed. Text after the first value makes it malformed too."""
-    space = F.lit(" \t\r\n")
-    head = F.left(F.ltrim(c, space), F.lit(1))
-    tail = F.right(F.rtrim(c, space), F.lit(1))
-    closed = ~head.isin("{", "[") | ((head == "{") & (tail == "}")) | ((head == "[") & (tail == "]"))
-    return F.when(closed, F.try_parse_json(c))
+    """VARIANT of a JSON text, null when malformed. A second value or other text behind the first makes it malformed too."""
+    values = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
 
 
 def field(v: Column, name: str) -> Column:

@@ -71,21 +71,20 @@ def discover_careers(roots: DataFrame, latest: DataFrame, facts: DataFrame) -> D
     )
 
 
-def rank_hubs(facts: DataFrame, max_urls: int = V.MAX_HUB_URLS) -> DataFrame:
-    """Pages to follow from a page: hub_url and hub_rank 1..max_urls by score, ties in page order.
+def rank_hubs(facts: DataFrame) -> DataFrame:
+    """All pages to follow from a page: hub_url and hub_rank 1, 2, ... by score, ties in page order.
 
-    Equal targets are reduced to their best score before the shuffle, and each task keeps at most
-    `max_urls` rows per page before ranking, so a page with millions of links is no hot spot.
+    Equal targets are reduced to their best score before the shuffle, so a group holds the distinct links of one page.
     """
     page = ["request_url", "render", "fetched_at"]
     scored = facts.where("hub_score > 0").groupBy(*page, F.col("target").alias("hub_url")).agg(
         F.max("hub_score").alias("hub_score"), F.min("pos").alias("first_pos")
     )
     order = Window.partitionBy(*page).orderBy(F.desc("hub_score"), "first_pos")
-    return scored.withColumn("hub_rank", F.row_number().over(order)).where(F.col("hub_rank") <= max_urls)
+    return scored.withColumn("hub_rank", F.row_number().over(order))
 
 
-def visited_pages(careers: DataFrame, latest: DataFrame, parts: DataFrame, facts: DataFrame, render: str, max_urls: int) -> DataFrame:
+def visited_pages(careers: DataFrame, latest: DataFrame, parts: DataFrame, facts: DataFrame, render: str) -> DataFrame:
     """Pages read for each careers URL: the landing page (page_rank 0) and one level of hub pages.
 
     Columns: careers_url, page_rank, wanted_url, and for captured pages request_url, fetched_at, page_url,
@@ -114,7 +113,7 @@ def visited_pages(careers: DataFrame, latest: DataFrame, parts: DataFrame, facts
     landing = careers.select("careers_url", F.lit(0).alias("page_rank"), F.col("careers_url").alias("wanted_url")).join(
         pages, "wanted_url", "left"
     )
-    hubs = rank_hubs(facts.where(F.col("render") == render), max_urls).select("request_url", "fetched_at", "hub_url", "hub_rank")
+    hubs = rank_hubs(facts.where(F.col("render") == render)).select("request_url", "fetched_at", "hub_url", "hub_rank")
     follow = (
         landing.where("has_text")
         .join(hubs, ["request_url", "fetched_at"])

@@ -34,4 +34,4 @@ def flatten_records(records: DataFrame) -> DataFrame:
         "stage": F.when(error, F.col("stage")).otherwise(F.lit("")),
         "error": F.when(error, F.col("error")).otherwise(shown(careers, F.col("note"))),
     }
-    return records.select(*[columns[n].alias(n) for n in V.CSV_FIELDS])
+    return records.select(*[columns[n].alias(n) for n in V.CSV_FIELDS], *[c for c in ("shard",) if c in records.columns])

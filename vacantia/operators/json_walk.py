@@ -1,7 +1,7 @@
 """Walk of nested JSON: the one step no built-in expression can do.
 
 VARIANT has no recursive function, orders object keys by name and rejects what the page's own order decides
-(which of two equal postings comes first, which values fall under the node limit). So a small Arrow-batched
+(which of two equal postings comes first). So a small Arrow-batched
 function lists the objects of one script in visiting order, cut down to the few fields the rules read.
 All rules on those fields are Spark expressions.
 """
@@ -9,6 +9,7 @@ All rules on those fields are Spark expressions.
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Iterator
 
@@ -27,12 +28,11 @@ _EMBEDDED_FIELDS = [*V.EMBEDDED_TITLE_KEYS, *V.EMBEDDED_URL_KEYS, "url", "locati
 _LD_FIELDS = ["@type", "title", "url", "sameAs", "jobLocation"]
 
 
-def objects_everywhere(root: object, limit: int) -> Iterator[dict]:
-    """Objects with a job-hint key, parents first, among the first `limit` values of the document."""
-    todo, seen = [root], 0
-    while todo and seen < limit:
+def objects_everywhere(root: object) -> Iterator[dict]:
+    """Objects with a job-hint key, parents first, in the order of the document."""
+    todo = [root]
+    while todo:
         value = todo.pop()
-        seen += 1
         if isinstance(value, dict):
             if any(k.lower() in _HINTS for k in value):
                 yield value
@@ -54,21 +54,107 @@ def linked_data_objects(root: object) -> Iterator[dict]:
             yield value
 
 
-def _listing(text: str | None, linked: bool, limit: int) -> list[str]:
+def _finite(text: str) -> float | None:
+    number = float(text)
+    return number if number - number == 0 else None
+
+
+def _whole(text: str) -> int | None:
+    return int(text) if len(text) <= 300 else None
+
+
+_OPTIONS = {"parse_constant": lambda _: None, "parse_float": _finite, "parse_int": _whole}
+_SPACE = re.compile(r"[ \t\n\r]*")
+
+
+def parsed(text: str) -> object:
+    """Value of a JSON text; numbers out of range and NaN are null. A text too deep for the reader is read by a loop."""
+    try:
+        return json.loads(text, **_OPTIONS)
+    except RecursionError:
+        return _deep(text)
+
+
+def _deep(text: str) -> object:
+    """The same with the open lists and objects on a list of our own."""
+    skip = lambda i: _SPACE.match(text, i).end()
+    stack: list[tuple[list | dict, str | None]] = []
+    at, key, expects = skip(0), None, "value"
+    scalar = json.JSONDecoder(**_OPTIONS)
+
+    def fail() -> None:
+        raise json.JSONDecodeError("malformed", text, at)
+
+    while True:
+        char = text[at : at + 1]
+        if expects == "value" and char in ("[", "{") and char:
+            stack.append(([] if char == "[" else {}, key))
+            key, at = None, skip(at + 1)
+            if text[at : at + 1] == ("]" if char == "[" else "}"):
+                expects = "close"
+            else:
+                expects = "value" if char == "[" else "key"
+            continue
+        if expects == "key":
+            if char != '"':
+                fail()
+            key, at = json.decoder.scanstring(text, at + 1, True)
+            at = skip(at)
+            if text[at : at + 1] != ":":
+                fail()
+            at, expects = skip(at + 1), "value"
+            continue
+        if expects == "close":
+            value, key = stack.pop()
+            at = skip(at + 1)
+        else:
+            if not char:
+                fail()
+            value, at = scalar.raw_decode(text, at)
+            at = skip(at)
+        if not stack:
+            if at != len(text):
+                fail()
+            return value
+        owner = stack[-1][0]
+        if isinstance(owner, list):
+            owner.append(value)
+        else:
+            owner[key] = value
+        char, last = text[at : at + 1], "]" if isinstance(owner, list) else "}"
+        if char == ",":
+            at, key, expects = skip(at + 1), None, "value" if last == "]" else "key"
+        elif char == last:
+            expects = "close"
+        else:
+            fail()
+
+
+def _shallow(value: object, depth: int = 100) -> object:
+    """The value without what lies deeper than any rule looks, so that writing it needs no deep recursion."""
+    if isinstance(value, dict):
+        return {k: _shallow(v, depth - 1) for k, v in value.items()} if depth else None
+    if isinstance(value, list):
+        return [_shallow(v, depth - 1) for v in value] if depth else None
+    return value
+
+
+def _listing(text: str | None, linked: bool) -> list[str]:
     try:
-        root = json.loads(text or "", parse_constant=lambda _: None)
-    except (ValueError, RecursionError):
+        root = parsed(text or "")
+    except ValueError:
         return []
-    found = linked_data_objects(root) if linked else objects_everywhere(root, limit)
+    found = linked_data_objects(root) if linked else objects_everywhere(root)
     fields = _LD_FIELDS if linked else _EMBEDDED_FIELDS
-    return [json.dumps({k: o[k] for k in fields if k in o}, ensure_ascii=False) for o in found]
+    # Escapes keep lone halves of surrogate pairs, which no encoding of text can hold.
+    return [json.dumps({k: _shallow(o[k]) for k in fields if k in o}) for o in found]
 
 
-def json_objects(text: Column, linked: bool, limit: int = V.MAX_JSON_NODES) -> Column:
+def json_objects(text: Column, linked: bool) -> Column:
     """ARRAY<STRING>: the visited objects of a JSON text; empty when it is malformed."""
 
     @F.pandas_udf("array<string>")
     def walk(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _listing(t, linked, limit))
+        return texts.map(lambda t: _listing(t, linked))
 
     return walk(text)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions import rules as R
-from vacantia.functions import vocabulary as V
 from vacantia.functions.bind import bind
 from vacantia.functions.urls import base_parts, host, path, strip_fragment, with_absolute
 from vacantia.operators.html import explode_anchors
@@ -49,7 +48,7 @@ def link_facts(parts: DataFrame, same_site_only: bool = True) -> DataFrame:
         anchors,
         root_score=F.when(F.col("root_tier").isNotNull(), R.careers_score(target, low, F.col("_near"))),
         hub_score=F.when(as_page & F.col("_near") & ~R.is_script_or_mail(F.col("href")), R.hub_score(low, label)).otherwise(0),
-        is_job=as_page & in_scope & F.length("text").between(1, V.MAX_LINK_TITLE) & R.is_job_link(low, F.col("text")),
+        is_job=as_page & in_scope & (F.length("text") >= 1) & R.is_job_link(low, F.col("text")),
     )
     useful = F.coalesce(F.col("root_score") >= 0, F.lit(False))
     return anchors.where(useful | (F.col("hub_score") > 0) | F.col("is_job")).select(

@@ -16,9 +16,9 @@ from vacantia.schemas import job
 RANK_BOARD, RANK_EMBEDDED, RANK_LINKED_DATA, RANK_LINK = range(4)
 
 
-def _objects(scripts: DataFrame, text: Column, linked: bool, limit: int = V.MAX_JSON_NODES) -> DataFrame:
+def _objects(scripts: DataFrame, text: Column, linked: bool) -> DataFrame:
     keep = [c for c in scripts.columns if c not in ("body", "id_lc", "type_lc")]
-    objects = scripts.select(*keep, json_objects(text, linked, limit).alias("objects")).select(
+    objects = scripts.select(*keep, json_objects(text, linked).alias("objects")).select(
         *keep, F.posexplode("objects").alias("walk_pos", "object")
     )
     return bind(objects, v=F.try_parse_json("object")).drop("object")
@@ -82,15 +82,15 @@ def linked_data_postings(scripts: DataFrame) -> DataFrame:
 
 
 def embedded_scripts(scripts: DataFrame) -> DataFrame:
-    """Scripts that carry page data: marked as JSON, or a large bundle with board objects."""
+    """Scripts that carry page data: marked as JSON, or a bundle with board objects."""
     kind, body = F.col("type_lc"), F.col("body")
     linked = F.contains(kind, F.lit("ld+json"))
     marked = (F.col("id_lc") == "__next_data__") | F.contains(kind, F.lit("application/json"))
     bundle = (
-        kind.isin("", "text/javascript") & (F.length(body) > 4000) & F.contains(body, F.lit("absolute_url"))
+        kind.isin("", "text/javascript") & F.contains(body, F.lit("absolute_url"))
         & F.contains(F.lower(body), F.lit("greenhouse"))
     )
-    return scripts.where(~linked & ((marked & (F.length(strip(body)) > 20)) | bundle)).withColumn(
+    return scripts.where(~linked & ((marked & not_blank(body)) | bundle)).withColumn(
         "body", F.when(marked, strip(body)).otherwise(body)
     )
 
@@ -105,12 +105,12 @@ def _embedded_location(loc: Column) -> Column:
     )
 
 
-def embedded_postings(scripts: DataFrame, limit: int = V.MAX_JSON_NODES) -> DataFrame:
+def embedded_postings(scripts: DataFrame) -> DataFrame:
     """Job-like objects of embedded JSON. Needs the script table plus page_url."""
     hints = r"(?i)\\u00|" + "|".join(V.JOB_HINT_KEYS)
     chosen = embedded_scripts(scripts).where(F.col("body").rlike(hints)).withColumnRenamed("pos", "script_pos")
     v = F.col("v")
-    found = bind(_objects(chosen, F.col("body"), linked=False, limit=limit), _title=J.first_truthy(v, V.EMBEDDED_TITLE_KEYS))
+    found = bind(_objects(chosen, F.col("body"), linked=False), _title=J.first_truthy(v, V.EMBEDDED_TITLE_KEYS))
     title = F.col("_title")
     found = bind(found.where(J.is_text(title)), _title=strip(J.text(title)))
     found = found.where((F.length(title) >= 2) & ~F.lower(title).isin(V.EMBEDDED_TITLE_BLOCK))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.operators.flatten import flatten_records
+from vacantia.session import stage
 
 # Quotes are doubled, blanks stay blank, values keep their outer spaces: exact on reading back.
 CSV_OPTIONS = {
@@ -18,7 +18,8 @@ _PARTITION = "shard"
 
 def _writer(df: DataFrame, mode: str, by_shard: bool):
     w = df.write.mode(mode)
-    return w.partitionBy(_PARTITION) if by_shard else w
+    # An overwrite replaces the shards it writes and leaves the others.
+    return w.partitionBy(_PARTITION).option("partitionOverwriteMode", "dynamic") if by_shard else w
 
 
 def write_records(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -39,20 +40,15 @@ def write_csv(flat: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def write_outputs(records: DataFrame, base: str, mode: str = "errorifexists", num_shards: int = 1) -> None:
     """Records under {base}/jsonl and flat rows under {base}/json and {base}/csv, from one evaluation.
 
-    With several shards every output is partitioned by the company's shard, so each shard is a folder of
-    its own and shards written at different times do not touch each other.
+    With several shards, or records that carry their run's `shard` (`collect_jobs(with_shard=True)`), every output is
+    partitioned by it. Shards written at different times with mode 'overwrite' do not touch each other.
     """
     from vacantia.functions.rules import shard_index
 
-    kept = records.persist(StorageLevel.DISK_ONLY)
-    try:
-        flat = flatten_records(kept)
-        nested = kept
-        if num_shards > 1:
-            nested = nested.withColumn(_PARTITION, shard_index(F.col("company.yc_slug"), num_shards))
-            flat = flat.withColumn(_PARTITION, shard_index(F.coalesce("company_slug", F.lit("")), num_shards))
-        write_records(nested, f"{base}/jsonl", mode)
-        write_flat_json(flat, f"{base}/json", mode)
-        write_csv(flat, f"{base}/csv", mode)
-    finally:
-        kept.unpersist()
+    if _PARTITION not in records.columns and num_shards > 1:
+        records = records.withColumn(_PARTITION, shard_index(F.col("company.yc_slug"), num_shards))
+    kept = stage(records, "records")
+    flat = flatten_records(kept)
+    write_records(kept, f"{base}/jsonl", mode)
+    write_flat_json(flat, f"{base}/json", mode)
+    write_csv(flat, f"{base}/csv", mode)

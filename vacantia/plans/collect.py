@@ -26,11 +26,11 @@ POSTING = ["request_url", "render", "fetched_at", "page_url", "extractor", "scri
 RENDER_MODES = ("http", "browser", "fallback")
 
 
-def page_postings(parts: DataFrame, facts: DataFrame, max_json_nodes: int = V.MAX_JSON_NODES) -> DataFrame:
+def page_postings(parts: DataFrame, facts: DataFrame) -> DataFrame:
     """Postings found on each page by embedded JSON, JSON-LD and links. Map-only and independent of companies."""
     scripts = explode_scripts(parts.select("request_url", "render", "fetched_at", "page_url", "scripts"))
     return (
-        embedded_postings(scripts, max_json_nodes).select(*POSTING)
+        embedded_postings(scripts).select(*POSTING)
         .unionByName(linked_data_postings(scripts).select(*POSTING))
         .unionByName(link_postings(facts).select(*POSTING))
     )
@@ -47,7 +47,7 @@ def direct_boards(careers: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def page_boards(visits: DataFrame, parts: DataFrame, payloads: DataFrame, render: str) -> DataFrame:
-    """Boards named in the visited pages of each careers URL, each once at its first page."""
+    """Boards named in the visited pages of each careers URL, each once at its first page, without their jobs."""
     tokens = parts.where((F.col("render") == render) & (F.size("boards") > 0)).select("request_url", "fetched_at", F.inline("boards"))
     named = (
         visits.where("has_text").select("careers_url", "page_rank", "request_url", "fetched_at")
@@ -55,7 +55,14 @@ def page_boards(visits: DataFrame, parts: DataFrame, payloads: DataFrame, render
         .groupBy("careers_url", "vendor_rank", "vendor", "token").agg(F.min("page_rank").alias("page_rank"))
     )
     api = F.coalesce(*[F.when(F.col("vendor") == v, R.board_api_url(v, F.col("token"))) for v in VENDORS])
-    return named.withColumn("request_url", api).join(payloads, "request_url", "left")
+    states = payloads.select("request_url", "fault", (F.size("jobs") > 0).alias("has_jobs"))
+    return named.withColumn("request_url", api).join(states, "request_url", "left")
+
+
+def left_join(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join that keeps rows without a key out of the shuffle, where they would all meet in one task."""
+    known = df.where(F.col(key).isNotNull()).join(other, key, "left")
+    return known.unionByName(df.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 @dataclass
@@ -63,7 +70,7 @@ class Pass:
     """Result of reading the pages of some careers URLs in one render mode."""
 
     visits: DataFrame
-    boards: DataFrame  # boards named in visited pages, with payload
+    boards: DataFrame  # boards named in visited pages, with the state of their payload
     postings: DataFrame  # careers_url, job
     outcome: DataFrame  # careers_url, shown_url, error, has_jobs
 
@@ -81,14 +88,11 @@ class Collection:
         responses: DataFrame,
         *,
         render: str = "http",
-        max_hub_urls: int = V.MAX_HUB_URLS,
         same_site_only: bool = True,
-        max_json_nodes: int = V.MAX_JSON_NODES,
     ):
         if render not in RENDER_MODES:
             raise ValueError(f"render must be one of {RENDER_MODES}")
         tune(companies.sparkSession)
-        self.max_hub_urls, self.max_json_nodes = max_hub_urls, max_json_nodes
         self.first_render = "browser" if render == "browser" else "http"
         self.companies = companies.withColumn("root", normalize_website(F.col("website")))
         self.responses = responses
@@ -126,21 +130,22 @@ class Collection:
 
     def _read(self, careers: DataFrame, render: str) -> Pass:
         visits = stage(
-            visited_pages(careers, self.latest, self.parts, self.facts, render, self.max_hub_urls), "visits"
+            visited_pages(careers, self.latest, self.parts, self.facts, render), "visits"
         )
-        boards = page_boards(visits, self.parts, self.payloads, render)
+        boards = stage(page_boards(visits, self.parts, self.payloads, render), "page-boards")
         faults = boards.where("fault IS NOT NULL").groupBy("careers_url").agg(
             F.min_by("fault", F.struct("page_rank", "vendor_rank", "token")).alias("error")
         )
         listed = (
-            boards.where("fault IS NULL").select("careers_url", "page_rank", "vendor_rank", "token", F.inline("jobs"))
+            boards.where("fault IS NULL AND has_jobs").join(self.payloads.select("request_url", "jobs"), "request_url")
+            .select("careers_url", "page_rank", "vendor_rank", "token", F.inline("jobs"))
             .where(F.col("job.url") != "")
             .select(
                 "careers_url", "page_rank", F.lit(RANK_BOARD).alias("extractor"), F.col("vendor_rank").alias("script_pos"),
                 "token", F.col("board_pos").alias("walk_pos"), "job",
             )
         )
-        found = page_postings(self.parts.where(F.col("render") == render), self.facts.where(F.col("render") == render), self.max_json_nodes)
+        found = page_postings(self.parts.where(F.col("render") == render), self.facts.where(F.col("render") == render))
         on_pages = (
             visits.where("has_text").select("careers_url", "page_rank", "request_url", "fetched_at")
             .join(found.select("request_url", "fetched_at", "extractor", "script_pos", "walk_pos", "job"), ["request_url", "fetched_at"])
@@ -163,7 +168,7 @@ class Collection:
     def located_companies(self) -> DataFrame:
         """Companies with careers_url, shown_url, error, has_jobs."""
         found = self.discovered.select("root", "careers_url")
-        return self.companies.join(found, "root", "left").join(self.outcome, "careers_url", "left")
+        return left_join(left_join(self.companies, found, "root"), self.outcome, "careers_url")
 
 
 def _company() -> Column:
@@ -179,6 +184,7 @@ def _records(df: DataFrame, source: str, **columns: Column) -> DataFrame:
     return df.select(
         F.lit(source).alias("source"), _company().alias("company"),
         *[columns.get(n, null).cast(t).alias(n) for n, t in types.items()],
+        *[c for c in ("shard",) if c in df.columns],
     )
 
 
@@ -223,13 +229,13 @@ def collect_jobs(
     include_listings: bool = False,
     skip_external: bool = False,
     verbose: bool = False,
+    with_shard: bool = False,
     render: str = "http",
-    max_hub_urls: int = V.MAX_HUB_URLS,
     same_site_only: bool = True,
-    max_json_nodes: int = V.MAX_JSON_NODES,
 ) -> DataFrame:
     """Records of all open roles of the chosen companies.
 
+    with_shard: keep the shard of the company, by its slug or else its object id, as a column.
     render: 'http', 'browser', or 'fallback' (rendered captures for companies without postings over HTTP).
     Shared intermediate tables are written to the checkpoint folder (see `vacantia.session.stage`).
     """
@@ -243,13 +249,11 @@ def collect_jobs(
         chosen = stage(chosen, "companies")
     parts = []
     if not skip_external:
-        run = Collection(
-            chosen, responses, render=render, max_hub_urls=max_hub_urls, same_site_only=same_site_only,
-            max_json_nodes=max_json_nodes,
-        )
+        run = Collection(chosen, responses, render=render, same_site_only=same_site_only)
         parts.append(external_records(run, verbose))
     if include_listings:
         tune(companies.sparkSession)
         parts.append(listing_records(chosen, responses))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.to(companies.sparkSession.createDataFrame([], RECORDS).schema)
+    schema = companies.sparkSession.createDataFrame([], RECORDS + (", shard INT" if with_shard else "")).schema
+    return out.to(schema)

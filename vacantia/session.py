@@ -43,6 +43,13 @@ def stage_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def path_exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether a file or folder of any of Spark's file systems matches the pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table once, to be read by several consumers.
 

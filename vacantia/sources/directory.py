@@ -16,27 +16,60 @@ _PAGE = (
 )
 
 
+_BROKEN = "broken"
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Captured directory pages as JSON Lines of {dir_page, hits, nbPages}; `broken` holds a line that is no such page."""
+    schema = T.StructType([T.StructField("dir_page", T.IntegerType()), *T.StructType.fromDDL(_PAGE).fields, T.StructField(_BROKEN, T.StringType())])
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", _BROKEN).json(path)
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """The same from captured bodies (dir_page, body)."""
+    p = F.from_json("body", f"{_PAGE}, {_BROKEN} STRING", {"columnNameOfCorruptRecord": _BROKEN})
+    broken = F.when(F.col("body").isNull() | F.col("p").isNull(), F.lit("")).otherwise(F.col(f"p.{_BROKEN}"))
+    return pages.select("dir_page", "body", p.alias("p")).select("dir_page", "p.hits", "p.nbPages", broken.alias(_BROKEN))
+
+
 def read_directory_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Captured directory pages as JSON Lines of {dir_page, hits, nbPages}."""
-    schema = T.StructType([T.StructField("dir_page", T.IntegerType()), *T.StructType.fromDDL(_PAGE).fields])
-    return companies_from_hits(spark.read.schema(schema).json(path))
+    """Companies of captured directory pages in JSON Lines."""
+    return companies_from_hits(read_pages(spark, path))
 
 
 def companies_from_pages(pages: DataFrame) -> DataFrame:
     """Companies from captured directory pages (dir_page, body)."""
-    return companies_from_hits(pages.select("dir_page", F.from_json("body", _PAGE).alias("p")).select("dir_page", "p.*"))
+    return companies_from_hits(parsed_pages(pages))
+
+
+def _last_page(pages: DataFrame) -> Column:
+    """Number of the first readable page whose successor is not below its nbPages; a missing nbPages means 0."""
+    last = pages.where(F.col(_BROKEN).isNull() & (F.col("dir_page") + 1 >= F.coalesce("nbPages", F.lit(0)))).agg(F.min("dir_page"))
+    return F.coalesce(last.scalar(), F.lit(2**31 - 1))
 
 
 def companies_from_hits(pages: DataFrame) -> DataFrame:
-    """Walk pages 0, 1, ... up to the first whose successor is not below its nbPages; missing nbPages means 0."""
-    last = pages.where(F.col("dir_page") + 1 >= F.coalesce("nbPages", F.lit(0))).agg(F.min("dir_page"))
-    walked = pages.where(F.col("dir_page") <= F.coalesce(last.scalar(), F.lit(2**31 - 1)))
+    """Companies of the pages up to the last one. A page that cannot be read does not end the walk; see `directory_faults`."""
+    walked = pages.where(F.col(_BROKEN).isNull() & (F.col("dir_page") <= _last_page(pages)))
     return walked.select("dir_page", F.posexplode("hits").alias("pos", "h")).select(
         "dir_page", "pos", "h.slug", F.col("h.objectID").alias("object_id"), "h.name", "h.website", "h.batch",
         F.col("h.isHiring").alias("is_hiring"),
     )
 
 
+def directory_faults(pages: DataFrame) -> DataFrame:
+    """(dir_page, fault) of the pages before the end of the directory that are malformed or were never captured.
+
+    Takes the tables of `read_pages` or `parsed_pages`. Pages are few: one per hundred companies.
+    """
+    known = pages.groupBy("dir_page").agg(F.max(F.col(_BROKEN).isNull()).alias("readable"))
+    told = F.least(_last_page(pages), F.coalesce(pages.agg(F.max("nbPages") - 1).scalar(), F.lit(0)))
+    spark = pages.sparkSession
+    all_pages = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.greatest(told, F.lit(0)))).alias("dir_page"))
+    missing = all_pages.join(known, "dir_page", "left_anti").select("dir_page", F.lit("directory page was not captured").alias("fault"))
+    return known.where("NOT readable").select("dir_page", F.lit("directory page is malformed").alias("fault")).unionByName(missing)
+
+
 def shard_key() -> Column:
     return F.coalesce(empty_to_null(F.col("slug")), F.col("object_id"), F.lit(""))
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.functions.vocabulary import CSV_FIELDS
 from vacantia.operators.sinks import write_csv
+from vacantia.session import path_exists
 
 _READ = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8"}
 
@@ -29,11 +29,11 @@ def shard_files(spark: SparkSession, output_base: str, num_shards: int | None =
     path = F.regexp_extract("path", r"^(.*?-shard[^/]*\.csv)(?:/|$)", 1)
     name = F.regexp_extract("path", r"([^/]*-shard[^/]*\.csv)(?:/|$)", 1)
     number = F.coalesce(F.regexp_extract(name, r"(?i)-shard(\d+)", 1).try_cast("int"), F.lit(0))
-    try:
-        # Only names are listed; the content column is not read.
-        listed = spark.read.format("binaryFile").load(f"{folder}/{stem}-shard*.csv")
-    except AnalysisException:
+    files = f"{folder}/{stem}-shard*.csv"
+    if not path_exists(spark, files):
         return None
+    # Only names are listed; the content column is not read.
+    listed = spark.read.format("binaryFile").load(files)
     listed = listed.where("path NOT RLIKE '/[_.][^/]*$'").select(path.alias("path"), name.alias("name"), number.alias("shard_no")).distinct()
     if num_shards is not None:
         listed = listed.where(F.col("shard_no") < num_shards)

@@ -11,7 +11,7 @@ from vacantia.operators.links import link_facts
 from vacantia.operators.merge import merge_postings
 from vacantia.plans.collect import page_postings
 from vacantia.schemas import RESPONSES
-from vacantia.session import tune
+from vacantia.session import path_exists, stage, tune
 from vacantia.sources.captures import page_captures
 
 # Arrival order of postings: capture time first, then the order inside a page.
@@ -38,29 +38,39 @@ def append_postings(responses: DataFrame, out: str, checkpoint: str, **trigger)
 
 
 def store_batch(batch: DataFrame, batch_id: int, store: str, buckets: int = 64) -> None:
-    """Add the postings of one micro-batch whose (page, key) is not stored yet.
+    """Add the postings of one micro-batch whose (page, key) is not stored yet, or was stored from a later capture.
 
-    Stored rows are partitioned by a hash bucket of the key, so the look-up reads only two narrow columns.
-    Each batch overwrites its own folder and looks only at earlier ones: a repeated batch gives the same store.
+    Stored rows are partitioned by a hash bucket of the key, and only the buckets the batch touches are read, two narrow
+    columns and the time. Each batch overwrites its own folder and looks only at earlier ones: a repeated batch gives
+    the same store.
     """
     spark = batch.sparkSession
     merged = merge_postings(batch, ["page_url"], carry=["fetched_at"], order=ARRIVAL)
-    new = merged.withColumn("bucket", F.pmod(F.xxhash64("page_url", "key"), F.lit(buckets)).cast("int"))
-    known = read_store(spark, store)
+    new = stage(merged.withColumn("bucket", F.pmod(F.xxhash64("page_url", "key"), F.lit(buckets)).cast("int")), "batch")
+    known = stored_rows(spark, store)
     if known is not None:
-        known = known.where(F.col("batch_id") < batch_id).select("bucket", "page_url", "key")
-        new = new.join(known, ["bucket", "page_url", "key"], "left_anti")
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        known = known.where((F.col("batch_id") < batch_id) & F.col("bucket").isin(touched))
+        known = known.groupBy("bucket", "page_url", "key").agg(F.min("fetched_at").alias("known_at"))
+        new = new.join(known, ["bucket", "page_url", "key"], "left").where("known_at IS NULL OR fetched_at < known_at").drop("known_at")
     new.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch_id={batch_id}")
 
 
-def read_store(spark: SparkSession, store: str) -> DataFrame | None:
-    """Stored postings, None while there are none."""
-    from pyspark.errors import AnalysisException
+def stored_rows(spark: SparkSession, store: str) -> DataFrame | None:
+    """All stored rows, None while there are none. A key stored again from an earlier capture has several."""
+    if not path_exists(spark, f"{store}/batch_id=*/bucket=*"):
+        return None
+    return spark.read.option("basePath", store).parquet(f"{store}/batch_id=*")
 
-    try:
-        return spark.read.option("basePath", store).parquet(f"{store}/batch_id=*")
-    except AnalysisException:
+
+def read_store(spark: SparkSession, store: str) -> DataFrame | None:
+    """Stored postings, each from its earliest capture; None while there are none."""
+    rows = stored_rows(spark, store)
+    if rows is None:
         return None
+    rest = [c for c in rows.columns if c not in ("page_url", "key")]
+    first = rows.groupBy("page_url", "key").agg(F.min_by(F.struct(*rest), F.struct("fetched_at", "batch_id")).alias("first"))
+    return first.select("page_url", "key", "first.*")
 
 
 def first_postings(responses: DataFrame, store: str, checkpoint: str, buckets: int = 64, **trigger) -> StreamingQuery:
