@@ -15,6 +15,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.texts import encoded, slices, worker_state
+from vacantia.llm.texts import WordTable, encoded, slices, worker_state
 
 END = "</w>"
 
@@ -42,7 +43,8 @@ class PairCoder:
         model, library = spec["model"], Tokenizer.from_str(text)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.ids: dict[str, int] = model["vocab"]
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        self.ranks = {(self.ids[a], self.ids[b]): rank for rank, (a, b) in enumerate(model["merges"])}
+        self.made = [self.ids[a + b] for a, b in model["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         size = max([*self.ids.values(), *self.special.values()]) + 1
@@ -51,7 +53,11 @@ class PairCoder:
             self.strings[i] = string
         self.inner = {s: i for s, i in self.ids.items() if not (s.endswith(END) and len(s) > len(END))}
         self.final = {s[: -len(END)]: i for s, i in self.ids.items() if s.endswith(END) and len(s) > len(END)}
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.final_ids = set(self.final.values())
+        self.longest = max(map(len, self.final))
+        self.reach: dict[str, int] = {}  # by its first two characters, the length of the longest inner token
+        for string in self.inner:
+            self.reach[string[:2]] = max(self.reach.get(string[:2], 1), len(string))
         self.size = size
         self.judged: dict[int, bool] = {}
 
@@ -63,33 +69,49 @@ class PairCoder:
 
     def merged(self, ids: list[int]) -> list[int]:
         """Exact merging: always the pair of lowest rank, the leftmost of equals, until none is left."""
+        if len(ids) > 64:
+            return self.merged_by_heap(ids)
+        rank_of, made, none = self.ranks.get, self.made, len(self.made)
+        ranks = [rank_of(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks and (rank := min(ranks)) < none:
+            i = ranks.index(rank)
+            ids[i] = made[rank]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank_of((ids[i], ids[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank_of((ids[i - 1], ids[i]), none)
+        return ids
+
+    def merged_by_heap(self, ids: list[int]) -> list[int]:
+        """The same for long pieces, whose time then grows little faster than their length."""
         n = len(ids)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(self.merges[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.merges]
+        heap = [(self.ranks[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.ranks]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            rank, i, pair = heapq.heappop(heap)
             j = right[i]
             if not alive[i] or j < 0 or (ids[i], ids[j]) != pair:
                 continue
-            ids[i], alive[j], right[i] = self.merges[pair][1], False, right[j]
+            ids[i], alive[j], right[i] = self.made[rank], False, right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             for a in (left[i], i):
-                if a >= 0 and right[a] >= 0 and (near := (ids[a], ids[right[a]])) in self.merges:
-                    heapq.heappush(heap, (self.merges[near][0], a, near))
+                if a >= 0 and right[a] >= 0 and (near := (ids[a], ids[right[a]])) in self.ranks:
+                    heapq.heappush(heap, (self.ranks[near], a, near))
         return [x for x, there in zip(ids, alive, strict=True) if there]
 
     def proposal(self, piece: str) -> list[int]:
         """Longest match from left to right."""
         out, i, n = [], 0, len(piece)
-        inner, final, longest = self.inner, self.final, self.longest
+        inner, final, longest, reach = self.inner, self.final, self.longest, self.reach
         while i < n:
             if n - i <= longest and (found := final.get(piece[i:])) is not None:
                 out.append(found)
                 break
-            for j in range(min(n - 1, i + longest), i, -1):
+            for j in range(min(n - 1, i + reach.get(piece[i : i + 2], 1)), i, -1):
                 if (found := inner.get(piece[i:j])) is not None:
                     out.append(found)
                     i = j
@@ -105,18 +127,12 @@ class PairCoder:
         core = string[: -len(END)] if ends else string
         return self.merged(self.symbols(core, ends)) == tokens
 
-    @property
-    def final_ids(self) -> set[int]:
-        if not hasattr(self, "_final_ids"):
-            self._final_ids = set(self.final.values())
-        return self._final_ids
-
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         proposals = [self.proposal(p) for p in pieces]
         if not pieces:
             return []
         counts = np.fromiter(map(len, proposals), np.int64, len(proposals))
-        flat = np.fromiter((t for p in proposals for t in p), np.int64, int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(proposals), np.int64, int(counts.sum()))
         ends = np.cumsum(counts)
         partner = np.append(flat[1:], self.size)
         last = ends - 1
@@ -136,8 +152,8 @@ class PairCoder:
             proposals[i] = self.merged(self.symbols(pieces[i], True))
         return proposals
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, a string without ASCII white space, as little-endian bytes."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, strings without ASCII white space, one after the other, and how many each has."""
         plan: list[list[str | int]] = []
         for word in words:
             sections = self.special_pattern.split(word) if self.special and "<|" in word else [word]
@@ -149,14 +165,18 @@ class PairCoder:
                     plan[-1] += [piece for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(section))]
         pieces = list({x for parts in plan for x in parts if isinstance(x, str)})
         ids = dict(zip(pieces, self.encode_pieces(pieces), strict=True))
-        return [np.array([i for x in parts for i in (ids[x] if isinstance(x, str) else (x,))], "<u4").tobytes() for parts in plan]
+        rows = [ids[parts[0]] if len(parts) == 1 and parts[0] in ids else [i for x in parts for i in (ids[x] if isinstance(x, str) else (x,))] for parts in plan]
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.fromiter(chain.from_iterable(rows), np.uint32, int(counts.sum())), counts
 
 
-def coder(text: str) -> tuple[PairCoder, dict[str, bytes]]:
+def coder(text: str) -> tuple[PairCoder, WordTable]:
+    """The coder of a tokenizer file and its table of words, built once per Python worker."""
     state = worker_state("bpe")
     if state.get("text") != text:
-        state.update(text=text, coder=PairCoder(text), cache={})
-    return state["coder"], state["cache"]
+        bpe = PairCoder(text)
+        state.update(text=text, coder=bpe, table=WordTable(bpe.encode_words))
+    return state["coder"], state["table"]
 
 
 def ids_array(ids: np.ndarray, starts: np.ndarray) -> pa.ListArray:
@@ -176,9 +196,9 @@ def encode(docs: DataFrame, tokenizer_path: str, column: str = "text", into: str
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_text(tokenizer_path))  # one file, a few MB
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, cache = coder(shared.value)
+        bpe, table = coder(shared.value)
         for batch in slices(batches, column):
-            ids, starts = encoded(batch.column(column), bpe.encode_words, cache)
+            ids, starts = encoded(batch.column(column), table)
             kept = [n for n in batch.schema.names if n != into]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), ids_array(ids, starts)], [*kept, into])
 
@@ -210,10 +230,10 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_text(tokenizer_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, cache = coder(shared.value)
+        bpe, table = coder(shared.value)
         strings = pa.array(bpe.strings)
         for batch in slices(batches, column):
-            ids, starts = encoded(batch.column(column), bpe.encode_words, cache)
+            ids, starts = encoded(batch.column(column), table)
             raw, bounds = memoryview(ids.astype("<u4").tobytes()), (starts * 4).tolist()
             texts = joined(ids, starts, strings)
             yield pa.RecordBatch.from_arrays(

@@ -93,33 +93,48 @@ def gather(starts: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> tuple[
     return np.repeat(starts[order] - at[:-1], chosen) + np.arange(at[-1]), at
 
 
-PUNCTUATION = ",."
+class WordTable:
+    """Token ids of words seen before; at most `most` words, beyond which it starts anew, which changes no result.
+
+    `encode_new` gives the ids of a list of words, one after the other, and how many each has.
+    """
+
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 700_000):
+        self.encode_new, self.most = encode_new, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.ids, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        if len(self.places) + len(words) > self.most and self.places:
+            self.clear()
+        new = [w for w in words if w not in self.places]
+        if new:
+            ids, counts = self.encode_new(new)
+            self.places.update(zip(new, range(len(self.counts), len(self.counts) + len(new)), strict=True))
+            self.ids, self.counts = np.concatenate((self.ids, ids.astype(np.uint32))), np.concatenate((self.counts, counts))
+        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
 
 
-def encoded(texts: pa.Array, encode_new: Callable[[list[str]], list[bytes]], cache: dict[str, bytes], most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+def encoded(texts: pa.Array, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts, and where those of each text start.
 
-    A tokenizer whose tokens never span white space encodes each distinct word once; `encode_new` gives the ids of
-    words as 32-bit little-endian bytes. Commas and stops behind an ASCII letter or digit are split off, and ASCII
-    words are lower-cased before the lookup, as the tokenizer's own rules do both. `cache` holds at most `most`
-    words and starts anew beyond that, which changes no result.
+    For tokenizers whose tokens never span white space: each distinct word is encoded once. Commas and stops behind an
+    ASCII letter or digit are split off, and ASCII words are lower-cased before the lookup; the tokenizer's own rules do
+    both.
     """
     words = words_of(texts)
-    parts = []
-    for word in words.unique.to_pylist():
-        core = word.rstrip(PUNCTUATION)
-        if len(core) == len(word) or not core or not core[-1].isascii() or not core[-1].isalnum():
-            core, tail = word, ""
-        else:
-            tail = word[len(core) :]
-        parts.append((core.lower() if core.isascii() and "<|" not in core else core, tail))
-    if len(cache) > most:
-        cache.clear()
-    new = list({x for pair in parts for x in pair if x and x not in cache})
-    cache[""] = b""
-    cache.update(zip(new, encode_new(new), strict=True))
-    pieces = [cache[core] + cache[tail] for core, tail in parts]
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-    flat = np.frombuffer(b"".join(pieces), "<u4")
-    at, word_starts = gather(np.concatenate(([0], np.cumsum(lengths)))[:-1], lengths, words.codes)
-    return flat[at], word_starts[words.starts]
+    core = pc.utf8_rtrim(words.unique, ",.")
+    splits = pc.match_substring_regex(core, "[0-9A-Za-z]$")
+    core = pc.if_else(splits, core, words.unique)
+    lowers = pc.and_(pc.string_is_ascii(core), pc.invert(pc.match_substring(core, "<|")))
+    core = pc.if_else(lowers, pc.ascii_lower(core), core).dictionary_encode()
+    tail = pc.replace_substring_regex(pc.if_else(splits, words.unique, ""), "^.*[0-9A-Za-z]", "").dictionary_encode()
+    place = table.look_up(core.dictionary.to_pylist() + [t for t in tail.dictionary.to_pylist()])
+    n = len(core.dictionary)
+    pair = np.stack((place[:n][core.indices.to_numpy()], place[n:][tail.indices.to_numpy()]), axis=1)
+    starts = np.concatenate(([0], np.cumsum(table.counts)))[:-1]
+    at, part_starts = gather(starts, table.counts, pair[words.codes].reshape(-1))
+    return table.ids[at], part_starts[2 * words.starts]

@@ -8,9 +8,12 @@ in the whole.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacantia.llm.bpe import ids_array, vocabulary_text
-from vacantia.llm.texts import encoded, slices, worker_state
+from vacantia.llm.texts import WordTable, encoded, slices, worker_state
 from vacantia.session import stage_folder
 
 LAYOUT = {
@@ -34,25 +37,42 @@ LAYOUT = {
 }
 
 
-def library(text: str):
-    """The tokenizer of a file and its cache of encoded words, built once per Python worker."""
-    state = worker_state("tokens")
-    if state.get("text") != text:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+#: Words that the tokenizer keeps whole: Latin letters, none of which it turns into several.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 
-        state.update(text=text, tokenizer=Tokenizer.from_str(text), cache={})
-    tokenizer = state["tokenizer"]
 
-    def encode_new(words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(words), 5000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words[i : i + 5000], add_special_tokens=False)]
-        return out
-
-    return encode_new, state["cache"]
+def library(text: str) -> WordTable:
+    """A table of words encoded by the tokenizer of a file, built once per Python worker."""
+    state = worker_state("tokens")
+    if state.get("text") == text:
+        return state["table"]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(text)
+    size = tokenizer.get_vocab_size(with_added_tokens=True)
+    ends = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def run(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_new(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [PLAIN.fullmatch(w) is not None for w in words]
+        together, alone = list(compress(words, plain)), [w for w, p in zip(words, plain, strict=True) if not p]
+        # Plain words go together, a thousand to a text; each ends with the one token that ends a word.
+        joined = np.concatenate([np.empty(0, np.uint32), *run([" ".join(together[i : i + 1000]) for i in range(0, len(together), 1000)])])
+        last = np.flatnonzero(ends[joined])
+        single = run(alone)
+        counts = np.empty(len(words), np.int64)
+        counts[plain] = np.diff(last, prepend=-1)
+        counts[np.invert(plain)] = [len(x) for x in single]
+        out = np.empty(counts.sum(), np.uint32)
+        mine = np.repeat(np.array(plain, bool), counts)
+        out[mine], out[~mine] = joined, np.concatenate([np.empty(0, np.uint32), *single])
+        return out, counts
+
+    state.update(text=text, table=WordTable(encode_new))
+    return state["table"]
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, files: int | None = None) -> str:
@@ -66,10 +86,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_new, cache = library(shared.value)
+        table = library(shared.value)
         file, total = TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            ids, starts = encoded(batch.column("text"), encode_new, cache)
+            ids, starts = encoded(batch.column("text"), table)
             n = len(starts) - 1
             ids = np.insert(ids, starts[1:], end_id)
             starts = starts + np.arange(n + 1)
