@@ -19,7 +19,7 @@ from vacantia.operators import boards, discover, html, links, listings, scripts
 from vacantia.operators.flatten import flatten_records
 from vacantia.operators.merge import merge_postings
 from vacantia.operators.sinks import write_csv, write_outputs
-from vacantia.plans.collect import Collection, collect_jobs, page_boards
+from vacantia.plans.collect import Collection, collect_jobs
 from vacantia.plans.frontier import crawl_frontier
 from vacantia.plans.reports import jobs_per_company, run_summary
 from vacantia.schemas import job
@@ -592,8 +592,7 @@ FROM c JOIN (SELECT k, count(*) FILTER (sz % 2 = 0) AS n FROM o GROUP BY k) x ON
 """)
 def boards_named_in_pages(spark, sf):
     run = collection(spark, sf)
-    named = page_boards(run.passes[0].visits, run.parts, run.payloads, "http")
-    return named.join(run.payloads.select("request_url", "jobs"), "request_url", "left").select(
+    return run.passes[0].boards.join(run.payloads.select("request_url", "jobs"), "request_url", "left").select(
         "careers_url", "token", "fault", F.greatest(F.coalesce(F.size("jobs"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_jobs")
     )
 

@@ -240,6 +240,27 @@ def test_plans(spark, tmp_path, companies, responses):
         assert "CartesianProduct" not in plan(df) and "NestedLoop" not in plan(df)
 
 
+def test_only_the_pages_of_the_companies_are_cut(companies, responses):
+    import os
+
+    page = '<a href="/jobs/1">One</a><a href="/open-roles">Open roles</a>'
+    sites = [f"https://{x}.com" for x in "abc"]
+    r = responses(
+        *[(s, "x") for s in sites], *[(f"{s}/careers", page) for s in sites], *[(f"{s}/open-roles", page) for s in sites],
+        ("https://a.com/careers", "old", {"at": -5}), ("https://a.com/other", page), (GH.format("z"), '{"jobs": []}'),
+    )
+    whole = None
+    for names in ("a", "bc", "abc"):
+        with Collection(companies(*[(x, f"{x}.com") for x in names]), r) as run:
+            cut = {x.request_url for x in run.parts.collect()}
+            assert cut == {f"https://{x}.com{p}" for x in names for p in ("", "/careers", "/open-roles")}
+            assert run.parts.count() == 3 * len(names) and run.payloads.count() == 0
+            whole = (whole or []) + [run.facts.count()]
+            folder = run.stage.folder
+        assert not os.path.exists(folder.removeprefix("file:"))
+    assert whole[0] + whole[1] == whole[2]
+
+
 def test_stage_folder_must_be_shared_on_a_cluster(monkeypatch):
     from vacantia import session
 

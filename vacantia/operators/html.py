@@ -76,6 +76,11 @@ def board_tokens(html: Column) -> Column:
     return F.concat(*found)
 
 
+def page_address() -> Column:
+    """Address a capture ended at, without fragment."""
+    return strip_fragment(F.coalesce(empty_to_null(F.col("final_url")), F.col("request_url")))
+
+
 def page_parts(pages: DataFrame) -> DataFrame:
     """One row per captured page with only the parts that later steps read; the body is dropped here.
 
@@ -83,12 +88,11 @@ def page_parts(pages: DataFrame) -> DataFrame:
     final_url, body.
     """
     body, no_boards = F.col("body"), F.array().cast("array<struct<vendor_rank:int,vendor:string,token:string>>")
-    page_url = strip_fragment(F.coalesce(empty_to_null(F.col("final_url")), F.col("request_url")))
     # A page without a board host's name has no board tokens either: one scan of the body decides both.
     has_ats_text = F.exists(F.array(F.lower(body)), lambda low: _contains_any(low, _ATS_HOSTS))
     return bind(pages, has_ats_text=has_ats_text).select(
         "request_url", "render", "fetched_at",
-        page_url.alias("page_url"),
+        page_address().alias("page_url"),
         body.rlike(f"(?U)[^{WS}]").alias("has_text"),
         "has_ats_text",
         anchor_blocks(body).alias("anchors"),

@@ -12,16 +12,17 @@ from vacantia.functions import vocabulary as V
 from vacantia.functions.urls import normalize_website
 from vacantia.operators.boards import VENDORS, board_payloads
 from vacantia.operators.discover import discover_careers, visited_pages
-from vacantia.operators.html import explode_scripts, page_parts
+from vacantia.operators.html import explode_scripts, page_address, page_parts
 from vacantia.operators.links import link_facts, link_postings
 from vacantia.operators.listings import listing_pages, listings_url
 from vacantia.operators.merge import merge_postings
 from vacantia.operators.scripts import RANK_BOARD, embedded_postings, linked_data_postings
 from vacantia.schemas import COMPANY, JOB, RECORDS
-from vacantia.session import stage, tune
+from vacantia.session import Stages, only_among, stage, tune
 from vacantia.sources.captures import latest_captures, page_captures
 from vacantia.sources.directory import select_companies
 
+CAPTURE = ["request_url", "render", "fetched_at"]
 POSTING = ["request_url", "render", "fetched_at", "page_url", "extractor", "script_pos", "walk_pos", "job"]
 RENDER_MODES = ("http", "browser", "fallback")
 
@@ -36,27 +37,24 @@ def page_postings(parts: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def direct_boards(careers: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Board of each careers URL that is one: careers_url, vendor, token, request_url (of the API), fault, jobs."""
+def direct_boards(careers: DataFrame) -> DataFrame:
+    """Board of each careers URL that is one: careers_url, vendor, token, request_url (of the API)."""
     board = R.direct_board(F.col("careers_url"))
     api = F.coalesce(*[F.when(F.col("b.vendor") == v, R.board_api_url(v, F.col("b.token"))) for v in VENDORS])
-    wanted = careers.select("careers_url", board.alias("b")).where("b IS NOT NULL").select(
+    return careers.select("careers_url", board.alias("b")).where("b IS NOT NULL").select(
         "careers_url", "b.vendor", "b.token", api.alias("request_url")
     )
-    return wanted.join(payloads, "request_url", "left")
 
 
-def page_boards(visits: DataFrame, parts: DataFrame, payloads: DataFrame, render: str) -> DataFrame:
-    """Boards named in the visited pages of each careers URL, each once at its first page, without their jobs."""
+def named_boards(visits: DataFrame, parts: DataFrame, render: str) -> DataFrame:
+    """Boards named in the visited pages of each careers URL, each once at its first page, with the address of its API."""
     tokens = parts.where((F.col("render") == render) & (F.size("boards") > 0)).select("request_url", "fetched_at", F.inline("boards"))
     named = (
         visits.where("has_text").select("careers_url", "page_rank", "request_url", "fetched_at")
         .join(tokens, ["request_url", "fetched_at"])
         .groupBy("careers_url", "vendor_rank", "vendor", "token").agg(F.min("page_rank").alias("page_rank"))
     )
-    api = F.coalesce(*[F.when(F.col("vendor") == v, R.board_api_url(v, F.col("token"))) for v in VENDORS])
-    states = payloads.select("request_url", "fault", (F.size("jobs") > 0).alias("has_jobs"))
-    return named.withColumn("request_url", api).join(states, "request_url", "left")
+    return named.withColumn("request_url", F.coalesce(*[F.when(F.col("vendor") == v, R.board_api_url(v, F.col("token"))) for v in VENDORS]))
 
 
 def left_join(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -80,40 +78,40 @@ class Collection:
 
     Work is done per distinct careers URL, not per company: a board or page shared by a third of all
     companies is read, parsed and merged once, and fans out only in the last join.
+
+    Only what the companies lead to is cut: their home pages, then the careers pages found there, then the hub pages
+    named on those; and only payloads of boards that these name. Each page is cut once, from its newest capture. Runs
+    over shards of the companies together do the work of one run over all.
+
+    Sets the session's JSON options (see `vacantia.session.tune`). `close`, or leaving a `with` block, deletes
+    the intermediate tables.
     """
 
-    def __init__(
-        self,
-        companies: DataFrame,
-        responses: DataFrame,
-        *,
-        render: str = "http",
-        same_site_only: bool = True,
-    ):
+    def __init__(self, companies: DataFrame, responses: DataFrame, *, render: str = "http", same_site_only: bool = True):
         if render not in RENDER_MODES:
             raise ValueError(f"render must be one of {RENDER_MODES}")
         tune(companies.sparkSession)
+        self.stage = Stages(companies.sparkSession)
         self.first_render = "browser" if render == "browser" else "http"
+        self.same_site_only = same_site_only
         self.companies = companies.withColumn("root", normalize_website(F.col("website")))
         self.responses = responses
-        self.latest = stage(latest_captures(responses), "captures")
-        pages = page_captures(responses)
-        if render == "http":
-            pages = pages.where("render = 'http'")
-        self.parts = stage(page_parts(pages), "parts")
-        self.facts = stage(link_facts(self.parts, same_site_only), "links")
-        self.payloads = stage(board_payloads(responses), "payloads")
-        roots = self.companies.where("root IS NOT NULL").select("root").distinct()
-        self.discovered = stage(discover_careers(roots, self.latest, self.facts), "careers")
+        self.latest = self.stage(latest_captures(responses), "captures")
+        self.parts = self.facts = self.payloads = None
+        roots = self.stage(self.companies.where("root IS NOT NULL").select("root").distinct(), "roots")
+        self._cut(roots.select(F.col("root").alias("wanted_url")), "http")
+        self.discovered = self.stage(discover_careers(roots, self.latest, self.facts), "careers")
         careers = self.discovered.where("careers_url IS NOT NULL").select("careers_url").distinct()
-        self.direct = direct_boards(careers, self.payloads)
-        state = self.direct.select("careers_url", "fault", (F.size("jobs") > 0).alias("has_jobs"))
-        state = stage(careers.join(state, "careers_url", "left"), "boards")
+        self.direct = self.stage(direct_boards(careers), "direct")
+        self._load(self.direct)
+        direct = self.direct.join(self.payloads, "request_url", "left")
+        state = direct.select("careers_url", "fault", (F.size("jobs") > 0).alias("has_jobs"))
+        state = self.stage(careers.join(state, "careers_url", "left"), "boards")
         has_jobs = F.coalesce("has_jobs", F.lit(False))
         self.direct_outcome = state.where(F.col("fault").isNotNull() | has_jobs).select(
             "careers_url", F.col("careers_url").alias("shown_url"), F.col("fault").alias("error"), has_jobs.alias("has_jobs")
         )
-        direct_postings = self.direct.where("fault IS NULL").select("careers_url", F.inline("jobs")).select("careers_url", "job")
+        direct_postings = direct.where("fault IS NULL").select("careers_url", F.inline("jobs")).select("careers_url", "job")
         rest = state.where(F.col("fault").isNull() & ~has_jobs).select("careers_url")
 
         first = self._read(rest, self.first_render)
@@ -128,11 +126,44 @@ class Collection:
         self.outcome = self.direct_outcome.unionByName(outcome)
         self.postings = direct_postings.unionByName(postings)
 
+    def close(self) -> None:
+        self.stage.close()
+
+    def __enter__(self) -> Collection:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def _cut(self, wanted: DataFrame, render: str) -> None:
+        """Add the parts and links of the newest captures that answer for the wanted addresses."""
+        answers = self.latest.where(F.col("render") == render).select(*CAPTURE, F.explode(F.array("request_url", page_address())).alias("wanted_url"))
+        keys = answers.join(wanted.select("wanted_url").distinct(), "wanted_url", "left_semi").select(*CAPTURE).distinct()
+        if self.parts is not None:
+            keys = keys.join(self.parts.select(*CAPTURE), CAPTURE, "left_anti")
+        pages = only_among(page_captures(self.responses), self.stage(keys, "wanted"), CAPTURE)
+        parts = self.stage(page_parts(pages), "parts")
+        facts = self.stage(link_facts(parts, self.same_site_only), "links")
+        self.parts = parts if self.parts is None else self.parts.unionByName(parts)
+        self.facts = facts if self.facts is None else self.facts.unionByName(facts)
+
+    def _load(self, wanted: DataFrame) -> None:
+        """Add the payloads of the wanted API addresses."""
+        keys = wanted.select("request_url").distinct()
+        if self.payloads is not None:
+            keys = keys.join(self.payloads.select("request_url"), "request_url", "left_anti")
+        payloads = self.stage(board_payloads(only_among(self.responses, self.stage(keys, "apis"), ["request_url"])), "payloads")
+        self.payloads = payloads if self.payloads is None else self.payloads.unionByName(payloads)
+
     def _read(self, careers: DataFrame, render: str) -> Pass:
-        visits = stage(
-            visited_pages(careers, self.latest, self.parts, self.facts, render), "visits"
-        )
-        boards = stage(page_boards(visits, self.parts, self.payloads, render), "page-boards")
+        self._cut(careers.select(F.col("careers_url").alias("wanted_url")), render)
+        visit = lambda: visited_pages(careers, self.latest, self.parts, self.facts, render)
+        self._cut(visit().where("page_rank > 0").select("wanted_url"), render)
+        visits = self.stage(visit(), "visits")
+        named = self.stage(named_boards(visits, self.parts, render), "named")
+        self._load(named)
+        states = self.payloads.select("request_url", "fault", (F.size("jobs") > 0).alias("has_jobs"))
+        boards = self.stage(named.join(states, "request_url", "left"), "page-boards")
         faults = boards.where("fault IS NOT NULL").groupBy("careers_url").agg(
             F.min_by("fault", F.struct("page_rank", "vendor_rank", "token")).alias("error")
         )
@@ -145,7 +176,9 @@ class Collection:
                 "token", F.col("board_pos").alias("walk_pos"), "job",
             )
         )
-        found = page_postings(self.parts.where(F.col("render") == render), self.facts.where(F.col("render") == render))
+        # Scripts are walked on visited pages only.
+        seen = self.stage(visits.where("has_text").select("request_url", "fetched_at", F.lit(render).alias("render")).distinct(), "seen")
+        found = page_postings(only_among(self.parts, seen, CAPTURE), only_among(self.facts, seen, CAPTURE))
         on_pages = (
             visits.where("has_text").select("careers_url", "page_rank", "request_url", "fetched_at")
             .join(found.select("request_url", "fetched_at", "extractor", "script_pos", "walk_pos", "job"), ["request_url", "fetched_at"])
@@ -153,9 +186,7 @@ class Collection:
         )
         merged = merge_postings(listed.unionByName(on_pages), ["careers_url"])
         # A fault anywhere loses all postings of its careers URL.
-        postings = stage(
-            merged.join(faults, "careers_url", "left_anti").select("careers_url", "job"), "postings"
-        )
+        postings = self.stage(merged.join(faults, "careers_url", "left_anti").select("careers_url", "job"), "postings")
         shown = F.when(F.col("has_text"), F.col("page_url")).otherwise(F.col("careers_url"))
         outcome = (
             visits.where("page_rank = 0").select("careers_url", shown.alias("shown_url"))
@@ -163,7 +194,7 @@ class Collection:
             .join(postings.select("careers_url", F.lit(True).alias("has_jobs")).distinct(), "careers_url", "left")
             .withColumn("has_jobs", F.coalesce("has_jobs", F.lit(False)))
         )
-        return Pass(visits, boards, postings, stage(outcome, "outcome"))
+        return Pass(visits, boards, postings, self.stage(outcome, "outcome"))
 
     def located_companies(self) -> DataFrame:
         """Companies with careers_url, shown_url, error, has_jobs."""

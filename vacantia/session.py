@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -50,13 +51,44 @@ def path_exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def few(df: DataFrame, most: int = 1_000_000) -> bool:
+    """Whether a narrow table is small enough to be sent to all tasks."""
+    return df.limit(most + 1).count() <= most
+
+
+def only_among(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of `df` whose key is in the written narrow table `keys`.
+
+    While the keys are few they are sent to all tasks, so wide rows stay where they are; otherwise both sides are shuffled.
+    """
+    return df.join(F.broadcast(keys) if few(keys) else keys, on, "left_semi")
+
+
+class Stages:
+    """Intermediate tables of one run, in a folder of its own that `close` deletes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.count = spark, 0
+        self.folder = f"{stage_folder(spark).rstrip('/')}/vacantia/run-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        return _written(df, f"{self.folder}/{self.count:03d}-{name}")
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table once, to be read by several consumers.
 
     The written table survives lost executors, cuts lineage, keeps column pruning and filter push-down for
     its readers, and has a known size, so joins with it are planned on facts.
     """
-    spark = df.sparkSession
-    path = f"{stage_folder(spark).rstrip('/')}/vacantia/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, f"{stage_folder(df.sparkSession).rstrip('/')}/vacantia/{name}-{uuid.uuid4().hex}")
