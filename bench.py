@@ -17,7 +17,8 @@ os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
 HEADLINE = [
     "page_addresses", "page_anchors", "page_link_targets", "page_scripts", "normalized_documents", "decoded_pages", "job_link_rule",
     "greenhouse_jobs", "lever_jobs", "ashby_jobs", "linked_data_jobs", "embedded_jobs", "page_job_links", "hub_ranking",
-    "first_wins_merge", "listing_records", "all_records", "records_with_rendered_fallback", "missing_captures", "streamed_postings",
+    "first_wins_merge", "listing_records", "all_records", "records_with_rendered_fallback", "rendered_records", "missing_captures",
+    "streamed_postings", "streamed_first_postings", "merged_shard_files",
 ]
 
 
@@ -26,7 +27,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "1"))
 
-    from checks.queries import QUERIES, archive
+    from checks.queries import QUERIES, archive, forget_runs
     from vacantia.session import local_session
 
     spark = local_session(cpus, shuffle_partitions=cpus)
@@ -35,6 +36,7 @@ def main() -> None:
     for name in HEADLINE:
         times = []
         for _ in range(runs + 1):
+            forget_runs()
             start = time.perf_counter()
             QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)

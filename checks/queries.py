@@ -561,6 +561,12 @@ def collection(spark: SparkSession, sf: str, render: str = "http") -> Collection
     return _made[key]
 
 
+def forget_runs() -> None:
+    """Let the next query on a run make its tables anew; the archive stays."""
+    for key in [k for k in _made if k[2] != "archive"]:
+        _made.pop(key).close()
+
+
 _SITE = "'https://co' || k || '.example.com'"
 
 

@@ -69,8 +69,7 @@ def is_nav_title(title: Column) -> Column:
 def is_job_link(low: Column, title: Column) -> Column:
     """Does a link (lower-case path and text) point to one role? An ordered decision list; first hit decides.
 
-    Two of the rules test the last path segment. Where the earlier implementation of these rules aborted on
-    them because of a wrong variable name, the evident meaning is used.
+    Two of the rules test the last path segment.
     """
     last = last_segment(low)
     numbered = matches(low, r"/jobs?/\d+")
