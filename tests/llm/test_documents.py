@@ -102,6 +102,8 @@ def test_bpe_equals_the_library(docs, rows, library):
         want[i, tuple(ids), library.decode(ids, skip_special_tokens=False)] += 1
     out = bpe.decode(bpe.encode(docs, PATH), PATH, into="decoded")
     assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in out.select("doc_id", "ids", "decoded").collect()) == want
+    at_once = bpe.encode(docs, PATH, decoded="decoded").collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in at_once) == want and set(docs.columns) < set(at_once[0].asDict())
     trip = got(bpe.round_trip(docs, PATH), "doc_id", "n_tokens", "decoded_sha256")
     assert trip == Counter({(i, len(ids), plain.sha(d)): n for (i, ids, d), n in want.items()})
 

@@ -79,18 +79,58 @@ def op5_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), tokenizer_path())
 
 
-@query()
+SHINGLES_SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.component_id, t.doc_id = r.component_id AS kept
+FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)
+"""
+
+
+@query(SHINGLES_SQL)
 def op10_minhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"), size=3, similarity=0.85)
 
 
-@query()
+REPEATS_SQL = f"""
+WITH t AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT doc_id, i, unnest(range(0, 20)) AS k FROM again)),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM t),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query(REPEATS_SQL)
 def op7_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
     out = repeats.without_repeats(table(spark, sf, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query()
+LINES_SQL = """
+WITH l AS (SELECT doc_id, unnest(range(0, len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+m AS (SELECT doc_id, i, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w FROM l),
+f AS (SELECT w, len(w) AS n, min((doc_id, i)) AS first FROM m WHERE len(w) >= 3 GROUP BY w),
+v AS (SELECT w, first, i AS place, w[1:i - 1] || w[i + 1:] AS v FROM (SELECT w, first, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 8)
+  UNION ALL SELECT w, first, -1, w FROM f WHERE n >= 8),
+best AS (SELECT v, place, min(first) AS best FROM v GROUP BY v, place),
+cut AS (SELECT v, min(best) AS best FROM best WHERE place > 0 GROUP BY v),
+beaten AS (SELECT w FROM v JOIN best USING (v, place) WHERE place > 0 AND best < first
+  UNION SELECT x.w FROM v x JOIN best b ON b.v = x.v AND b.place = -1 WHERE x.place > 0 AND b.best < x.first
+  UNION SELECT x.w FROM v x JOIN cut c ON c.v = x.v WHERE x.place = -1 AND c.best < x.first),
+r AS (SELECT m.doc_id, m.i, m.line, coalesce(f.first <> (m.doc_id, m.i) OR f.w IN (SELECT w FROM beaten), false) AS gone FROM m LEFT JOIN f ON f.w = m.w)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM r GROUP BY doc_id
+"""
+
+
+@query(LINES_SQL)
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = lines.line_digest(table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -117,7 +157,16 @@ def op6_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-@query()
+#: The given pages mark their article; SQL cuts it out and reads its paragraphs.
+PAGES_SQL = """
+WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') AS parts FROM pages),
+b AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS parts FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
+
+
+@query(PAGES_SQL)
 def op9_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.main_text(table(spark, sf, "pages"))
 
