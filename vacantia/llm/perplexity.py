@@ -33,9 +33,9 @@ BEGIN, END = "\x02", "\x03"
 QUANTILE, MARGIN = 0.99, 1.1
 FOLDS = 10
 SHARD_ROWS = 1 << 20
-CACHE_SHARDS = 8
+CACHE_SHARDS = 6
 MAX_BROADCAST_ROWS = 2_000_000
-SCORE_BYTES = 4 << 20
+SCORE_BYTES = 2 << 20
 STEPS = 1000
 
 
@@ -49,10 +49,12 @@ def grams(texts: pa.Array, langs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
     ids, size = codes_of(characters)
     alphabet = np.zeros(size, np.uint32)
     alphabet[ids] = characters
-    doc = np.repeat(np.arange(len(strings)), lengths)
-    place = np.arange(len(characters)) - np.concatenate(([0], np.cumsum(lengths)))[:-1][doc]
-    last = np.flatnonzero(place >= ORDER - 1)
-    doc = doc[last]
+    # The first ORDER - 1 characters of each text are padding.
+    inside = np.ones(len(characters), bool)
+    for i in range(ORDER - 1):
+        inside[np.cumsum(lengths) - lengths + i] = False
+    last = np.flatnonzero(inside)
+    doc = np.repeat(np.arange(len(strings), dtype=np.int32), lengths - ORDER + 1)
     key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc]
     bound = len(coded.dictionary)
     for back in range(ORDER - 1, -1, -1):
