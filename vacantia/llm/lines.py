@@ -30,7 +30,9 @@ MIN_WORDS_EDITED = 8
 
 
 def placed(of_word: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
-    return mixed(of_word + mixed(place.astype(np.uint64) + np.uint64(salt)))
+    """Hashes of words at their places, from -1 on."""
+    of_place = mixed(np.arange(-1, int(place.max(initial=0)) + 1).astype(np.uint64) + np.uint64(salt))
+    return mixed(of_word + of_place[place + 1])
 
 
 def running(values: np.ndarray) -> np.ndarray:
@@ -57,7 +59,7 @@ class Lines:
         return np.diff(self.words.starts)
 
 
-def lines_of(batch: pa.RecordBatch) -> Lines:
+def lines_of(batch: pa.RecordBatch, with_halves: bool = True) -> Lines:
     doc_id = pc.fill_null(batch.column("doc_id"), -(2**63)).to_numpy(zero_copy_only=False)
     lists = pc.split_pattern(pc.fill_null(batch.column("text"), ""), "\n")
     per_doc = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -69,10 +71,10 @@ def lines_of(batch: pa.RecordBatch) -> Lines:
     of_word = mixed(hashes(words.unique))[words.codes]
     place = np.arange(len(line)) - starts[:-1][line]
     forward, other = running(placed(of_word, place, 1)), running(placed(of_word, place, 2))
-    backward = running(placed(of_word, n[line] - 1 - place, 3))
     ids = [sums[starts[1:]] - sums[starts[:-1]] for sums in (forward, other)]
     # First and last halves, in the two lengths that a partner of one word more or less may have.
     halves = np.empty((len(n), 4), np.uint64)
+    backward = running(placed(of_word, n[line] - 1 - place, 3)) if with_halves else forward
     for i, half in enumerate((n // 2, np.maximum(n - 1, 0) // 2)):
         halves[:, 2 * i] = mixed(forward[starts[:-1] + half] - forward[starts[:-1]] + half.astype(np.uint64) * np.uint64(2))
         halves[:, 2 * i + 1] = mixed(backward[starts[1:]] - backward[starts[1:] - half] + half.astype(np.uint64) * np.uint64(2) + np.uint64(1))
@@ -117,7 +119,11 @@ def candidate_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def variant_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, place, id_1, id_2, doc_id, number): the line itself at place -1, then without its word at each place."""
+    """(key, place, id_1, id_2, doc_id, number): the line itself at place -1, then without its word at each place.
+
+    Where only the first half is shared with other lines, words of it are not deleted, as the edit lies behind it; likewise
+    for the last half.
+    """
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             batch = whole.slice(at, 2000)
@@ -128,9 +134,12 @@ def variant_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here, moved = running(placed(of_word, place, 1)), running(placed(of_word, place - 1, 1))
             without = here[:-1] - here[starts[:-1]][line] + moved[starts[1:]][line] - moved[1:]
             whole_line = here[starts[1:]] - here[starts[:-1]]
-            n = len(whole_line)
-            row = np.concatenate((np.arange(n), line))
-            columns = [np.concatenate((whole_line, without)).view(np.int64), np.concatenate((np.full(n, -1), place)).astype(np.int32)]
+            n, counts = len(whole_line), np.diff(starts)
+            half = np.maximum(counts - 1, 0) // 2
+            front, back = (batch.column(c).to_numpy(zero_copy_only=False)[line] for c in ("front", "back"))
+            at = np.flatnonzero((front & (place >= half[line])) | (back & (place < (counts - half)[line])))
+            row = np.concatenate((np.arange(n), line[at]))
+            columns = [np.concatenate((whole_line, without[at])).view(np.int64), np.concatenate((np.full(n, -1), place[at])).astype(np.int32)]
             names = ["id_1", "id_2", "doc_id", "number"]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(batch.column(c).take(pa.array(row)) for c in names)], ["key", "place", *names])
 
@@ -163,7 +172,7 @@ def cut_rows(schema: pa.Schema | None):
         for batch in batches:
             for payload, found in zip(batch.column("payload").to_pylist(), batch.column("found"), strict=True):
                 rows = B.unpack(payload)
-                x = lines_of(rows)
+                x = lines_of(rows, with_halves=False)
                 at = np.flatnonzero(x.counted)
                 mine = pd.DataFrame({"a": x.id_1[at], "b": x.id_2[at], "doc": x.doc_id[x.doc[at]], "number": x.number[at], "at": at})
                 first = earliest(x)
@@ -200,10 +209,15 @@ def judged(blocks: DataFrame) -> DataFrame:
     contents = rows.groupBy("id_1", "id_2").agg(first, F.min("n_words").alias("n_words"), F.min("line").alias("line"), F.min("halves").alias("halves"))
     contents = stage(contents.select("id_1", "id_2", "first.*", "n_words", "line", "halves"), "contents")
     edited = contents.where(F.col("n_words") >= MIN_WORDS_EDITED)
-    halves = edited.select("id_1", "id_2", F.explode(F.array_distinct("halves")).alias("half"))
+    halves = edited.select("id_1", "id_2", F.posexplode("halves").alias("which", "half"))
     several = halves.groupBy("half").agg(F.min("id_1").alias("low"), F.max("id_1").alias("high")).where("low < high").select("half")
-    close = stage(edited.join(halves.join(several, "half", "left_semi").select("id_1", "id_2").distinct(), ["id_1", "id_2"], "left_semi").drop("halves"), "close")
-    variants = stage(close.select("id_1", "id_2", "doc_id", "number", "line").mapInArrow(variant_rows, "key long, place int, id_1 long, id_2 long, doc_id long, number int"), "variants")
+    shared = halves.join(several, "half", "left_semi").groupBy("id_1", "id_2")
+    shared = shared.agg(F.max(F.col("which") % 2 == 0).alias("front"), F.max(F.col("which") % 2 == 1).alias("back"))
+    close = stage(edited.drop("halves").join(shared, ["id_1", "id_2"]), "close")
+    variants = close.select("id_1", "id_2", "doc_id", "number", "line", "front", "back")
+    variants = stage(variants.mapInArrow(variant_rows, "key long, place int, id_1 long, id_2 long, doc_id long, number int"), "variants")
+    met = variants.groupBy("key").agg(F.min("id_1").alias("low"), F.max("id_1").alias("high")).where("low < high").select("key")
+    variants = stage(variants.join(met, "key", "left_semi"), "met")
     best = F.min(F.struct("doc_id", "number", "id_1", "id_2")).alias("best")
     whole, cut = variants.where("place < 0"), variants.where("place >= 0")
     groups = [
