@@ -36,8 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns, the token ids, their number, and the text they decode to."""
-    coded = bpe.encode(docs, tokenizer_path()).withColumn("n_tokens", F.size("ids").cast("long"))
-    return bpe.decode(coded, tokenizer_path(), into="decoded")
+    return bpe.encode(docs, tokenizer_path(), decoded="decoded").withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

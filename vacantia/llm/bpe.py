@@ -188,22 +188,28 @@ def joined(ids: np.ndarray, starts: np.ndarray, strings: pa.Array) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), strings.take(pa.array(ids))), " ")
 
 
-def encode(docs: DataFrame, tokenizer_path: str, column: str = "text", into: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, column: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
     """All rows and columns of `docs` and their token ids in a column `into`, which replaces one of that name.
 
-    A null or empty text has no ids. Rows keep their order within a partition; repeated rows are encoded alike.
+    A column `decoded`, if named, gets the text that the ids decode to, and replaces one of that name likewise. A null or
+    empty text has no ids and decodes to an empty text. Rows keep their order within a partition; repeated rows are encoded alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_text(tokenizer_path))  # one file, a few MB
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, table = coder(shared.value)
+        strings = pa.array(bpe.strings)
         for batch in slices(batches, column):
             ids, starts = encoded(batch.column(column), table)
-            kept = [n for n in batch.schema.names if n != into]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), ids_array(ids, starts)], [*kept, into])
-
-    kept = docs.drop(into)
-    return kept.mapInArrow(run, kept.withColumn(into, F.lit(None).cast("array<int>")).schema)
+            columns = {n: batch.column(n) for n in names} | {into: ids_array(ids, starts)}
+            if decoded:
+                columns[decoded] = joined(ids, starts, strings)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    # The text itself is needed even where the output has no column of its name.
+    names = [c for c in docs.columns if c not in (into, decoded)]
+    out = docs.select(*names).withColumn(into, F.lit(None).cast("array<int>"))
+    return docs.mapInArrow(run, (out.withColumn(decoded, F.lit(None).cast("string")) if decoded else out).schema)
 
 
 def decode(encoded_docs: DataFrame, tokenizer_path: str, column: str = "ids", into: str = "text") -> DataFrame:

@@ -5,6 +5,8 @@ A word is a run of characters other than space and U+0009 to U+000D. A null text
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -23,6 +25,13 @@ def worker_state(name: str) -> dict:
     return sys.modules.setdefault(f"vacantia_worker_{name}", types.ModuleType(name)).__dict__.setdefault("state", {})
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as an idle Python worker stays beside those of later jobs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes of text; a longer text is a batch of its own."""
     for batch in batches:
@@ -33,6 +42,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             end = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
+    give_back()
 
 
 @dataclass
