@@ -5,13 +5,17 @@ is read at places shifted by k for signature coordinate k, so two permutations g
 coordinates make buckets. Documents with equal shingle sets are one vertex throughout.
 
 Inside a bucket not all pairs are compared. The member with the largest buckets overall, most likely the common original,
-is compared with all others; the links found are turned into components. Only where a bucket still has members of
-different components do further members, a share that grows eightfold per round until it is all of them, meet the
-members of other components. At the end each two members of a bucket are in one component or have been compared.
+is compared with all others; the links found are turned into components, and only members of different components are
+looked at further. In small buckets these are all compared. In large ones shingles are told apart by how many of the
+documents at issue have them: two texts can only be linked when they share a rare shingle, which few other texts have, or
+when the common shingles alone suffice. The first are found by a join on rare shingles; for the second the common
+ones are counted, and a share of the members that grows eightfold per round until it is all of them meets the rest. At
+the end each two members of a bucket are in one component, have been compared, or cannot be linked.
 """
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Iterable, Iterator
 
@@ -19,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm.components import components
@@ -29,6 +33,9 @@ from vacantia.session import stage
 ROWS_PER_BAND = 4
 MISS = 1e-6
 CACHED = 1 << 14
+SMALL = RARE = 16
+PAIR_BYTES = 2 << 20
+PAIR_ROWS = 1000
 NAME = ["set_1", "set_2", "n_shingles"]
 
 
@@ -113,7 +120,7 @@ def verified(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     percent = round(100 * similarity)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in slices(batches, "text_a") for part in slices([b], "text_b")):
+        for batch in (part for b in slices(batches, "text_a", PAIR_BYTES) for part in slices([b], "text_b", PAIR_BYTES)):
             (x, x_starts), (y, y_starts) = (shingles(batch.column(c), size) for c in ("text_a", "text_b"))
             n = batch.num_rows
             codes, distinct = codes_of(np.concatenate((x, y)))
@@ -127,11 +134,41 @@ def verified(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
+    """(id, shingle) of every distinct shingle of a text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            values, starts = shingles(batch.column("text"), size)
+            ids = batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(starts))))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(values.view(np.int64))], ["id", "shingle"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, shingle long")
+
+
 def uniform(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / (1 << 40)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, growth: int = 8) -> DataFrame:
+    """Groups of near duplicates; see `_near_duplicates`. All work with texts is done here, in small Arrow batches."""
+    with arrow_rows(docs.sparkSession, PAIR_ROWS):
+        return _near_duplicates(docs, size, similarity, growth)
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """For jobs run inside: Arrow batches of at most `rows` rows, as two texts a row make default batches large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _near_duplicates(docs: DataFrame, size: int, similarity: float, growth: int) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id) of every row.
 
     Texts are linked when the Jaccard similarity of their sets of `size`-word shingles is `similarity` or more (compared
@@ -156,36 +193,67 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, gro
         return verified(first.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a"), size, similarity)
 
     percent = round(100 * similarity)
-    of_one_size = f"100 * least(n_shingles, other_shingles) >= {percent} * greatest(n_shingles, other_shingles)"
+    # `common` bounds from above what two texts share.
+    shared_most = F.least("common", "other_common")
+    may_link = (100 * shared_most >= percent * (F.col("n_shingles") + F.col("other_shingles") - shared_most)) & (F.col("x") != F.col("y"))
     centres = (
         members.join(weights, "id")
         .groupBy("bucket")
         .agg(F.max_by(F.struct("id", "n_shingles"), F.struct("weight", -F.col("id"))).alias("c"))
-        .select("bucket", F.col("c.id").alias("y"), F.col("c.n_shingles").alias("other_shingles"))
+        .select("bucket", F.col("c.id").alias("y"), F.col("c.n_shingles").alias("other_shingles"), F.col("c.n_shingles").alias("other_common"))
     )
-    links = stage(compared(members.withColumnRenamed("id", "x").join(centres, "bucket").where(f"x <> y AND {of_one_size}")), "minhash-links")
+    links = stage(compared(members.withColumn("common", F.col("n_shingles")).withColumnRenamed("id", "x").join(centres, "bucket").where(may_link)), "minhash-links")
     # Rows of one id with different sets stand for one document.
     several = named.groupBy("id").agg(F.min("set_1").alias("low"), F.max("set_1").alias("high")).where("low < high").select("id")
     same_id = named.join(several, "id", "left_semi").join(sets.select(*NAME, F.col("id").alias("b")), NAME)
     links = links.union(same_id.where("id <> b").select(F.col("id").alias("a"), "b"))
     found = components(links)
-    low = 1
-    while True:
-        state = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed_buckets = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        state = stage(state.where("n > 2").where(F.lit(True) if low == 1 else F.col("n") > low).join(mixed_buckets, "bucket", "left_semi"), "minhash-open")
-        if state.isEmpty():
-            break
-        high = low * growth
-        share = uniform("bucket", "id")
-        due = (share < F.lit(high) / F.col("n")) & ((share >= F.lit(low) / F.col("n")) | F.lit(low == 1))
-        pivots = state.where(due).select("bucket", F.col("id").alias("y"), F.col("component").alias("other"), F.col("n_shingles").alias("other_shingles"))
-        pairs = state.withColumnRenamed("id", "x").join(pivots, "bucket").where(f"component <> other AND {of_one_size}")
+
+    def with_components(rows: DataFrame) -> DataFrame:
+        return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """Rows, with their components, of the buckets whose members are of several components."""
+        state = with_components(rows)
+        several = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        return stage(state.join(several, "bucket", "left_semi"), "minhash-open")
+
+    def tested(pairs: DataFrame) -> None:
+        nonlocal links, found
         more = stage(compared(pairs), "minhash-links")
         if not more.isEmpty():
             links = links.union(more)
             found = components(links)
-        low = high
+
+    def other(rows: DataFrame, on: str) -> DataFrame:
+        return rows.select(on, F.col("id").alias("y"), F.col("component").alias("other"), F.col("n_shingles").alias("other_shingles"), F.col("common").alias("other_common"))
+
+    apart = F.col("component") != F.col("other")
+    state = still_open(members.where("n > 2").withColumn("common", F.col("n_shingles")))
+    small = state.where(F.col("n") <= SMALL)
+    if not small.isEmpty():
+        tested(small.withColumnRenamed("id", "x").join(other(small, "bucket"), "bucket").where(may_link & apart & (F.col("x") < F.col("y"))))
+    large = state.where(F.col("n") > SMALL).drop("common", "component")
+    if not large.isEmpty():
+        rows = stage(shingle_rows(texts.join(large.select("id").distinct(), "id", "left_semi"), size), "minhash-shingles")
+        found_in = stage(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "minhash-df")
+        common = rows.join(found_in.where(F.col("df") > RARE).select("shingle"), "shingle").groupBy("id").agg(F.count("*").alias("common"))
+        large = stage(large.join(common, "id", "left").withColumn("common", F.least(F.coalesce("common", F.lit(0)), "n_shingles")), "minhash-large")
+        # Two texts that share a rare shingle are compared, whatever else they share.
+        facts_of = with_components(large.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_shingles").alias("common")))
+        rare = stage(rows.join(found_in.where(F.col("df") <= RARE).select("shingle"), "shingle").distinct().join(facts_of, "id"), "minhash-rare")
+        tested(rare.withColumnRenamed("id", "x").join(other(rare, "shingle"), "shingle").where(may_link & apart & (F.col("x") < F.col("y"))))
+        # Others share common shingles only. Those with too few of them are linked to none.
+        large = large.where(100 * F.col("common") >= percent * F.col("n_shingles"))
+        low = 1
+        while True:
+            state = still_open(large.where(F.col("n") > low))
+            if state.isEmpty():
+                break
+            share, high = uniform("bucket", "id"), low * growth
+            pivots = state.where((share < F.lit(high) / F.col("n")) & ((share >= F.lit(low) / F.col("n")) | F.lit(low == 1)))
+            tested(state.withColumnRenamed("id", "x").join(other(pivots, "bucket"), "bucket").where(may_link & apart))
+            low = high
     named_sets = stage(sets.join(found, "id", "left").select(*NAME, F.coalesce("component", "id").alias("component")), "minhash-named")
     out = facts.select("id", *NAME).join(named_sets, NAME, "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component"))
