@@ -34,6 +34,7 @@ ROWS_PER_BAND = 4
 MISS = 1e-6
 CACHED = 1 << 14
 SMALL = RARE = 16
+PARTS = 16
 PAIR_BYTES = 2 << 20
 PAIR_ROWS = 1000
 NAME = ["set_1", "set_2", "n_shingles"]
@@ -193,9 +194,13 @@ def _near_duplicates(docs: DataFrame, size: int, similarity: float, growth: int)
         return verified(first.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a"), size, similarity)
 
     percent = round(100 * similarity)
-    # `common` bounds from above what two texts share.
-    shared_most = F.least("common", "other_common")
-    may_link = (100 * shared_most >= percent * (F.col("n_shingles") + F.col("other_shingles") - shared_most)) & (F.col("x") != F.col("y"))
+
+    def can_link(*counts: str) -> Column:
+        """Whether two texts can be linked that share, of each counted part of their shingles, what the smaller has at most."""
+        most = sum((F.least(c, f"other_{c}") for c in counts), F.lit(0))
+        return (100 * most >= percent * (F.col("n_shingles") + F.col("other_shingles") - most)) & (F.col("x") != F.col("y"))
+
+    may_link = can_link("common")
     centres = (
         members.join(weights, "id")
         .groupBy("bucket")
@@ -237,14 +242,17 @@ def _near_duplicates(docs: DataFrame, size: int, similarity: float, growth: int)
     if not large.isEmpty():
         rows = stage(shingle_rows(texts.join(large.select("id").distinct(), "id", "left_semi"), size), "minhash-shingles")
         found_in = stage(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "minhash-df")
-        common = rows.join(found_in.where(F.col("df") > RARE).select("shingle"), "shingle").groupBy("id").agg(F.count("*").alias("common"))
-        large = stage(large.join(common, "id", "left").withColumn("common", F.least(F.coalesce("common", F.lit(0)), "n_shingles")), "minhash-large")
+        parts = [f"part_{k}" for k in range(PARTS)]
+        part = F.pmod("shingle", F.lit(PARTS))
+        common = rows.join(found_in.where(F.col("df") > RARE).select("shingle"), "shingle")
+        common = common.groupBy("id").agg(*(F.count(F.when(part == k, 1)).alias(c) for k, c in enumerate(parts)))
+        large = stage(large.join(common, "id", "left").fillna(0, parts), "minhash-large")
         # Two texts that share a rare shingle are compared, whatever else they share.
         facts_of = with_components(large.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_shingles").alias("common")))
         rare = stage(rows.join(found_in.where(F.col("df") <= RARE).select("shingle"), "shingle").distinct().join(facts_of, "id"), "minhash-rare")
         tested(rare.withColumnRenamed("id", "x").join(other(rare, "shingle"), "shingle").where(may_link & apart & (F.col("x") < F.col("y"))))
-        # Others share common shingles only. Those with too few of them are linked to none.
-        large = large.where(100 * F.col("common") >= percent * F.col("n_shingles"))
+        # Others share common shingles only, counted apart by their hash. Those with too few of them are linked to none.
+        large = large.where(100 * sum((F.col(c) for c in parts), F.lit(0)) >= percent * F.col("n_shingles"))
         low = 1
         while True:
             state = still_open(large.where(F.col("n") > low))
@@ -252,7 +260,8 @@ def _near_duplicates(docs: DataFrame, size: int, similarity: float, growth: int)
                 break
             share, high = uniform("bucket", "id"), low * growth
             pivots = state.where((share < F.lit(high) / F.col("n")) & ((share >= F.lit(low) / F.col("n")) | F.lit(low == 1)))
-            tested(state.withColumnRenamed("id", "x").join(other(pivots, "bucket"), "bucket").where(may_link & apart))
+            pivots = pivots.select("bucket", F.col("id").alias("y"), F.col("component").alias("other"), F.col("n_shingles").alias("other_shingles"), *(F.col(c).alias(f"other_{c}") for c in parts))
+            tested(state.withColumnRenamed("id", "x").join(pivots, "bucket").where(can_link(*parts) & apart))
             low = high
     named_sets = stage(sets.join(found, "id", "left").select(*NAME, F.coalesce("component", "id").alias("component")), "minhash-named")
     out = facts.select("id", *NAME).join(named_sets, NAME, "left")
