@@ -33,7 +33,7 @@ from vacantia.session import stage
 ROWS_PER_BAND = 4
 MISS = 1e-6
 CACHED = 1 << 14
-SMALL = RARE = 16
+SMALL, RARE = 16, 8
 PARTS = 16
 PAIR_BYTES = 2 << 20
 PAIR_ROWS = 1000
