@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vacantia.llm import bpe, contamination, lines, minhash, quality
 from vacantia.llm.queries import tokenizer_path
-from vacantia.session import stage
+from vacantia.session import few, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest id."""
     repeats = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("of")).distinct()
-    return docs.join(repeats, docs["doc_id"] == repeats["of"], "left_anti")
+    repeats = stage(repeats, "repeats")
+    # While the dropped ids are few they are sent to all tasks, so texts stay where they are.
+    return docs.join(F.broadcast(repeats) if few(repeats) else repeats, docs["doc_id"] == repeats["of"], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
