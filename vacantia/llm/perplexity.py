@@ -1,10 +1,9 @@
-"""Operator 3: quality classifier by perplexity under an interpolated modified Kneser-Ney model.
+"""Operator 3: quality classifier by perplexity under an interpolated modified Kneser-Ney model of words.
 
-The model is of characters, ORDER at a time and per language, trained on all documents labelled good. Every task reduces
-its texts to distinct grams with counts before anything moves; counts, numbers of left neighbours, contexts and
-lower orders are joined in Spark. The finished table of probabilities and back-off weights is cut by hash into shards of
-bounded size in the shared folder. Scoring reduces each slice of documents to its distinct grams and merges them with one
-shard after another, so neither documents nor the whole table are ever in one place.
+Grams of words are counted and looked up in `word_grams`. What a word outside the vocabulary of its language adds is the
+probability of its spelling under a model of characters, below, trained on the words that trusted text has only once. That model,
+ORDER characters at a time, is joined level by level in Spark, cut by hash into shards of bounded size in the shared folder,
+and merged by every slice of distinct unknown words with one shard after another.
 
 A document is kept when its perplexity is at most a quantile, per language, of that of trusted documents held out of
 training, times a margin.
@@ -22,10 +21,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.llm import word_grams
 from vacantia.llm.texts import codes_of, mixed, slices, worker_state
+from vacantia.llm.word_grams import discounts
 from vacantia.session import stage, stage_folder
 
 ORDER = 5
@@ -86,16 +87,6 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of one, two and more, from the numbers of grams seen one to four times."""
-    n = [0, *counts.agg(*(F.count(F.when(F.col("c") == i, 1)) for i in range(1, 5))).first()]
-    if not n[1] or not n[2]:
-        return 0.5, 0.5, 0.5
-    y = n[1] / (n[1] + 2 * n[2])
-    found = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 for i in (1, 2, 3)]
-    return tuple(min(max(d, 0.05), i - 0.05) for i, d in enumerate(found, 1))
-
-
 def model_rows(counts: DataFrame) -> DataFrame:
     """(lang, gram, size, prob, value): log probability of a gram's last character, or log back-off weight of a context.
 
@@ -222,6 +213,25 @@ def scored(docs: DataFrame, folder: str, shards: int) -> DataFrame:
     return docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, n_chars long, perplexity double")
 
 
+def unknown_words(uses: DataFrame) -> DataFrame:
+    """(block, symbol, spelled) of the words outside the vocabulary, with the log probability of their spelling."""
+    words = uses.groupBy("symbol", "lang", "word").agg(F.sum("c").alias("c"))
+    rare = stage(words.where(F.col("c") < word_grams.MIN_COUNT), "rare-words").withColumnRenamed("word", "text")
+    counts = stage(gram_counts(rare.where("c > 0")), "grams")
+    folder, shards = write_model(model_rows(counts), f"{stage_folder(uses.sparkSession).rstrip('/')}/vacantia/model-{uuid.uuid4().hex}")
+    spelled = scored(rare.withColumnRenamed("symbol", "doc_id"), folder, shards)
+    spelled = stage(spelled.select(F.col("doc_id").alias("symbol"), (-(F.col("n_chars") + 1) * F.log("perplexity")).alias("spelled")), "spelled")
+    return uses.select("block", "symbol").join(spelled, "symbol").select("block", "symbol", "spelled")
+
+
+def with_training_mark(rows: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
+    """All rows with `train`: labelled good and not held out."""
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
+    few = good.count() <= MAX_BROADCAST_ROWS
+    marked = rows.join(F.broadcast(good) if few else good, "doc_id", "left")
+    return marked.select("doc_id", "text", "lang", (F.col("good").isNotNull() & training).alias("train"))
+
+
 def joined_with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of `docs` whose id is labelled good; the ids are sent to all tasks while they are few, else both are shuffled."""
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
@@ -246,11 +256,12 @@ def quality_by_perplexity(docs: DataFrame, labels: DataFrame, quantile: float =
     and blank texts have no perplexity and are not kept. Ids may be null; repeated rows are scored alike. Other columns
     are left out; empty tables give an empty result, and without labels all documents with a word are kept.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))
-    counts = stage(gram_counts(joined_with_labels(rows, labels).where(fold > 0)), "grams")
-    folder, shards = write_model(model_rows(counts), f"{stage_folder(docs.sparkSession).rstrip('/')}/vacantia/model-{uuid.uuid4().hex}")
-    scores = stage(scored(rows, folder, shards), "scores")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    blocks = word_grams.blocks_of(with_training_mark(rows, labels, fold > 0))
+    coded = word_grams.coded_blocks(blocks, unknown_words(word_grams.word_uses(blocks)))
+    model = word_grams.model_of(word_grams.gram_counts(coded))
+    scores = stage(word_grams.scored(coded, model), "scores")
     limits = thresholds(joined_with_labels(scores, labels).where(fold == 0), quantile, margin)
     out = scores.join(limits, "lang", "left")
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
