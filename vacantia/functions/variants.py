@@ -15,6 +15,32 @@ def parse(c: Column) -> Column:
     return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
 
 
+# A text value of this size is the first thing that VARIANT cannot hold; no JSON text below it can break a limit.
+LARGE = 16 << 20
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "maxStringLen": str(2**31 - 1), "columnNameOfCorruptRecord": "_bad"}
+
+
+def is_large(c: Column) -> Column:
+    return F.coalesce(F.octet_length(c) > LARGE, F.lit(False))
+
+
+def parse_fields(c: Column, schema: str) -> Column:
+    """Only the fields of `schema` of a large JSON text; the others are skipped unread, so the limits of VARIANT hold for single fields.
+
+    Null for texts that are not large, for malformed ones, and when anything of the schema cannot be read.
+    """
+    text = F.when(is_large(c), F.concat(F.lit('{"v":['), c, F.lit("]}")))
+    read = F.from_json(text, f"v ARRAY<{schema}>, _bad STRING", _STRICT)
+    # Evaluated once: a value that does not fit leaves a null behind and the text in _bad.
+    kept = F.transform(F.array(read), lambda r: F.when(r["_bad"].isNull() & (F.size(r["v"]) == 1), F.get(r["v"], F.lit(0))))
+    return F.get(kept, F.lit(0))
+
+
+def repacked(entries: Column) -> Column:
+    """ARRAY<VARIANT> of typed entries, each with the fields it has."""
+    return F.transform(entries, lambda e: F.try_parse_json(F.to_json(e)))
+
+
 def field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f'$["{name}"]', "variant")
 

@@ -12,6 +12,13 @@ from vacantia.schemas import job
 
 VENDORS = {"greenhouse": V.GREENHOUSE_API, "lever": V.LEVER_API, "ashby": V.ASHBY_API}
 
+# What is read of each entry of a payload that is too large to be read whole.
+_ENTRY = {
+    "greenhouse": "STRUCT<title: VARIANT, absolute_url: VARIANT, location: VARIANT>",
+    "lever": "STRUCT<text: VARIANT, hostedUrl: VARIANT, applyUrl: VARIANT, categories: VARIANT>",
+    "ashby": "STRUCT<title: VARIANT, jobUrl: VARIANT, location: VARIANT, applyUrl: VARIANT, isListed: VARIANT>",
+}
+
 
 def is_board_api(url: Column) -> Column:
     return url.startswith(V.GREENHOUSE_API[0]) | url.startswith(V.LEVER_API[0]) | url.startswith(V.ASHBY_API[0])
@@ -59,7 +66,7 @@ def _entry_fault(p: Column, title: str, lever: bool) -> Column:
 
 def _parse(payloads: DataFrame, vendor: str) -> DataFrame:
     """Jobs and fault of each captured payload of one vendor."""
-    body, root, jobs = F.col("body"), F.col("_root"), F.col("_jobs")
+    body, root, fields, jobs = F.col("body"), F.col("_root"), F.col("_fields"), F.col("_jobs")
     starts = lambda char: F.coalesce(body.rlike(r"^\s*" + char), F.lit(False))
     lever = vendor == "lever"
     title = "text" if lever else "title"
@@ -70,7 +77,8 @@ def _parse(payloads: DataFrame, vendor: str) -> DataFrame:
     fault = (
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(F.col("status") != 200, None)
-        .when(root.isNull(), F.lit(f"{vendor}: payload is not valid JSON"))
+        .when(root.isNull() & J.is_large(body) & (fields.isNull() | F.exists(jobs, lambda p: p.isNull())), F.lit(f"{vendor}: payload is beyond the size limits or malformed"))
+        .when(root.isNull() & fields.isNull(), F.lit(f"{vendor}: payload is not valid JSON"))
         .when(wrong_root, F.lit(f"{vendor}: payload root is not an object"))
         .when(wrong_list, F.lit(f"{vendor}: jobs is not a list"))
         .when(F.exists(jobs, lambda p: _entry_fault(p, title, lever)), F.lit(f"{vendor}: broken entry in the job list"))
@@ -83,7 +91,9 @@ def _parse(payloads: DataFrame, vendor: str) -> DataFrame:
     readable = (F.col("status") == 200) & F.col("error").isNull()
     ours = payloads.where(F.col("request_url").startswith(VENDORS[vendor][0]))
     ours = bind(ours, _root=F.when(readable, J.parse(body)))
-    ours = bind(ours, _jobs=listed)
+    entries_of = f"ARRAY<{_ENTRY[vendor]}>" if lever else f"STRUCT<jobs: ARRAY<{_ENTRY[vendor]}>>"
+    ours = bind(ours, _fields=F.when(readable & root.isNull(), J.parse_fields(body, entries_of)))
+    ours = bind(ours, _jobs=F.when(root.isNotNull(), listed).otherwise(J.repacked(fields if lever else fields["jobs"])))
     return bind(ours, fault=fault).select("request_url", "fetched_at", "fault", F.when(F.col("fault").isNull(), entries).alias("jobs"))
 
 

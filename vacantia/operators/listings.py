@@ -12,6 +12,11 @@ from vacantia.functions.text import unescape
 from vacantia.schemas import job
 
 
+# What is read of page data that is too large to be read whole.
+_FIELDS = "title: VARIANT, location: VARIANT, type: VARIANT, url: VARIANT, applyUrl: VARIANT, salaryRange: VARIANT"
+_PAGE_DATA = f"STRUCT<props: STRUCT<jobPostings: ARRAY<STRUCT<{_FIELDS}>>>>"
+
+
 def listings_url(slug: Column) -> Column:
     return F.concat(F.lit(V.LISTINGS_PAGE[0]), F.coalesce(slug, F.lit("")), F.lit(V.LISTINGS_PAGE[1]))
 
@@ -36,23 +41,26 @@ def listing_pages(responses: DataFrame) -> DataFrame:
     page data is just empty.
     """
     prefix, suffix = V.LISTINGS_PAGE
-    payload, root, listed = F.col("_payload"), F.col("_root"), F.col("_listed")
+    payload, data, root, fields, listed = F.col("_payload"), F.col("_data"), F.col("_root"), F.col("_fields"), F.col("_listed")
     postings = F.try_variant_get(root, "$.props.jobPostings", "variant")
     has_props = J.is_object(root) & (J.field(root, "props").isNull() | J.is_object(J.field(root, "props")))
     fault = (
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(F.col("status") >= 400, F.concat(F.lit("listings: HTTP status "), F.col("status").cast("string")))
         .when(payload == "", None)
-        .when(root.isNull(), F.lit("listings: page data is not valid JSON"))
-        .when(~has_props, F.lit("listings: page data has no job list"))
+        .when(root.isNull() & J.is_large(data) & (fields.isNull() | F.exists(listed, lambda p: p.isNull())), F.lit("listings: page data is beyond the size limits or malformed"))
+        .when(root.isNull() & fields.isNull(), F.lit("listings: page data is not valid JSON"))
+        .when(root.isNotNull() & ~has_props, F.lit("listings: page data has no job list"))
         .when(listed.isNull() & J.truthy(postings), F.lit("listings: page data has no job list"))
         .when(F.exists(listed, lambda p: J.field(p, "title").isNull() & ~J.is_object(p)), F.lit("listings: broken entry in the job list"))
     )
     address = F.col("request_url")
     pages = responses.where((F.col("render") == "http") & address.startswith(prefix) & address.endswith(suffix))
     pages = bind(pages, _payload=F.regexp_extract(F.coalesce("body", F.lit("")), 'data-page="([^"]+)"', 1))
-    pages = bind(pages, _root=J.parse(unescape("_payload")))
-    pages = bind(pages, _listed=J.items(postings))
+    pages = bind(pages, _data=unescape("_payload"))
+    pages = bind(pages, _root=J.parse(data))
+    pages = bind(pages, _fields=F.when(root.isNull(), J.parse_fields(data, _PAGE_DATA)))
+    pages = bind(pages, _listed=F.when(root.isNotNull(), J.items(postings)).otherwise(J.repacked(fields["props"]["jobPostings"])))
     return (
         bind(pages, fault=fault)
         .select("request_url", "fetched_at", "fault", F.when(F.col("fault").isNull(), F.transform(listed, _listing)).alias("jobs"))
