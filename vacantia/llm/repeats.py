@@ -103,15 +103,16 @@ def prefixes(p: Passages) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_keys(batch: pa.RecordBatch) -> np.ndarray:
+    """The prefixes, mixed: as smallest of several hashes they crowd near zero, and shards are even parts of all numbers."""
     p = passages(batch)
-    return prefixes(p)[1][p.open]
+    return mixed(prefixes(p)[1][p.open])
 
 
 def spans(p: Passages, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, first window, number of windows) of the spans that must be compared with other blocks."""
     of_word, key = prefixes(p)
     mark = np.zeros(len(key), np.uint8)
-    mark[p.open] = B.marks_of_keys(key[p.open], marks)
+    mark[p.open] = B.marks_of_keys(mixed(key[p.open]), marks)
     heavy = np.flatnonzero(mark == B.HEAVY)
     whole = np.zeros(len(heavy), np.uint64)
     for i in range(WINDOW if len(heavy) else 0):
