@@ -1,11 +1,11 @@
-"""Operator 7: repeated passages, found in suffix trees partitioned by prefix.
-
-A window of 20 words is judged where it stands with all windows that begin with the same prefix. The prefix is of
-variable length: normally the smallest hash among the window's runs of seven words, which neighbouring windows share, so
-a whole span of windows moves as one row; where too many parts have that run in common, the window itself. Only
-windows whose prefix occurs in several blocks move at all. Groups are small, so a task lays some of them end to end
-and numbers, by prefix doubling, the nodes of depth 20 of their suffix tree: suffixes under one node repeat each other.
-The earliest stays, the others are removed. Equal windows of one block are settled there beforehand.
+"""Operator 7: repeated passages, found as equal windows of 20 words.
+
+A window is judged where it stands with all windows of the same key. The key is normally the smallest hash among the
+window's runs of seven words, which neighbouring windows share, so a whole span of windows moves as one row; where too many parts
+have that run in common, it is the window itself. Only windows whose key occurs in several blocks move at all. Groups
+are small, so a task lays some of them end to end and numbers the windows by prefix doubling: equal windows have one
+number, as suffixes under one node of depth 20 of a suffix tree would; no tree is built. The earliest stays, the
+others are removed. Equal windows of one block are settled there beforehand.
 """
 
 from __future__ import annotations
