@@ -73,7 +73,7 @@ def test_word_perplexity_follows_the_definition(spark):
 
 def test_words_in_any_order_do_not_pass(spark):
     rng = random.Random(9)
-    good = [chain(rng, 120) for _ in range(150)]
+    good = [[f"{w}longer" for w in chain(rng, 120)] for _ in range(150)]
     mixed = [rng.sample(t, len(t)) for t in good[100:]]
     data = [(i, " ".join(t), "en") for i, t in enumerate(good)] + [(1000 + i, " ".join(t), "en") for i, t in enumerate(mixed)]
     labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
