@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import archives, bpe, contamination, extraction, lines, minhash, perplexity, quality, repeats, tokens
+from vacantia.llm import alignment, archives, bpe, contamination, extraction, lines, minhash, periods, perplexity, quality, repeats, simhash, tokens
+from vacantia.llm.texts import Words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,10 +32,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 WORDS_SQL = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -174,3 +177,64 @@ def op9_main_text(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op3_perplexity_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return perplexity.quality_by_perplexity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), groups="sha256")
+
+
+@query()
+def op12_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf, "documents"), size=4)
+    return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+def with_planted_periods(ids: list, words: Words) -> np.ndarray:
+    """Word numbers in which about every tenth text, by the hash of its id, is periodic from some word on."""
+    codes = words.codes.copy()
+    for doc_id, begin, end in zip(ids, words.starts[:-1].tolist(), words.starts[1:].tolist(), strict=True):
+        h, n = zlib.crc32(str(doc_id).encode()), end - begin
+        if doc_id is not None and h % 10 == 0 and n > 0:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            codes[begin + a : end] = codes[begin + a + np.arange(n - a) % p]
+    return codes
+
+
+#: Equal words q apart in a row make a run of period q; the smallest q counts. The checksum is taken bit by bit.
+PERIODS_SQL = f"""
+WITH t AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+c AS (SELECT doc_id, w, len(w) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 1 + length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
+    lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) AS h FROM t),
+a AS (SELECT *, CASE WHEN n > 0 THEN h // 10 % n END AS a, 3 + h // 10 % 8 AS k FROM c),
+d AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[(CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END + 1)::BIGINT]) ELSE w END AS w, n FROM a),
+word AS (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(w) AS x FROM d),
+pair AS (SELECT u.doc_id, u.i, v.i - u.i AS q FROM word u JOIN word v ON u.doc_id = v.doc_id AND u.x = v.x AND u.i < v.i AND 4 * (v.i - u.i) <= u.n),
+island AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pair) GROUP BY doc_id, q, g),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM island WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+r AS (SELECT doc_id, count(*) AS n_runs, max((length, -start, -period)) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, -best[2]::BIGINT AS start, best[1]::BIGINT AS length, -best[3]::BIGINT AS period,
+  (1000 * best[1] // -best[3])::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query(PERIODS_SQL)
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    out = periods.periodic_runs(table(spark, sf, "documents"), rewrite=with_planted_periods)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    written = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return out.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length DIV -best.period").alias("exponent_milli"),
+        F.sha2(written, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
