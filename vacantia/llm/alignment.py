@@ -35,6 +35,7 @@ from vacantia.session import stage
 
 TEXT_BYTES = 4 << 20
 LARGE_GROUP = 256
+ENCODED = 1 << 13
 SPACE_MARK = "▁"
 
 
@@ -69,7 +70,9 @@ class ByteLevel:
         self.splits = spec["normalizer"] is None and spec["pre_tokenizer"].get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex", True)
 
     def encode(self, strings: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+        # What the library returns beside the ids is many times their size, so not all of it at once.
+        batches = (strings[at : at + ENCODED] for at in range(0, len(strings), ENCODED))
+        return [e.ids for batch in batches for e in self.library.encode_batch_fast(batch, add_special_tokens=False)]
 
 
 class Pieces:
