@@ -20,11 +20,13 @@ from vacantia.operators.flatten import flatten_records
 from vacantia.operators.merge import merge_postings
 from vacantia.operators.sinks import write_csv, write_outputs
 from vacantia.plans.collect import Collection, collect_jobs
+from vacantia.plans.cuts import CutStore
 from vacantia.plans.frontier import crawl_frontier
 from vacantia.plans.reports import jobs_per_company, run_summary
 from vacantia.schemas import job
 from vacantia.session import stage, stage_folder, tune
 from vacantia.sources import captures, directory, shard_csv
+from vacantia.sources.archive import CaptureArchive, capture_changes
 from vacantia.streaming import postings as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -692,6 +694,65 @@ def missing_captures(spark, sf):
     return crawl_frontier(collection(spark, sf), include_listings=True)
 
 
+# --- the archive laid out by address ---------------------------------------------------------------------
+
+
+def laid_out(spark: SparkSession, responses: list[DataFrame]) -> CaptureArchive:
+    """A new archive with the captures as batches."""
+    made = CaptureArchive.create(spark, _new_folder(spark, "captures"), buckets=16)
+    for n, df in enumerate(responses):
+        made.append(df, f"b{n}")
+    return made
+
+
+@query(f"""
+SELECT {_SITE.replace('k', 's_suppkey', 1)} || path AS request_url, 'http' AS render, CAST(200 AS INT) AS status, path <> '/open-positions' OR n > 0 AS found
+FROM supplier JOIN (VALUES (''), ('/company/jobs'), ('/open-positions')) v(path) ON s_suppkey % 10 = 5
+JOIN (SELECT k, count(p_partkey) AS n FROM (SELECT s_suppkey AS k FROM supplier) LEFT JOIN part ON p_partkey % (SELECT count(*) FROM supplier) = k GROUP BY k) ON k = s_suppkey
+WHERE path <> '/open-positions' OR n > 0
+""")
+def indexed_captures(spark, sf):
+    """The captures of some companies, found by the index and read from the files that hold them."""
+    made = laid_out(spark, [archive(spark, sf)[1]])
+    keys = stage(made.latest().where(r"request_url RLIKE '^https://co\\d*5\\.example'"), "keys")
+    return made.read(keys).select("request_url", "render", "status", F.col("body").contains("<html>").alias("found"))
+
+
+def _two_crawls(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The archive as it was before its embedded pages had postings, and what a later crawl captured: these pages, and
+    the home pages of other companies again."""
+    responses = archive(spark, sf)[1]
+    page = F.col("request_url").rlike(r"^https://co\d*4\.example\.com/jobs$")
+    again = F.col("request_url").rlike(r"^https://co\d*[03]\.example\.com$")
+    before = responses.withColumn("body", F.when(page, F.lit("<html>soon</html>")).otherwise(F.col("body")))
+    return before, responses.where(page | again).withColumn("fetched_at", F.expr("fetched_at + INTERVAL 1 DAY"))
+
+
+@query(OPENINGS + f", {_POSTINGS} {_FLAT_CAREERS} FROM j UNION ALL {_FLAT_ERROR}")
+def records_after_changes(spark, sf):
+    """A second run over an archive with a later crawl: it cuts what changed and takes over the rest."""
+    companies = archive(spark, sf)[0]
+    before, later = _two_crawls(spark, sf)
+    made, folder = laid_out(spark, [before]), _new_folder(spark, "cuts")
+    collect_jobs(companies, made, only_hiring=False, cuts=CutStore(spark, folder))
+    made.append(later, "later")
+    return flatten_records(collect_jobs(companies, made, only_hiring=False, cuts=CutStore(spark, folder)))
+
+
+@query("""
+SELECT CASE WHEN s_suppkey % 10 = 4 THEN 'changed' ELSE 'same' END AS change, 'https://co' || s_suppkey || '.example.com' || CASE WHEN s_suppkey % 10 = 4 THEN '/jobs' ELSE '' END AS request_url
+FROM supplier WHERE s_suppkey % 10 IN (0, 3) OR s_suppkey % 10 = 4 AND EXISTS (SELECT 1 FROM part WHERE p_partkey % (SELECT count(*) FROM supplier) = s_suppkey)
+""")
+def changed_captures(spark, sf):
+    """What a later crawl changed, of the addresses it captured."""
+    before, later = _two_crawls(spark, sf)
+    made = laid_out(spark, [before, later])
+    times = lambda df: captures.latest_captures(df, "content", "file")
+    index = made.index()
+    changes = capture_changes(times(index.where("batch = 'b0'")), made.latest())
+    return changes.join(index.where("batch = 'b1'"), ["request_url", "render"], "left_semi").select("request_url", "change")
+
+
 # --- files and streams ----------------------------------------------------------------------------------
 
 

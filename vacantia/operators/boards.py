@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vacantia.functions import variants as J
 from vacantia.functions import vocabulary as V
 from vacantia.functions.bind import bind
-from vacantia.schemas import job
+from vacantia.schemas import carried, job
 
 VENDORS = {"greenhouse": V.GREENHOUSE_API, "lever": V.LEVER_API, "ashby": V.ASHBY_API}
 
@@ -64,37 +64,59 @@ def _entry_fault(p: Column, title: str, lever: bool) -> Column:
     return F.coalesce(broken, F.lit(True))
 
 
-def _parse(payloads: DataFrame, vendor: str) -> DataFrame:
-    """Jobs and fault of each captured payload of one vendor."""
-    body, root, fields, jobs = F.col("body"), F.col("_root"), F.col("_fields"), F.col("_jobs")
-    starts = lambda char: F.coalesce(body.rlike(r"^\s*" + char), F.lit(False))
+def _has_fault(jobs: Column, vendor: str) -> Column:
     lever = vendor == "lever"
-    title = "text" if lever else "title"
+    return F.exists(jobs, lambda p: _entry_fault(p, "text" if lever else "title", lever))
+
+
+def _by_vendor(make: dict[str, Column]) -> Column:
+    out = F
+    for vendor, value in make.items():
+        out = out.when(F.col("_vendor") == vendor, value)
+    return out
+
+
+def _entries(jobs: Column, vendor: str) -> Column:
+    """ARRAY<STRUCT<board_pos, job>> of the listed entries of one vendor."""
     build = {"greenhouse": _greenhouse, "lever": _lever, "ashby": _ashby}[vendor]
-    listed = J.items(root) if lever else J.items(J.field(root, "jobs"))
-    wrong_root = F.lit(False) if lever else ~starts(r"\{")
-    wrong_list = F.lit(False) if lever else jobs.isNull() & J.truthy(J.field(root, "jobs"))
-    fault = (
-        F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("status") != 200, None)
-        .when(root.isNull() & J.is_large(body) & (fields.isNull() | F.exists(jobs, lambda p: p.isNull())), F.lit(f"{vendor}: payload is beyond the size limits or malformed"))
-        .when(root.isNull() & fields.isNull(), F.lit(f"{vendor}: payload is not valid JSON"))
-        .when(wrong_root, F.lit(f"{vendor}: payload root is not an object"))
-        .when(wrong_list, F.lit(f"{vendor}: jobs is not a list"))
-        .when(F.exists(jobs, lambda p: _entry_fault(p, title, lever)), F.lit(f"{vendor}: broken entry in the job list"))
-    )
     entries = F.transform(jobs, lambda p, i: F.struct(i.alias("board_pos"), build(p).alias("job"), p.alias("_raw")))
     if vendor == "ashby":
         # Only a literal false hides an entry.
         entries = F.filter(entries, lambda e: F.coalesce(J.raw(J.field(e["_raw"], "isListed")) != "false", F.lit(True)))
-    entries = F.transform(entries, lambda e: F.struct(e["board_pos"], e["job"]))
+    return F.transform(entries, lambda e: F.struct(e["board_pos"], e["job"]))
+
+
+def _parse(payloads: DataFrame) -> DataFrame:
+    """Jobs and fault of each captured payload: one pass over the payloads of all vendors."""
+    body, root, jobs, vendor = F.col("body"), F.col("_root"), F.col("_jobs"), F.col("_vendor")
+    lever = vendor == "lever"
     readable = (F.col("status") == 200) & F.col("error").isNull()
-    ours = payloads.where(F.col("request_url").startswith(VENDORS[vendor][0]))
+    ours = payloads.where(is_board_api(F.col("request_url")))
+    ours = ours.withColumn("_vendor", F.coalesce(*[F.when(F.col("request_url").startswith(api[0]), v) for v, api in VENDORS.items()]))
     ours = bind(ours, _root=F.when(readable, J.parse(body)))
-    entries_of = f"ARRAY<{_ENTRY[vendor]}>" if lever else f"STRUCT<jobs: ARRAY<{_ENTRY[vendor]}>>"
-    ours = bind(ours, _fields=F.when(readable & root.isNull(), J.parse_fields(body, entries_of)))
-    ours = bind(ours, _jobs=F.when(root.isNotNull(), listed).otherwise(J.repacked(fields if lever else fields["jobs"])))
-    return bind(ours, fault=fault).select("request_url", "fetched_at", "fault", F.when(F.col("fault").isNull(), entries).alias("jobs"))
+    # What lies beyond the size limits is read by its needed fields; few payloads, if any, are.
+    large = readable & root.isNull()
+    fields = {v: F.when(large & (vendor == v), J.parse_fields(body, f"ARRAY<{e}>" if v == "lever" else f"STRUCT<jobs: ARRAY<{e}>>")) for v, e in _ENTRY.items()}
+    ours = bind(ours, **{f"_{v}": c for v, c in fields.items()})
+    listed = F.when(lever, J.items(root)).otherwise(J.items(J.field(root, "jobs")))
+    by_fields = _by_vendor({v: J.repacked(F.col(f"_{v}") if v == "lever" else F.col(f"_{v}")["jobs"]) for v in VENDORS})
+    ours = bind(ours, _jobs=F.when(root.isNotNull(), listed).otherwise(by_fields), _unread=F.coalesce(*[F.when(F.col(f"_{v}").isNotNull(), False) for v in VENDORS], F.lit(True)))
+    unread = F.col("_unread")
+    says = lambda what: F.concat(vendor, F.lit(f": {what}"))
+    fault = (
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("status") != 200, None)
+        .when(root.isNull() & J.is_large(body) & (unread | F.exists(jobs, lambda p: p.isNull())), says("payload is beyond the size limits or malformed"))
+        .when(root.isNull() & unread, says("payload is not valid JSON"))
+        .when(~lever & ~F.coalesce(body.rlike(r"^\s*\{"), F.lit(False)), says("payload root is not an object"))
+        .when(~lever & jobs.isNull() & J.truthy(J.field(root, "jobs")), says("jobs is not a list"))
+        .when(
+            _by_vendor({v: _has_fault(jobs, v) for v in VENDORS}),
+            says("broken entry in the job list"),
+        )
+    )
+    entries = _by_vendor({v: _entries(jobs, v) for v in VENDORS})
+    return bind(ours, fault=fault).select("request_url", "fetched_at", *carried(payloads), "fault", F.when(F.col("fault").isNull(), entries).alias("jobs"))
 
 
 def board_payloads(responses: DataFrame) -> DataFrame:
@@ -103,13 +125,11 @@ def board_payloads(responses: DataFrame) -> DataFrame:
     A payload is parsed once, however many companies or pages name its board. The vendor prefixes are
     pushed to the scan. Status other than 200 means no jobs and no fault.
     """
-    http = responses.where("render = 'http'").select("request_url", "fetched_at", "status", "body", "error")
-    parsed = [_parse(http, v) for v in VENDORS]
-    everything = parsed[0].unionByName(parsed[1]).unionByName(parsed[2])
+    http = responses.where("render = 'http'").select("request_url", "fetched_at", "status", "body", "error", *carried(responses))
     return (
-        everything.groupBy("request_url")
-        .agg(F.max_by(F.struct("fault", "jobs"), F.struct(F.col("fetched_at"), F.col("fault"))).alias("p"))
-        .select("request_url", "p.fault", "p.jobs")
+        _parse(http).groupBy("request_url")
+        .agg(F.max_by(F.struct("fault", "jobs", *carried(responses)), F.struct(F.col("fetched_at"), F.col("fault"))).alias("p"))
+        .select("request_url", "p.*")
     )
 
 

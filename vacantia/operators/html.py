@@ -13,6 +13,7 @@ from vacantia.functions import vocabulary as V
 from vacantia.functions.bind import bind
 from vacantia.functions.text import WS, collapse, empty_to_null, strip, unescape
 from vacantia.functions.urls import strip_fragment
+from vacantia.schemas import carried
 
 # Attributes of a start tag up to its '>'; quotes count only as values after '='.
 _ATTRS = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?|["'])*+"""
@@ -85,7 +86,7 @@ def page_parts(pages: DataFrame) -> DataFrame:
     """One row per captured page with only the parts that later steps read; the body is dropped here.
 
     Map-only: one scan of the archive, no shuffle. Input columns: request_url, render, fetched_at,
-    final_url, body.
+    final_url, body; `ident` is kept if there is one.
     """
     body, no_boards = F.col("body"), F.array().cast("array<struct<vendor_rank:int,vendor:string,token:string>>")
     # A page without a board host's name has no board tokens either: one scan of the body decides both.
@@ -98,6 +99,7 @@ def page_parts(pages: DataFrame) -> DataFrame:
         anchor_blocks(body).alias("anchors"),
         F.filter(script_blocks(body), lambda s: F.exists(F.array(F.lower(s)), lambda low: _contains_any(low, _POSTING_WORDS))).alias("scripts"),
         F.when(F.col("has_ats_text"), board_tokens(body)).otherwise(no_boards).alias("boards"),
+        *carried(pages),
     )
 
 

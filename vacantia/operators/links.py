@@ -10,7 +10,7 @@ from vacantia.functions.bind import bind
 from vacantia.functions.urls import base_parts, host, path, strip_fragment, with_absolute
 from vacantia.operators.html import explode_anchors
 from vacantia.operators.scripts import RANK_LINK
-from vacantia.schemas import job
+from vacantia.schemas import carried, job
 
 
 def link_targets(anchors: DataFrame, base: str = "page_url") -> DataFrame:
@@ -32,7 +32,7 @@ def link_facts(parts: DataFrame, same_site_only: bool = True) -> DataFrame:
     role = lambda base, page, site: F.struct(F.col(base).alias("_url"), page.alias("_as_page"), site.alias("_as_site"))
     yes, no = F.lit(True), F.lit(False)
     roles = F.when(moved, F.array(role("page_url", yes, no), role("request_url", no, yes))).otherwise(F.array(role("page_url", yes, is_root)))
-    pages = parts.select("request_url", "render", "fetched_at", "page_url", "has_ats_text", "anchors", F.inline(roles))
+    pages = parts.select("request_url", "render", "fetched_at", "page_url", "has_ats_text", "anchors", *carried(parts), F.inline(roles))
     pages = bind(pages, _base=base_parts(F.col("_url")), _base_host=host("_url")).drop("_url")
     anchors = link_targets(explode_anchors(pages).drop("aria_label", "title_attr"), "_base").drop("_base")
 
@@ -56,6 +56,7 @@ def link_facts(parts: DataFrame, same_site_only: bool = True) -> DataFrame:
         F.when(useful, F.col("root_tier")).alias("root_tier"),
         F.when(useful, F.col("root_score")).alias("root_score"),
         F.when(useful, target).alias("root_target"),
+        *carried(parts),
     )
 
 
@@ -67,4 +68,5 @@ def link_postings(facts: DataFrame) -> DataFrame:
         F.lit(0).alias("walk_pos"),
         job(source=F.lit("html_link"), title=F.col("text"), url=F.col("target")).alias("job"),
         F.lit(RANK_LINK).alias("extractor"),
+        *carried(facts),
     )

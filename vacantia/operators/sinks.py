@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.operators.flatten import flatten_records
-from vacantia.session import stage
+from vacantia.session import Stages
 
 # Quotes are doubled, blanks stay blank, values keep their outer spaces: exact on reading back.
 CSV_OPTIONS = {
@@ -37,7 +37,7 @@ def write_csv(flat: DataFrame, path: str, mode: str = "errorifexists") -> None:
     _writer(flat, mode, _PARTITION in flat.columns).options(**CSV_OPTIONS).csv(path)
 
 
-def write_outputs(records: DataFrame, base: str, mode: str = "errorifexists", num_shards: int = 1) -> None:
+def write_outputs(records: DataFrame, base: str, mode: str = "errorifexists", num_shards: int = 1, stages: Stages | None = None) -> None:
     """Records under {base}/jsonl and flat rows under {base}/json and {base}/csv, from one evaluation.
 
     With several shards, or records that carry their run's `shard` (`collect_jobs(with_shard=True)`), every output is
@@ -47,8 +47,13 @@ def write_outputs(records: DataFrame, base: str, mode: str = "errorifexists", nu
 
     if _PARTITION not in records.columns and num_shards > 1:
         records = records.withColumn(_PARTITION, shard_index(F.col("company.yc_slug"), num_shards))
-    kept = stage(records, "records")
-    flat = flatten_records(kept)
-    write_records(kept, f"{base}/jsonl", mode)
-    write_flat_json(flat, f"{base}/json", mode)
-    write_csv(flat, f"{base}/csv", mode)
+    own = stages or Stages(records.sparkSession)
+    try:
+        kept = own(records, "records")
+        flat = flatten_records(kept)
+        write_records(kept, f"{base}/jsonl", mode)
+        write_flat_json(flat, f"{base}/json", mode)
+        write_csv(flat, f"{base}/csv", mode)
+    finally:
+        if stages is None:
+            own.close()

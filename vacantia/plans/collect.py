@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,29 +12,32 @@ from vacantia.functions import rules as R
 from vacantia.functions import vocabulary as V
 from vacantia.functions.urls import normalize_website
 from vacantia.operators.boards import VENDORS, board_payloads
-from vacantia.operators.discover import discover_careers, visited_pages
+from vacantia.operators.discover import discover_careers, guessed_pages, visited_pages
 from vacantia.operators.html import explode_scripts, page_address, page_parts
 from vacantia.operators.links import link_facts, link_postings
 from vacantia.operators.listings import listing_pages, listings_url
 from vacantia.operators.merge import merge_postings
+from vacantia.operators.sinks import write_outputs
 from vacantia.operators.scripts import RANK_BOARD, embedded_postings, linked_data_postings
-from vacantia.schemas import COMPANY, JOB, RECORDS
-from vacantia.session import Stages, only_among, stage, tune
-from vacantia.sources.captures import latest_captures, page_captures
+from vacantia.plans.cuts import CutStore, identity
+from vacantia.schemas import COMPANY, IDENT, JOB, RECORDS, carried
+from vacantia.session import Stages, tune
+from vacantia.sources.archive import CaptureArchive, as_archive
+from vacantia.sources.captures import CAPTURE, page_captures
 from vacantia.sources.directory import select_companies
 
-CAPTURE = ["request_url", "render", "fetched_at"]
 POSTING = ["request_url", "render", "fetched_at", "page_url", "extractor", "script_pos", "walk_pos", "job"]
 RENDER_MODES = ("http", "browser", "fallback")
 
 
 def page_postings(parts: DataFrame, facts: DataFrame) -> DataFrame:
     """Postings found on each page by embedded JSON, JSON-LD and links. Map-only and independent of companies."""
-    scripts = explode_scripts(parts.select("request_url", "render", "fetched_at", "page_url", "scripts"))
+    scripts = explode_scripts(parts.select("request_url", "render", "fetched_at", "page_url", "scripts", *carried(parts)))
+    columns = [*POSTING, *carried(parts)]
     return (
-        embedded_postings(scripts).select(*POSTING)
-        .unionByName(linked_data_postings(scripts).select(*POSTING))
-        .unionByName(link_postings(facts).select(*POSTING))
+        embedded_postings(scripts).select(*columns)
+        .unionByName(linked_data_postings(scripts).select(*columns))
+        .unionByName(link_postings(facts).select(*columns))
     )
 
 
@@ -79,34 +83,48 @@ class Collection:
     Work is done per distinct careers URL, not per company: a board or page shared by a third of all
     companies is read, parsed and merged once, and fans out only in the last join.
 
-    Only what the companies lead to is cut: their home pages, then the careers pages found there, then the hub pages
-    named on those; and only payloads of boards that these name. Each page is cut once, from its newest capture. Runs
-    over shards of the companies together do the work of one run over all.
+    Only what the companies lead to is cut: their home pages and usual paths, then the careers pages found there, then
+    the hub pages named on those; and only payloads of boards that these name. Each page is cut once, from its newest
+    capture. Runs over shards of the companies together do the work of one run over all.
+
+    `responses` is a table of captures, which every step scans, or a `CaptureArchive`, of which only the files that hold
+    wanted captures are opened. With such an archive, `cuts` keeps what is made of captures for later runs, and takes over what
+    earlier runs made of captures that are unchanged.
 
     Sets the session's JSON options (see `vacantia.session.tune`). `close`, or leaving a `with` block, deletes
-    the intermediate tables.
+    the intermediate tables; those in `stages` of the caller go with them.
     """
 
-    def __init__(self, companies: DataFrame, responses: DataFrame, *, render: str = "http", same_site_only: bool = True):
+    def __init__(
+        self, companies: DataFrame, responses: DataFrame | CaptureArchive, *, render: str = "http", same_site_only: bool = True,
+        cuts: CutStore | None = None, stages: Stages | None = None,
+    ):
         if render not in RENDER_MODES:
             raise ValueError(f"render must be one of {RENDER_MODES}")
         tune(companies.sparkSession)
-        self.stage = Stages(companies.sparkSession)
+        self.archive = as_archive(responses)
+        if cuts is not None and not isinstance(self.archive, CaptureArchive):
+            raise ValueError("only a CaptureArchive tells whether a capture changed")
+        self.stage = stages or Stages(companies.sparkSession)
         self.first_render = "browser" if render == "browser" else "http"
-        self.same_site_only = same_site_only
+        self.same_site_only, self.cuts = same_site_only, cuts
         self.companies = companies.withColumn("root", normalize_website(F.col("website")))
-        self.responses = responses
-        self.latest = self.stage(latest_captures(responses), "captures")
+        latest = self.archive.latest().withColumn("page_url", page_address())
+        self.latest = self.stage(latest.withColumn(IDENT, identity(same_site_only)) if cuts else latest, "captures")
+        #: Columns that name a capture to whoever reads it.
+        self.key = [*CAPTURE, *(c for c in ("file", "content", IDENT) if c in self.latest.columns)]
         self.parts = self.facts = self.payloads = None
-        roots = self.stage(self.companies.where("root IS NOT NULL").select("root").distinct(), "roots")
-        self._cut(roots.select(F.col("root").alias("wanted_url")), "http")
+        roots = self.companies.where("root IS NOT NULL").select("root").distinct()
+        usual = guessed_pages(self.latest).where("accepted").groupBy("root").agg(F.min_by("guess_url", "guess_rank").alias("wanted_url"))
+        homes = roots.select(F.col("root").alias("wanted_url"))
+        self._cut(homes.unionByName(usual.join(roots, "root", "left_semi").select("wanted_url")), "http")
         self.discovered = self.stage(discover_careers(roots, self.latest, self.facts), "careers")
         careers = self.discovered.where("careers_url IS NOT NULL").select("careers_url").distinct()
-        self.direct = self.stage(direct_boards(careers), "direct")
+        self.direct = direct_boards(careers)
         self._load(self.direct)
         direct = self.direct.join(self.payloads, "request_url", "left")
         state = direct.select("careers_url", "fault", (F.size("jobs") > 0).alias("has_jobs"))
-        state = self.stage(careers.join(state, "careers_url", "left"), "boards")
+        state = careers.join(state, "careers_url", "left")
         has_jobs = F.coalesce("has_jobs", F.lit(False))
         self.direct_outcome = state.where(F.col("fault").isNotNull() | has_jobs).select(
             "careers_url", F.col("careers_url").alias("shown_url"), F.col("fault").alias("error"), has_jobs.alias("has_jobs")
@@ -135,32 +153,77 @@ class Collection:
     def __exit__(self, *_: object) -> None:
         self.close()
 
+    def _captures(self, keys: DataFrame) -> DataFrame:
+        rows = self.archive.read(keys)
+        return rows.withColumn(IDENT, identity(self.same_site_only)) if self.cuts else rows
+
+    def _made(self, keys: DataFrame, kinds: dict[str, Callable[[DataFrame], DataFrame]]) -> list[DataFrame]:
+        """Tables made, one from the other, of the captures in the written table `keys`; with `cuts`, of those not made before."""
+        if self.cuts is None:
+            tables, made = [], self._captures(keys)
+            for kind, make in kinds.items():
+                made = self.stage(make(made), kind)
+                tables.append(made)
+            return tables
+        last = list(kinds)[-1]
+        new = self.stage(self.cuts.missing(last, keys), "new")
+        if not new.isEmpty():
+            made = self._captures(new)
+            for kind, make in kinds.items():
+                made = self.stage(make(made), kind)
+                self.cuts.add(kind, new, made)
+        empty = self._captures(keys.limit(0))
+        tables = []
+        for kind, make in kinds.items():
+            like = make(empty)
+            rows = self.cuts.rows(kind, keys, lambda like=like: like).select(*like.columns)
+            tables.append(self.stage(rows, kind))
+            empty = like
+        return tables
+
     def _cut(self, wanted: DataFrame, render: str) -> None:
         """Add the parts and links of the newest captures that answer for the wanted addresses."""
-        answers = self.latest.where(F.col("render") == render).select(*CAPTURE, F.explode(F.array("request_url", page_address())).alias("wanted_url"))
-        keys = answers.join(wanted.select("wanted_url").distinct(), "wanted_url", "left_semi").select(*CAPTURE).distinct()
+        usable = (F.col("render") == render) & F.col("error").isNull() & ((F.col("status") == 200) if render == "http" else F.lit(True))
+        answers = self.latest.where(usable).select(*self.key, F.explode(F.array("request_url", "page_url")).alias("wanted_url"))
+        keys = answers.join(wanted.select("wanted_url").distinct(), "wanted_url", "left_semi").select(*self.key).distinct()
         if self.parts is not None:
             keys = keys.join(self.parts.select(*CAPTURE), CAPTURE, "left_anti")
-        pages = only_among(page_captures(self.responses), self.stage(keys, "wanted"), CAPTURE)
-        parts = self.stage(page_parts(pages), "parts")
-        facts = self.stage(link_facts(parts, self.same_site_only), "links")
+        keys = self.stage(keys, "wanted")
+        if self.parts is not None and keys.isEmpty():
+            return
+        parts, facts = self._made(keys, {"parts": lambda rows: page_parts(page_captures(rows)), "links": lambda parts: link_facts(parts, self.same_site_only)})
         self.parts = parts if self.parts is None else self.parts.unionByName(parts)
         self.facts = facts if self.facts is None else self.facts.unionByName(facts)
 
     def _load(self, wanted: DataFrame) -> None:
-        """Add the payloads of the wanted API addresses."""
-        keys = wanted.select("request_url").distinct()
+        """Add the newest payloads of the wanted API addresses."""
+        keys = self.latest.where("render = 'http'").select(*self.key).join(wanted.select("request_url").distinct(), "request_url", "left_semi")
         if self.payloads is not None:
             keys = keys.join(self.payloads.select("request_url"), "request_url", "left_anti")
-        payloads = self.stage(board_payloads(only_among(self.responses, self.stage(keys, "apis"), ["request_url"])), "payloads")
+        keys = self.stage(keys.select(*self.key), "apis")
+        if self.payloads is not None and keys.isEmpty():
+            return
+        (payloads,) = self._made(keys, {"payloads": board_payloads})
         self.payloads = payloads if self.payloads is None else self.payloads.unionByName(payloads)
 
+    def _postings(self, seen: DataFrame) -> DataFrame:
+        """Postings found on the pages `seen` (request_url, fetched_at, render). Scripts are walked on these pages only."""
+        made = lambda pages: page_postings(self.parts.join(pages, CAPTURE, "left_semi"), self.facts.join(pages, CAPTURE, "left_semi"))
+        if self.cuts is None:
+            return made(seen)
+        keys = self.stage(self.latest.select(*CAPTURE, IDENT).join(seen, CAPTURE, "left_semi"), "seen")
+        new = self.stage(self.cuts.missing("postings", keys), "unread")
+        if not new.isEmpty():
+            self.cuts.add("postings", new, made(new.select(*CAPTURE)))
+        like = made(seen)
+        return self.cuts.rows("postings", keys, lambda: like).select(*like.columns)
+
     def _read(self, careers: DataFrame, render: str) -> Pass:
         self._cut(careers.select(F.col("careers_url").alias("wanted_url")), render)
         visit = lambda: visited_pages(careers, self.latest, self.parts, self.facts, render)
         self._cut(visit().where("page_rank > 0").select("wanted_url"), render)
         visits = self.stage(visit(), "visits")
-        named = self.stage(named_boards(visits, self.parts, render), "named")
+        named = named_boards(visits, self.parts, render)
         self._load(named)
         states = self.payloads.select("request_url", "fault", (F.size("jobs") > 0).alias("has_jobs"))
         boards = self.stage(named.join(states, "request_url", "left"), "page-boards")
@@ -176,9 +239,8 @@ class Collection:
                 "token", F.col("board_pos").alias("walk_pos"), "job",
             )
         )
-        # Scripts are walked on visited pages only.
-        seen = self.stage(visits.where("has_text").select("request_url", "fetched_at", F.lit(render).alias("render")).distinct(), "seen")
-        found = page_postings(only_among(self.parts, seen, CAPTURE), only_among(self.facts, seen, CAPTURE))
+        # The written table of visits is narrow, so its size decides how pages are matched with it.
+        found = self._postings(visits.where("has_text").select("request_url", F.lit(render).alias("render"), "fetched_at").distinct())
         on_pages = (
             visits.where("has_text").select("careers_url", "page_rank", "request_url", "fetched_at")
             .join(found.select("request_url", "fetched_at", "extractor", "script_pos", "walk_pos", "job"), ["request_url", "fetched_at"])
@@ -237,9 +299,9 @@ def external_records(run: Collection, verbose: bool = False) -> DataFrame:
     return out
 
 
-def listing_records(companies: DataFrame, responses: DataFrame) -> DataFrame:
+def listing_records(companies: DataFrame, responses: DataFrame | CaptureArchive, stages: Stages | None = None) -> DataFrame:
     """Records of the directory's own listings. They are never merged with careers postings."""
-    pages = listing_pages(responses)
+    pages = listing_pages(as_archive(responses).starting(V.LISTINGS_PAGE[0], stages or Stages(companies.sparkSession)))
     joined = companies.withColumn("request_url", listings_url(F.col("slug"))).join(pages, "request_url")
     rows = joined.where("fault IS NULL").withColumn("job", F.explode("jobs"))
     faults = joined.where("fault IS NOT NULL")
@@ -250,7 +312,7 @@ def listing_records(companies: DataFrame, responses: DataFrame) -> DataFrame:
 
 def collect_jobs(
     companies: DataFrame,
-    responses: DataFrame,
+    responses: DataFrame | CaptureArchive,
     *,
     only_hiring: bool = True,
     max_companies: int = 0,
@@ -263,28 +325,42 @@ def collect_jobs(
     with_shard: bool = False,
     render: str = "http",
     same_site_only: bool = True,
+    cuts: CutStore | None = None,
+    stages: Stages | None = None,
 ) -> DataFrame:
     """Records of all open roles of the chosen companies.
 
     with_shard: keep the shard of the company, by its slug or else its object id, as a column.
     render: 'http', 'browser', or 'fallback' (rendered captures for companies without postings over HTTP).
-    Shared intermediate tables are written to the checkpoint folder (see `vacantia.session.stage`).
+    responses, cuts: see `Collection`.
+    stages: where intermediate tables are written; the records read them, so close it after the records are. Without
+    it they are written to the checkpoint folder and stay there. `write_jobs` does both.
     """
     if skip_external and not include_listings:
         raise ValueError("skip_external leaves nothing to collect without include_listings")
+    stages = stages or Stages(companies.sparkSession)
     chosen = select_companies(
         companies, only_hiring=only_hiring, max_companies=max_companies, num_shards=num_shards, shard=shard,
         limit_per_shard=limit_per_shard,
     )
     if max_companies:
-        chosen = stage(chosen, "companies")
+        chosen = stages(chosen, "companies")
     parts = []
     if not skip_external:
-        run = Collection(chosen, responses, render=render, same_site_only=same_site_only)
+        run = Collection(chosen, responses, render=render, same_site_only=same_site_only, cuts=cuts, stages=stages)
         parts.append(external_records(run, verbose))
     if include_listings:
         tune(companies.sparkSession)
-        parts.append(listing_records(chosen, responses))
+        parts.append(listing_records(chosen, responses, stages))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     schema = companies.sparkSession.createDataFrame([], RECORDS + (", shard INT" if with_shard else "")).schema
     return out.to(schema)
+
+
+def write_jobs(companies: DataFrame, responses: DataFrame | CaptureArchive, base: str, *, mode: str = "errorifexists", num_shards: int = 1, **options) -> None:
+    """Collect and write all three outputs (see `write_outputs`), then delete the intermediate tables, also after a failure.
+
+    `options` are those of `collect_jobs`.
+    """
+    with Stages(companies.sparkSession) as stages:
+        write_outputs(collect_jobs(companies, responses, num_shards=num_shards, stages=stages, **options), base, mode, num_shards, stages)

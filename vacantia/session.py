@@ -75,6 +75,12 @@ class Stages:
         self.count += 1
         return _written(df, f"{self.folder}/{self.count:03d}-{name}")
 
+    def __enter__(self) -> Stages:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def close(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
