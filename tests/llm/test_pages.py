@@ -2,6 +2,7 @@
 
 import io
 import random
+import time
 import zipfile
 from collections import Counter
 
@@ -107,6 +108,58 @@ def test_pages_without_telling_elements():
     assert extraction.main_blocks(extraction.blocks_of(html), extraction.DEFAULT_WEIGHTS) == [text.strip()] * 2
 
 
+LONG = [
+    "This paragraph is long enough, has commas, and ends as sentences do, so it is content.",
+    "Another paragraph follows, which is as long as the first one, or nearly so, to be sure.",
+]
+
+
+def extracted(html):
+    return extraction.main_blocks(extraction.blocks_of(html), extraction.DEFAULT_WEIGHTS)
+
+
+@pytest.mark.parametrize("name", "plain has-sidebar no-sidebar with-header ad-free post-without-comments sidebar-right siteHeaderLayout".split())
+def test_no_article_is_lost_to_a_name_of_its_layout(name):
+    html = f'<body class="{name}"><nav><a href=x>Home</a></nav><div class="{name}"><p>{LONG[0]}</p><p>{LONG[1]}</p></div><div class="sidebar">Buy now, it is cheap, in all shops.</div><footer>Imprint</footer>'
+    assert extracted(html) == LONG
+
+
+def test_names_inside_and_beside_an_article():
+    note = "Readers should note this, please, and well."
+    html = (
+        f'<article><p>{LONG[0]}</p><div class="alert"><p>{note}</p></div><section class="notice-of-award"><p>{LONG[1]}</p></section><div class="ad">Buy.</div></article>'
+        '<div class="widgetbox"><p>Buy our goods, they are cheap and good, today only, in all shops.</p></div><div class="xyz-b7">Order now, it is cheap.</div>'
+    )
+    assert extracted(html) == [LONG[0], note, LONG[1]]
+    few = f'<div class="ad">{LONG[0]}</div><article><h1>Short.</h1></article>'
+    assert extracted(few) == ["Short."]
+    comments = f'<div class="text"><p>{LONG[0]}</p></div><div id="comments"><p>{LONG[1]}</p><p>{LONG[1]}</p></div>'
+    assert extracted(comments) == [LONG[0]]
+
+
+HOSTILE = {
+    "open tags": "<a " * 60_000, "deep": "<div>x" * 40_000, "quotes": '<a x="' * 60_000, "ends": "<div>" * 20_000 + "</x>" * 60_000 + "</p>" * 20_000, "comments": "<!--" * 60_000,
+    "signs": "<" * 200_000, "titles": "<title>" * 60_000, "scripts": "<script>" * 60_000, "lists": "<select>" * 50_000, "values": "<a " + "='" * 60_000,
+    "articles": "<article><p>a b c d e, f.</p><nav>x</nav></article>" * 10_000,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_take_time_by_their_length(kind):
+    begun = time.perf_counter()
+    found = extracted(f"<article><p>{LONG[0]}</p>" + HOSTILE[kind])
+    assert found[0] == LONG[0] and time.perf_counter() - begun < 10
+
+
+def test_tags_are_cut_as_browsers_do():
+    cut = lambda html: [b.text for b in extraction.blocks_of(html)]
+    assert cut('<p title="a > b">One</p><p title=\'>\' x="5" tall">Two <b>bold</b></p>') == ["One", "Two bold"]
+    assert cut("a < b <3 c &lt;d&gt; <!-- <p>no</p> --> e<!---->f<!doctype html>g") == ["a < b <3 c <d> ef" + "g"]
+    assert cut("<head><title>No</title><body><p>Yes<script>var a='</p>'</script> more") == ["Yes more"]
+    assert cut("<title>never ends <p>Text</p>") == ["never ends", "Text"] and cut("<p>Text</p><div class=") == ["Text"]
+    assert cut("<DIV>A<Br>b</DIV ><p/>c") == ["A b", "c"]
+
+
 def test_odd_pages(spark, pages):
     odd = [(1, "u", None), (2, None, ""), (3, "u", "<<<>>> <p"), (4, "u", "plain text only"), (5, "u", "<![if x]><p>a</p><![CDATA[b]]>"), (6, "u", PAGE), (6, "u", PAGE), (None, "u", "<article>" + "<p>word</p>" * 20_000)]
     df = spark.createDataFrame([(*r, "t") for r in odd], "page_id long, url string, html string, text string")

@@ -4,16 +4,24 @@ A page becomes a row of text blocks. A classifier gives each block costs for bei
 ancestor says (tag, role, class or id) and a logistic model of its text, trained here on blocks whose ancestors tell.
 The costs are the capacities from source and to sink; neighbouring blocks, and neighbours below one parent, are tied by
 capacities that fall with their distance in the document tree. The maximum flow gives the cut of least cost.
+
+Tags and roles say what they say. Names are weaker: a class that speaks of the layout ('has-sidebar', 'ad-free') says
+nothing, inside an article only names of foreign matter count, and on a page without article tags a name that may stand for layout does not
+speak for the element that holds most of the running text. Where marked content holds most of it, what lies beside with no sign of its own
+is taken for foreign.
+
+Pages are cut into tags and text by one linear pattern, and elements know their parent only, so time and memory follow the
+page's length whatever it holds.
 """
 
 from __future__ import annotations
 
+import html as references
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -23,131 +31,226 @@ from pyspark.sql import functions as F
 from vacantia.llm.texts import slices
 
 # Names that tell content from the rest.
-DROPPED = set("script style noscript template iframe object svg canvas head title textarea select audio video".split())
+RAW = set("script style textarea title iframe noframes noembed xmp".split())
+DROPPED = RAW | set("noscript template object svg canvas head select audio video".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 OTHER_TAGS = set("nav header footer aside form menu button dialog".split())
 CONTENT_TAGS = set("article main".split())
 OTHER_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-OTHER_NAMES = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice alert menu nav navbar navigation "
-    "breadcrumb breadcrumbs sidebar aside footer header masthead comment comments reply replies respond discussion share sharing social related recommended "
-    "pagination pager subscribe newsletter signup login popup modal overlay widget toolbar copyright".split()
+FOREIGN_NAMES = set(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent breadcrumb breadcrumbs comment comments reply "
+    "replies respond discussion share sharing social related recommended pagination pager subscribe newsletter signup login popup modal overlay copyright".split()
 )
+PLACE_NAMES = set("banner notice alert menu nav navbar navigation sidebar aside footer header masthead widget toolbar".split())
+# These never stand for the layout of what holds the article.
+CERTAIN_NAMES = set("cookie cookies consent comment comments reply replies respond discussion breadcrumb breadcrumbs pagination copyright".split())
 CONTENT_NAMES = set("article content post entry story main".split())
+LAYOUT_WORDS = set(
+    "has have no not non with without is are free hide hides hidden show shows enable enabled disable disabled support supports layout wrap wrapper wrapped container "
+    "outer inner grid row col column columns theme template".split()
+)
 
 TELLING = {True: 3.0, False: -6.0}
+BESIDE = -4.0
+MOST = 0.5
 ADJACENT, RELATED = 0.4, 0.8
 SCALE = 1000
 SAMPLE_PAGES = 400
 # Used where a sample has no blocks of both kinds: bias, log words, link share, sentence end, comma share.
 DEFAULT_WEIGHTS = (-2.0, 0.8, -4.0, 1.0, 0.5)
 
+# Attributes up to the end of a tag; quotes count as values after '=' alone. A tag that never ends takes the rest.
+_ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?|["'])*+"""
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:-->|\Z))|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>{_ATTRIBUTES})(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+_NAMING = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
+_WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*|[0-9]+")
+
 
 @dataclass
 class Block:
+    """Text of a page between two block tags. `step`: how many elements end and begin between it and the block before."""
+
     text: str
     linked: int
-    path: tuple[int, ...]
-    telling: bool | None
+    element: int
+    parent: int
+    step: int
+    telling: bool | None = None
+    beside: bool = False
 
     def features(self) -> list[float]:
         words = self.text.count(" ") + 1
         return [1.0, math.log(words), self.linked / max(len(self.text), 1), float(self.text[-1] in ".!?…\"'”»:"), min(1.0, self.text.count(",") / words)]
 
+    @property
+    def running(self) -> int:
+        """Characters of running text."""
+        return len(self.text) - self.linked if self.text.count(" ") >= 4 else 0
 
-def telling(tag: str, attributes: list[tuple[str, str | None]], inside: bool) -> bool | None:
-    """What an element says about its text: True content, False not, None nothing. `inside`: it lies in content."""
+
+@dataclass
+class Element:
+    tag: str
+    parent: int
+    rest: str
+    running: int = 0
+    telling: bool | None = None
+    inside: bool = False
+
+
+def named(names: str, inside: bool) -> tuple[bool | None, bool]:
+    """What class and id names say (True content, False not, None nothing), and whether for certain."""
+    words: set[str] = set()
+    for name in names.split():
+        parts = {w.lower() for w in _WORDS.findall(name)}
+        if not parts & LAYOUT_WORDS:
+            words |= parts
+    if found := words & (FOREIGN_NAMES if inside else FOREIGN_NAMES | PLACE_NAMES):
+        return False, bool(found & CERTAIN_NAMES)
+    return (True, False) if words & CONTENT_NAMES else (None, False)
+
+
+def told(element: Element, inside: bool, share: float) -> bool | None:
+    """What an element itself says of its text. `inside`: it lies in content; `share`: its part of the running text, where the page has no article."""
+    tag = element.tag
     if tag in OTHER_TAGS and not (inside and tag == "header"):
         return False
-    given = dict(attributes)
-    if (given.get("role") or "").lower() in OTHER_ROLES:
+    given = {name.lower(): value.strip("\"'") for name, value in _NAMING.findall(element.rest)}
+    role = given.get("role", "").lower()
+    if role in OTHER_ROLES and not (inside and role in ("alert", "banner")):
         return False
-    names = set(re.split(r"[^a-z0-9]+", f"{given.get('class') or ''} {given.get('id') or ''}".lower()))
-    if names & OTHER_NAMES and not tag == "body":
+    says, certain = (None, False) if tag in ("body", "html") else named(f"{given.get('class', '')} {given.get('id', '')}", inside)
+    if says is False and (certain or share <= MOST):
         return False
-    if tag in CONTENT_TAGS or (given.get("role") or "").lower() in ("main", "article") or names & CONTENT_NAMES:
-        return True
-    return None
+    return True if says or tag in CONTENT_TAGS or role in ("main", "article") else None
 
 
-class Blocks(HTMLParser):
-    """Text blocks of a page in their order."""
+class Page:
+    """Text blocks of a page in their order, and its elements, parents before children."""
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.found: list[Block] = []
-        self.open: list[tuple[str, int, bool | None]] = []
+    def __init__(self, html: str) -> None:
+        self.blocks: list[Block] = []
+        self.elements = [Element("", 0, "")]
+        self.open = [0]
+        self.open_tags: Counter[str] = Counter()
+        self.lowest = 1
+        self.depth_before = 1
         self.parts: list[str] = []
-        self.linked = self.links = self.count = 0
+        self.linked = self.links = 0
         self.dropped: list[str] = []
+        self.endless: set[str] = set()
+        self.read(html)
+        self.flush()
+        self.judge()
+
+    def read(self, html: str) -> None:
+        at, end = 0, len(html)
+        while at < end:
+            token = _TOKEN.search(html, at)
+            self.data(html[at : token.start() if token else end])
+            if token is None:
+                return
+            at = token.end()
+            if token["tag"] is None:
+                continue
+            tag, closed = token["tag"].lower(), token["rest"].endswith("/")
+            if token["end"]:
+                self.end(tag)
+            elif tag in RAW and not closed:
+                ends = None if tag in self.endless else re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(html, at)
+                if not self.dropped and tag == "title":
+                    self.flush()
+                if ends:
+                    at = ends.end()
+                elif tag in ("script", "style"):
+                    return
+                else:
+                    self.endless.add(tag)
+            elif not (closed and tag in DROPPED):
+                self.start(tag, token["rest"])
+
+    def data(self, text: str) -> None:
+        if text and not self.dropped:
+            text = references.unescape(text)
+            self.parts.append(text)
+            if self.links:
+                self.linked += len(text.strip())
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            says = next((s for _, _, s in reversed(self.open) if s is not None), None)
-            self.found.append(Block(text, min(self.linked, len(text)), tuple(n for _, n, _ in self.open), says))
+            depth = len(self.open)
+            step = self.depth_before + depth - 2 * self.lowest if self.blocks else 0
+            self.blocks.append(Block(text, min(self.linked, len(text)), self.open[-1], self.elements[self.open[-1]].parent, step))
+            self.lowest = self.depth_before = depth
         self.parts, self.linked, self.links = [], 0, 0
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def close_last(self) -> None:
+        self.open_tags[self.elements[self.open.pop()].tag] -= 1
+        self.lowest = min(self.lowest, len(self.open))
+
+    def start(self, tag: str, rest: str) -> None:
         if self.dropped:
             if tag == "body" and self.dropped == ["head"]:
                 self.dropped.clear()
-            elif tag == self.dropped[-1]:
-                self.dropped.append(tag)
-            return
+            else:
+                self.dropped += [tag] if tag == self.dropped[-1] else []
+                return
         if tag in DROPPED:
-            self.flush() if tag in ("head", "title") else None
+            if tag == "head":
+                self.flush()
             self.dropped.append(tag)
         elif tag == "a":
             self.links += 1
-        elif tag in ("br", "wbr", "img", "input"):
-            self.parts.append(" " if tag != "wbr" else "")
-        elif tag not in INLINE:
+        elif tag in ("br", "img", "input"):
+            self.parts.append(" ")
+        elif tag not in INLINE and tag != "wbr":
             self.flush()
-            if self.open and self.open[-1][0] == "p":
-                self.open.pop()
+            if self.elements[self.open[-1]].tag == "p":
+                self.close_last()
             if tag not in VOID:
-                self.count += 1
-                inside = any(s for _, _, s in self.open)
-                self.open.append((tag, self.count, telling(tag, attrs, inside)))
+                self.elements.append(Element(tag, self.open[-1], rest))
+                self.open.append(len(self.elements) - 1)
+                self.open_tags[tag] += 1
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        elif tag not in DROPPED:
-            self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if self.dropped:
             if tag == self.dropped[-1]:
                 self.dropped.pop()
-            return
-        if tag == "a":
+        elif tag == "a":
             self.links = max(0, self.links - 1)
         elif tag not in INLINE and tag not in VOID:
             self.flush()
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] == tag:
-                    del self.open[i:]
+            while self.open_tags[tag]:
+                last = self.elements[self.open[-1]].tag
+                self.close_last()
+                if last == tag:
                     break
 
-    def handle_data(self, data: str) -> None:
-        if not self.dropped:
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data.strip())
-
-    def unknown_decl(self, data: str) -> None:
-        return
+    def judge(self) -> None:
+        """Running text of each element, from the leaves; then what each says, from the root."""
+        for block in self.blocks:
+            self.elements[block.element].running += block.running
+        for element in reversed(self.elements[1:]):
+            self.elements[element.parent].running += element.running
+        total = max(self.elements[0].running, 1)
+        marks = any(e.tag in CONTENT_TAGS for e in self.elements)
+        for element in self.elements[1:]:
+            above = self.elements[element.parent]
+            says = told(element, above.inside, 0.0 if marks else element.running / total)
+            element.telling = above.telling if says is None else says
+            element.inside = above.inside or says is True
+        for block in self.blocks:
+            block.telling = self.elements[block.element].telling
+        marked = sum(b.running for b in self.blocks if b.telling)
+        unmarked = sum(b.running for b in self.blocks if b.telling is None)
+        for block in self.blocks:
+            block.beside = block.telling is None and marked > unmarked
 
 
 def blocks_of(html: str) -> list[Block]:
-    parser = Blocks()
-    parser.feed(re.sub(r"<!\[[^>]*>?", "", html))
-    parser.close()
-    parser.flush()
-    return parser.found
+    return Page(html).blocks
 
 
 # ---- minimum cut ----
@@ -214,31 +317,21 @@ def source_side(to_source: list[int], to_sink: list[int], ties: list[tuple[int,
                     at[node] += 1
 
 
-def distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
-
-
 def ties_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
     """Each block with the next one, and with the next one of the same parent."""
     out, last = [], {}
     for i, block in enumerate(blocks):
         if i:
-            out.append((i - 1, i, round(SCALE * (ADJACENT + RELATED / (1 + distance(blocks[i - 1].path, block.path))))))
-        parent = block.path[:-1]
-        if (before := last.get(parent)) is not None and before < i - 1:
-            out.append((before, i, round(SCALE * RELATED / (1 + distance(blocks[before].path, block.path)))))
-        last[parent] = i
+            out.append((i - 1, i, round(SCALE * (ADJACENT + RELATED / (1 + block.step)))))
+        if (before := last.get(block.parent)) is not None and before < i - 1:
+            out.append((before, i, round(SCALE * RELATED / (1 if blocks[before].element == block.element else 3))))
+        last[block.parent] = i
     return out
 
 
 def main_blocks(blocks: list[Block], weights: Iterable[float]) -> list[str]:
     weights = list(weights)
-    scores = [sum(w * x for w, x in zip(weights, b.features(), strict=True)) + TELLING.get(b.telling, 0.0) for b in blocks]
+    scores = [sum(w * x for w, x in zip(weights, b.features(), strict=True)) + (BESIDE if b.beside else TELLING.get(b.telling, 0.0)) for b in blocks]
     # Cost of calling a block other (cut from the source) or content: -log of the probability of the contrary.
     costs = [(round(SCALE * (max(s, 0.0) + math.log1p(math.exp(-abs(s))))), round(SCALE * (max(-s, 0.0) + math.log1p(math.exp(-abs(s)))))) for s in scores]
     side = source_side([a for a, _ in costs], [b for _, b in costs], ties_of(blocks))
@@ -272,7 +365,8 @@ def main_text(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
     `text` holds the content blocks in page order, joined by line feeds, white space inside a block as one space; it is
-    empty for a null or empty page and one without content. Repeated rows give equal texts; other columns are left out; an
+    empty for a null or empty page and one without content. A tag that never ends takes the rest of its page with it, as
+    in a browser; nesting of any depth is followed. Repeated rows give equal texts; other columns are left out; an
     empty table gives an empty result.
     """
     weights = trained(pages, sample_pages)
