@@ -102,14 +102,14 @@ def line_dedup(rows: list[tuple]) -> list[tuple]:
     first: dict = {}
     for doc_id, text in rows:
         for i, x in enumerate((text or "").split("\n")):
-            if len(w := tuple(words(x))) >= 3:
+            if w := tuple(words(x)):
                 first[w] = min(first.get(w, (before_all(doc_id), i)), (before_all(doc_id), i))
     long = [w for w in first if len(w) >= 8]
     beaten = {a for a in long for b in long if first[b] < first[a] and one_edit(a, b)}
     out = []
     for doc_id, text in rows:
         lines = (text or "").split("\n")
-        kept = [x for i, x in enumerate(lines) if len(w := tuple(words(x))) < 3 or (w not in beaten and first[w] == (before_all(doc_id), i))]
+        kept = [x for i, x in enumerate(lines) if not (w := tuple(words(x))) or (w not in beaten and first[w] == (before_all(doc_id), i))]
         out.append((doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
 

@@ -25,7 +25,7 @@ from vacantia.llm import blocks as B
 from vacantia.llm.texts import Words, hashes, mixed, words_of
 from vacantia.session import stage
 
-MIN_WORDS = 3
+MIN_WORDS = 1
 MIN_WORDS_EDITED = 8
 
 
@@ -243,7 +243,7 @@ def judged(blocks: DataFrame) -> DataFrame:
 def line_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the text without its repeated lines, of every row.
 
-    Lines are cut at line feeds. A line of at least MIN_WORDS words goes when the same words stand in an earlier line
+    Lines are cut at line feeds. A line of at least MIN_WORDS words (one: a word at all) goes when the same words stand in an earlier line
     (smaller document, or same document before), and one of at least MIN_WORDS_EDITED words also when an earlier such line
     is within one edit of a word. All lines are judged on the input, not on what is left. A null or empty text is one blank
     line and stays. A null id comes before all others. Rows of one id are one document; lines at equal places do not

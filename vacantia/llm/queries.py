@@ -119,7 +119,7 @@ def op7_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
 LINES_SQL = """
 WITH l AS (SELECT doc_id, unnest(range(0, len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
 m AS (SELECT doc_id, i, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w FROM l),
-f AS (SELECT w, len(w) AS n, min((doc_id, i)) AS first FROM m WHERE len(w) >= 3 GROUP BY w),
+f AS (SELECT w, len(w) AS n, min((doc_id, i)) AS first FROM m WHERE len(w) >= 1 GROUP BY w),
 v AS (SELECT w, first, i AS place, w[1:i - 1] || w[i + 1:] AS v FROM (SELECT w, first, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 8)
   UNION ALL SELECT w, first, -1, w FROM f WHERE n >= 8),
 best AS (SELECT v, place, min(first) AS best FROM v GROUP BY v, place),
