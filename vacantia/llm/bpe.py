@@ -23,9 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.texts import WordTable, encoded, slices, worker_state
+from vacantia.llm.texts import WordTable, encoded, forget_others, slices, worker_state
 
 END = "</w>"
+FEW_WORDS, SMALL_BYTES = 150_000, 2 << 20
 
 
 def vocabulary_text(path: str) -> str:
@@ -36,7 +37,7 @@ def vocabulary_text(path: str) -> str:
 class PairCoder:
     """Vocabulary and merges of a tokenizer file with word ends."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, most_judged: int = 1 << 22):
         from tokenizers import Tokenizer
 
         spec = json.loads(text)
@@ -59,6 +60,7 @@ class PairCoder:
         for string in self.inner:
             self.reach[string[:2]] = max(self.reach.get(string[:2], 1), len(string))
         self.size = size
+        self.most_judged = most_judged  # beyond it pairs are judged anew, which changes no result
         self.judged: dict[int, bool] = {}
 
     def symbols(self, string: str, ends: bool) -> list[int]:
@@ -141,6 +143,8 @@ class PairCoder:
         tested = np.ones(len(keys), bool)
         tested[last[counts > 1]] = False  # the last token of several is covered by its pair
         distinct, where = np.unique(keys[tested], return_inverse=True)
+        if len(self.judged) + len(distinct) > self.most_judged:
+            self.judged.clear()
         for key in distinct.tolist():
             if key not in self.judged:
                 self.judged[key] = self.holds(key)
@@ -170,12 +174,13 @@ class PairCoder:
         return np.fromiter(chain.from_iterable(rows), np.uint32, int(counts.sum())), counts
 
 
-def coder(text: str) -> tuple[PairCoder, WordTable]:
+def coder(text: str, most_words: int = 700_000, most_judged: int = 1 << 22) -> tuple[PairCoder, WordTable]:
     """The coder of a tokenizer file and its table of words, built once per Python worker."""
     state = worker_state("bpe")
-    if state.get("text") != text:
-        bpe = PairCoder(text)
-        state.update(text=text, coder=bpe, table=WordTable(bpe.encode_words))
+    if state.get("made_for") != (text, most_words):
+        state.clear()
+        bpe = PairCoder(text, most_judged)
+        state.update(made_for=(text, most_words), coder=bpe, table=WordTable(bpe.encode_words, most_words))
     return state["coder"], state["table"]
 
 
@@ -197,9 +202,11 @@ def encode(docs: DataFrame, tokenizer_path: str, column: str = "text", into: str
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_text(tokenizer_path))  # one file, a few MB
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, table = coder(shared.value)
+        # Texts, ids and decoded texts are all in memory, so tables and slices are small, and those of other stages go.
+        forget_others("bpe")
+        bpe, table = coder(shared.value, FEW_WORDS, 2 * FEW_WORDS)
         strings = pa.array(bpe.strings)
-        for batch in slices(batches, column):
+        for batch in slices(batches, column, SMALL_BYTES):
             ids, starts = encoded(batch.column(column), table)
             columns = {n: batch.column(n) for n in names} | {into: ids_array(ids, starts)}
             if decoded:

@@ -25,6 +25,13 @@ def worker_state(name: str) -> dict:
     return sys.modules.setdefault(f"vacantia_worker_{name}", types.ModuleType(name)).__dict__.setdefault("state", {})
 
 
+def forget_others(name: str) -> None:
+    """Drop the tables that earlier stages left in this worker."""
+    for key in [k for k in sys.modules if k.startswith("vacantia_worker_") and k != f"vacantia_worker_{name}"]:
+        sys.modules[key].__dict__.get("state", {}).clear()
+    give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system, as an idle Python worker stays beside those of later jobs."""
     pa.default_memory_pool().release_unused()
