@@ -440,6 +440,27 @@ def hostile_scripts(spark, sf):
     return found
 
 
+@query(OPENINGS + """
+SELECT pk, linked, CASE WHEN linked THEN repeat('7', 60) || pk ELSE title END AS title, 'https://b.org/' || pk AS url, nation || ', ' || region AS location
+FROM o, (VALUES (true), (false)) v(linked)
+""")
+def deep_scripts(spark, sf):
+    """Postings below 220 levels with ids of 5,000 digits, and locations with 600 levels behind what is read of them."""
+    o = X.openings(spark, sf)
+    place = X.js(addressLocality="{nation}", addressCountry="{region}")
+    location = F.concat(F.lit('{"address":'), place, F.lit(',"x":'), F.expr("repeat('[', 600)"), F.expr("repeat(']', 600)"), F.lit("}"))
+    found = None
+    for linked in (True, False):
+        name = F.concat(F.lit("7" * 60), text("{pk}")) if linked else X.quoted("{title}")
+        posting = X.js(**{"@type": "JobPosting", "title": name, "job_id": F.lit("9" * 5000), "url" if linked else "jobUrl": "https://b.org/{pk}", "jobLocation": location})
+        nested = F.concat(F.expr("repeat('[', 220)"), posting, F.expr("repeat(']', 220)"))
+        table = _script_table(o, nested, "application/ld+json" if linked else "application/json")
+        df = scripts.linked_data_postings(table) if linked else scripts.embedded_postings(table)
+        df = df.select("pk", F.lit(linked).alias("linked"), "job.title", "job.url", "job.location")
+        found = df if found is None else found.unionByName(df)
+    return found
+
+
 @query(OPENINGS + """SELECT pk, CASE pk % 8 WHEN 0 THEN 'next' WHEN 1 THEN 'json' WHEN 3 THEN 'json' WHEN 7 THEN 'bundle' END AS kept FROM o WHERE pk % 8 IN (0, 1, 3, 7)""")
 def embedded_script_choice(spark, sf):
     o = X.openings(spark, sf)

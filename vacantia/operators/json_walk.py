@@ -1,9 +1,13 @@
 """Walk of nested JSON: the one step no built-in expression can do.
 
 VARIANT has no recursive function, orders object keys by name and rejects what the page's own order decides
-(which of two equal postings comes first). So a small Arrow-batched
-function lists the objects of one script in visiting order, cut down to the few fields the rules read.
-All rules on those fields are Spark expressions.
+(which of two equal postings comes first). So a small Arrow-batched function lists the objects of one script in visiting
+order, cut down to the few fields the rules read. All rules on those fields are Spark expressions.
+
+Two forms give the same list. Most scripts are read into a tree by the standard reader. A scanner does without the tree:
+one pass over the text with the open lists and objects on a stack of its own, which keeps of each wanted field only where
+it begins and ends. It takes scripts that are large or deep, as its memory follows their nesting and the objects
+found, and those with long whole numbers, as it never converts one.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,6 +31,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _HINTS = frozenset(V.JOB_HINT_KEYS)
 _EMBEDDED_FIELDS = [*V.EMBEDDED_TITLE_KEYS, *V.EMBEDDED_URL_KEYS, "url", "location", "jobLocation"]
 _LD_FIELDS = ["@type", "title", "url", "sameAs", "jobLocation"]
+_SHOWN = ("title",)  # of linked data: shown as text whatever it is
+
+LARGE = 4 << 20
+#: Whole numbers of more digits are no VARIANT numbers.
+DIGITS = 38
+#: VARIANT takes a thousand levels. The rules look three levels into a field.
+DEEPEST, LOOKED_AT = 500, 4
 
 
 def objects_everywhere(root: object) -> Iterator[dict]:
@@ -59,95 +71,162 @@ def _finite(text: str) -> float | None:
     return number if number - number == 0 else None
 
 
-def _whole(text: str) -> int | None:
-    return int(text) if len(text) <= 300 else None
+_OPTIONS = {"parse_constant": lambda _: None, "parse_float": _finite}
+_LONG = re.compile(rf"\d{{{DIGITS + 1}}}")
 
 
-_OPTIONS = {"parse_constant": lambda _: None, "parse_float": _finite, "parse_int": _whole}
-_SPACE = re.compile(r"[ \t\n\r]*")
+def _from_tree(root: object, linked: bool) -> list[str]:
+    """The wanted fields of each visited object as JSON text. RecursionError when a field has too many levels to be written."""
+    wanted = _LD_FIELDS if linked else _EMBEDDED_FIELDS
+    out = []
+    for found in linked_data_objects(root) if linked else objects_everywhere(root):
+        # Escapes keep lone halves of surrogate pairs, which no encoding of text can hold.
+        out.append(json.dumps({k: found[k] for k in wanted if k in found}))
+        if out[-1].count("[") + out[-1].count("{") > DEEPEST:
+            raise RecursionError
+    return out
 
 
-def parsed(text: str) -> object:
-    """Value of a JSON text; numbers out of range and NaN are null. A text too deep for the reader is read by a loop."""
-    try:
-        return json.loads(text, **_OPTIONS)
-    except RecursionError:
-        return _deep(text)
+# --- the scanner --------------------------------------------------------------------------------
+
+_STRING = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
+_NUMBER = r"-?(?:0|[1-9]\d*+)(?:\.\d++)?(?:[eE][+-]?\d++)?"
+_TOKEN = re.compile(rf"[ \t\n\r]*+(?:(?P<mark>[{{}}\[\],:])|(?P<string>{_STRING})|(?P<scalar>{_NUMBER}|true|false|null|NaN|-?Infinity))")
+_PARTS = re.compile(rf"(?P<kept>{_STRING}|true|false|null|[,:])|(?P<opens>[\[{{])|(?P<closes>[\]}}])|-?Infinity|NaN|(?P<number>{_NUMBER})")
+_END = re.compile(r"[ \t\n\r]*+\Z")
+
+
+class _Open:
+    """A list or object whose end is not reached. Of an object: where its wanted fields lie, and what was found in each value."""
+
+    __slots__ = ("is_object", "start", "deepest", "found", "key", "inside", "fields", "hinted")
+
+    def __init__(self, is_object: bool, start: int):
+        self.is_object, self.start, self.deepest, self.found = is_object, start, 0, None
+        self.key, self.inside, self.fields, self.hinted = None, {}, {}, False
 
 
-def _deep(text: str) -> object:
-    """The same with the open lists and objects on a list of our own."""
-    skip = lambda i: _SPACE.match(text, i).end()
-    stack: list[tuple[list | dict, str | None]] = []
-    at, key, expects = skip(0), None, "value"
-    scalar = json.JSONDecoder(**_OPTIONS)
+def _joined(left: deque | None, right: deque | None) -> deque | None:
+    """Both in order; the shorter is moved, so long lists are not copied again and again."""
+    if not left or not right:
+        return left or right
+    if len(left) >= len(right):
+        left.extend(right)
+        return left
+    right.extendleft(reversed(left))
+    return right
 
-    def fail() -> None:
-        raise json.JSONDecodeError("malformed", text, at)
 
+def _closed(top: _Open, linked: bool) -> deque | None:
+    """What an object holds in visiting order: itself before its values, or, as linked data, behind its graph."""
+    if linked:
+        return _joined(top.inside.get("@graph"), deque([top.fields]))
+    found = deque([top.fields]) if top.hinted else None
+    for inner in top.inside.values():
+        found = _joined(found, inner)
+    return found
+
+
+def scanned(text: str, linked: bool) -> deque:
+    """For each visited object the wanted fields it has, as (begin, end, levels) of the text. ValueError when malformed."""
+    wanted = frozenset(_LD_FIELDS if linked else _EMBEDDED_FIELDS)
+    stack: list[_Open] = []
+    at, expects = 0, "value"
     while True:
-        char = text[at : at + 1]
-        if expects == "value" and char in ("[", "{") and char:
-            stack.append(([] if char == "[" else {}, key))
-            key, at = None, skip(at + 1)
-            if text[at : at + 1] == ("]" if char == "[" else "}"):
-                expects = "close"
-            else:
-                expects = "value" if char == "[" else "key"
+        token = _TOKEN.match(text, at)
+        if token is None:
+            raise ValueError(f"malformed at {at}")
+        at, mark, string = token.end(), token["mark"], token["string"]
+        if mark in ("[", "{") and expects in ("value", "value or end"):
+            stack.append(_Open(mark == "{", at - 1))
+            expects = "key or end" if mark == "{" else "value or end"
+            continue
+        if string is not None and expects in ("key", "key or end"):
+            top = stack[-1]
+            top.key = json.loads(string) if "\\" in string else string[1:-1]
+            expects = ":"
+            continue
+        if mark == ":" and expects == ":":
+            expects = "value"
             continue
-        if expects == "key":
-            if char != '"':
-                fail()
-            key, at = json.decoder.scanstring(text, at + 1, True)
-            at = skip(at)
-            if text[at : at + 1] != ":":
-                fail()
-            at, expects = skip(at + 1), "value"
+        if mark == "," and expects == ", or end":
+            expects = "key" if stack[-1].is_object else "value"
             continue
-        if expects == "close":
-            value, key = stack.pop()
-            at = skip(at + 1)
+        if mark in ("]", "}") and expects in (", or end", "key or end" if mark == "}" else "value or end") and stack[-1].is_object == (mark == "}"):
+            top = stack.pop()
+            begin, levels = top.start, top.deepest + 1
+            found = _closed(top, linked) if top.is_object else top.found
+        elif mark is None and expects in ("value", "value or end"):
+            begin, levels, found = token.end() - len(string or token["scalar"]), 0, None
         else:
-            if not char:
-                fail()
-            value, at = scalar.raw_decode(text, at)
-            at = skip(at)
+            raise ValueError(f"malformed at {at}")
+        # A value is complete.
         if not stack:
-            if at != len(text):
-                fail()
-            return value
-        owner = stack[-1][0]
-        if isinstance(owner, list):
-            owner.append(value)
+            if not _END.match(text, at):
+                raise ValueError(f"malformed at {at}")
+            return found or deque()
+        top = stack[-1]
+        top.deepest = max(top.deepest, levels)
+        if top.is_object:
+            # Of equal keys the last value counts, at the place of the first.
+            top.inside[top.key] = found
+            top.hinted = top.hinted or top.key.lower() in _HINTS
+            if top.key in wanted:
+                top.fields[top.key] = (begin, at, levels)
         else:
-            owner[key] = value
-        char, last = text[at : at + 1], "]" if isinstance(owner, list) else "}"
-        if char == ",":
-            at, key, expects = skip(at + 1), None, "value" if last == "]" else "key"
-        elif char == last:
-            expects = "close"
-        else:
-            fail()
-
-
-def _shallow(value: object, depth: int = 100) -> object:
-    """The value without what lies deeper than any rule looks, so that writing it needs no deep recursion."""
-    if isinstance(value, dict):
-        return {k: _shallow(v, depth - 1) for k, v in value.items()} if depth else None
-    if isinstance(value, list):
-        return [_shallow(v, depth - 1) for v in value] if depth else None
-    return value
+            top.found = _joined(top.found, found)
+        expects = ", or end"
+
+
+def _number(token: str, instead: str | None = None) -> str:
+    """A number as VARIANT can hold it. Long whole numbers are written as text, or as `instead` where only a text would count."""
+    digits = token.lstrip("-")
+    if digits.isdigit():
+        return token if len(digits) <= DIGITS else instead or f'"{token}"'
+    number = _finite(token)
+    return "null" if number is None else repr(number)
+
+
+def _written(text: str, begin: int, end: int, levels: int, shown: bool) -> str:
+    """JSON text of a field: numbers as VARIANT can hold them, and of a value with too many levels those the rules look at."""
+    if text[begin] == '"':
+        return text[begin:end]
+    keep = LOOKED_AT if levels > DEEPEST else levels
+    out, level = [], 0
+    for part in _PARTS.finditer(text, begin, end):
+        if part["opens"]:
+            if level <= keep:
+                out.append(part[0] if level < keep else "null")
+            level += 1
+        elif part["closes"]:
+            level -= 1
+            if level < keep:
+                out.append(part[0])
+        elif level <= keep:
+            out.append(part["kept"] or (_number(part["number"], None if shown or level else "1") if part["number"] else "null"))
+    return "".join(out)
+
+
+def _from_spans(text: str, linked: bool) -> list[str]:
+    """The same as `_from_tree`, from the text itself."""
+    wanted = _LD_FIELDS if linked else _EMBEDDED_FIELDS
+    shown = _SHOWN if linked else ()
+    return [
+        "{" + ", ".join(f'"{k}": {_written(text, *fields[k], k in shown)}' for k in wanted if k in fields) + "}" for fields in scanned(text, linked)
+    ]
 
 
 def _listing(text: str | None, linked: bool) -> list[str]:
+    text = text or ""
     try:
-        root = parsed(text or "")
+        if len(text) <= LARGE and not _LONG.search(text):
+            try:
+                return _from_tree(json.loads(text, **_OPTIONS), linked)
+            except RecursionError:
+                pass
+        return _from_spans(text, linked)
     except ValueError:
         return []
-    found = linked_data_objects(root) if linked else objects_everywhere(root)
-    fields = _LD_FIELDS if linked else _EMBEDDED_FIELDS
-    # Escapes keep lone halves of surrogate pairs, which no encoding of text can hold.
-    return [json.dumps({k: _shallow(o[k]) for k in fields if k in o}) for o in found]
 
 
 def json_objects(text: Column, linked: bool) -> Column:
