@@ -11,7 +11,7 @@ from vacantia.operators.links import link_facts
 from vacantia.operators.merge import merge_postings
 from vacantia.plans.collect import page_postings
 from vacantia.schemas import RESPONSES
-from vacantia.session import path_exists, stage, tune
+from vacantia.session import Stages, path_exists, tune
 from vacantia.sources.captures import page_captures
 
 # Arrival order of postings: capture time first, then the order inside a page.
@@ -46,14 +46,15 @@ def store_batch(batch: DataFrame, batch_id: int, store: str, buckets: int = 64)
     """
     spark = batch.sparkSession
     merged = merge_postings(batch, ["page_url"], carry=["fetched_at"], order=ARRIVAL)
-    new = stage(merged.withColumn("bucket", F.pmod(F.xxhash64("page_url", "key"), F.lit(buckets)).cast("int")), "batch")
-    known = stored_rows(spark, store)
-    if known is not None:
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
-        known = known.where((F.col("batch_id") < batch_id) & F.col("bucket").isin(touched))
-        known = known.groupBy("bucket", "page_url", "key").agg(F.min("fetched_at").alias("known_at"))
-        new = new.join(known, ["bucket", "page_url", "key"], "left").where("known_at IS NULL OR fetched_at < known_at").drop("known_at")
-    new.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch_id={batch_id}")
+    with Stages(spark) as stages:
+        new = stages(merged.withColumn("bucket", F.pmod(F.xxhash64("page_url", "key"), F.lit(buckets)).cast("int")), "batch")
+        known = stored_rows(spark, store)
+        if known is not None:
+            touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+            known = known.where((F.col("batch_id") < batch_id) & F.col("bucket").isin(touched))
+            known = known.groupBy("bucket", "page_url", "key").agg(F.min("fetched_at").alias("known_at"))
+            new = new.join(known, ["bucket", "page_url", "key"], "left").where("known_at IS NULL OR fetched_at < known_at").drop("known_at")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch_id={batch_id}")
 
 
 def stored_rows(spark: SparkSession, store: str) -> DataFrame | None:
