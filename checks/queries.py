@@ -233,14 +233,16 @@ def directory_companies(spark, sf):
 
 
 @query("""
-SELECT n_nationkey AS dir_page, CASE n_nationkey % 7 WHEN 3 THEN 'directory page is malformed' ELSE 'directory page was not captured' END AS fault, CAST(NULL AS VARCHAR) AS slug
-FROM nation WHERE n_nationkey % 7 IN (3, 5) UNION ALL SELECT n_nationkey, NULL, 'co-' || n_nationkey FROM nation WHERE n_nationkey % 7 NOT IN (3, 5)
+SELECT s_suppkey AS dir_page, CASE s_suppkey % 7 WHEN 3 THEN 'directory page is malformed' ELSE 'directory page was not captured' END AS fault, CAST(NULL AS VARCHAR) AS slug
+FROM supplier WHERE s_suppkey % 7 IN (3, 5) UNION ALL SELECT s_suppkey, NULL, 'co-' || s_suppkey FROM supplier WHERE s_suppkey % 7 NOT IN (3, 5)
 """)
 def directory_faults(spark, sf):
     """Malformed and missing pages do not end the walk, and are told."""
-    n = X.table(spark, sf, "nation").where("n_nationkey % 7 <> 5").select(F.col("n_nationkey").alias("dir_page"))
-    body = F.concat(F.lit('{"hits":[{"slug":"co-'), F.col("dir_page").cast("string"), F.lit('"}],"nbPages":25'), F.when(F.expr("dir_page % 7 <> 3"), "}").otherwise(""))
-    pages = directory.parsed_pages(n.select("dir_page", body.alias("body")))
+    c = X.table(spark, sf, "supplier")
+    pages = F.lit(c.count()).cast("string")
+    c = c.where("s_suppkey % 7 <> 5").select(F.col("s_suppkey").alias("dir_page"))
+    body = F.concat(F.lit('{"hits":[{"slug":"co-'), F.col("dir_page").cast("string"), F.lit('"}],"nbPages":'), pages, F.when(F.expr("dir_page % 7 <> 3"), "}").otherwise(""))
+    pages = directory.parsed_pages(c.select("dir_page", body.alias("body")))
     faults = directory.directory_faults(pages).select("dir_page", "fault", F.lit(None).cast("string").alias("slug"))
     return faults.unionByName(directory.companies_from_hits(pages).select("dir_page", F.lit(None).cast("string").alias("fault"), "slug"))
 
@@ -718,6 +720,44 @@ def missing_captures(spark, sf):
 # --- the archive laid out by address ---------------------------------------------------------------------
 
 
+@query(OPENINGS + f"""
+SELECT 'co-' || k AS slug, {_SITE} || CASE WHEN k % 4 = 2 THEN '/jobs' ELSE '/careers' END AS careers_url,
+  CASE WHEN sz % 2 = 0 AND sz % 6 <> 0 THEN 'A ' ELSE 'Z ' END || title AS title, {_SITE} || '/jobs/' || pk AS url FROM o WHERE k % 2 = 0
+UNION ALL SELECT 'co-' || k, 'https://boards.greenhouse.io/gd' || k, p || ' ' || title, CASE WHEN sz % 3 <> 0 THEN {_SITE} || '/jobs/' || pk ELSE '' END
+FROM o, (VALUES ('D'), ('E')) v(p) WHERE k % 2 = 1 AND k % 20 <> 17
+""")
+def board_postings(spark, sf):
+    """Even companies name two boards in a page's text, the later one first: of equal addresses the board first by name counts, and
+    postings without address go. The board of an odd company is its careers page: all of its postings stay, as they are.
+
+    A captured document that is no page (`/careers` of every fourth company) is not a careers page.
+    """
+    o, c = X.openings(spark, sf), X.companies_base(spark, sf)
+    site = "https://co{k}.example.com"
+    even, odd = "k % 2 = 0", "k % 2 = 1"
+
+    def payload(rows, titles, addressed):
+        entry = lambda t: X.js(id=text("{pk}"), title=t, absolute_url=F.when(F.expr(addressed), X.quoted(site + "/jobs/{pk}")))
+        listed = X.per_company(rows, F.concat_ws(",", *map(entry, titles)))
+        return c.select("k").join(listed, "k", "left").select("k", F.concat(F.lit('{"jobs":['), F.coalesce("body", F.lit("")), F.lit("]}")).alias("body"))
+
+    named = X.html(text("<p>https://boards.greenhouse.io/gz{k} or https://boards.greenhouse.io/ga{k}</p>"))
+    parts = [
+        X.response(c, site, F.when(F.expr(even), X.html("<p>Hello</p>")).otherwise(X.html(text('<a href="https://boards.greenhouse.io/gd{k}">Jobs</a>')))),
+        X.response(c.where("k % 4 = 0"), site + "/careers", named),
+        X.response(c.where("k % 4 = 2"), site + "/careers", named, content_type="application/pdf"),
+        X.response(c.where("k % 4 = 2"), site + "/jobs", named),
+        X.response(payload(o.where("sz % 2 = 0"), ["A {title}"], "sz % 6 <> 0").where(even), X.api(X.GH_API, "ga{k}"), "{body}", content_type="application/json"),
+        X.response(payload(o, ["Z {title}"], "true").where(even), X.api(X.GH_API, "gz{k}"), "{body}", content_type="application/json"),
+        X.response(payload(o, ["D {title}", "E {title}"], "sz % 3 <> 0").where(odd), X.api(X.GH_API, "gd{k}"), "{body}", content_type="application/json"),
+    ]
+    responses = parts[0]
+    for part in parts[1:]:
+        responses = responses.unionByName(part)
+    found = collect_jobs(X.archive_companies(spark, sf), stage(responses, "boards"), only_hiring=False)
+    return found.select(F.col("company.yc_slug").alias("slug"), "careers_url", "job.title", F.coalesce("job.url", F.lit("")).alias("url"))
+
+
 def laid_out(spark: SparkSession, responses: list[DataFrame]) -> CaptureArchive:
     """A new archive with the captures as batches."""
     made = CaptureArchive.create(spark, _new_folder(spark, "captures"), buckets=16)
@@ -820,6 +860,25 @@ def json_written_and_read(spark, sf):
     return spark.read.schema(FLAT).json(f"{base}/json")
 
 
+@query("""
+SELECT CASE WHEN turn % 3 = 0 THEN 'yc_work_at_startup' ELSE 'company_careers' END AS source, 'co-' || conv_id AS slug, role AS name,
+  'https://c.org/' || turn AS careers_url, ' "' || text || '",' || chr(10) || ' ' AS title, 'https://c.org/' || conv_id || '/' || turn AS url,
+  'source,company,careers_url,job' AS fields, 'yc_slug,yc_name' AS company_fields, 'source,title,url' AS job_fields
+FROM conversations
+""")
+def records_written_and_read(spark, sf):
+    """The lines of the nested form: their fields in order, absent ones left out, and every value."""
+    base = _new_folder(spark, "outputs")
+    write_outputs(_flat_sample(spark, sf), base)
+    at = lambda p: F.get_json_object("value", p)
+    named = lambda x: F.array_join(F.json_object_keys(x), ",")
+    return spark.read.text(f"{base}/jsonl").select(
+        at("$.source").alias("source"), at("$.company.yc_slug").alias("slug"), at("$.company.yc_name").alias("name"), at("$.careers_url").alias("careers_url"),
+        at("$.job.title").alias("title"), at("$.job.url").alias("url"),
+        named("value").alias("fields"), named(at("$.company")).alias("company_fields"), named(at("$.job")).alias("job_fields"),
+    )
+
+
 @query("SELECT CAST(shard AS INT) AS shard, count(*) AS n FROM (SELECT " + _SHARD.format(key="'co-' || conv_id", n=3) + " AS shard FROM conversations) GROUP BY shard")
 def records_by_shard(spark, sf):
     base = _new_folder(spark, "outputs")

@@ -41,7 +41,7 @@ def same_org(a: Column, b: Column) -> Column:
 
 def has_non_job_segment(low: Column) -> Column:
     """Expects a lower-case path."""
-    return F.arrays_overlap(path_segments(low), F.split(F.lit("|".join(V.NON_JOB_SEGMENTS)), "[|]"))
+    return F.arrays_overlap(path_segments(low), F.array(*map(F.lit, V.NON_JOB_SEGMENTS)))
 
 
 def path_denied(p: Column) -> Column:
