@@ -911,19 +911,34 @@ def streamed_postings(spark, sf):
     return read.select("page_url", "job.*")
 
 
-@query(_STREAM_SQL + "SELECT *, CAST(-1 AS INT) AS day FROM (SELECT page_url, source, title, url FROM p WHERE url IS NOT NULL UNION ALL SELECT DISTINCT page_url, source, title, url FROM p WHERE url IS NULL)")
-def streamed_first_postings(spark, sf):
+_FIRST_SQL = _STREAM_SQL + """
+SELECT *, CAST(-1 AS INT) AS day FROM (
+  SELECT page_url, source, title, url FROM p WHERE url IS NOT NULL UNION ALL SELECT DISTINCT page_url, source, title, url FROM p WHERE url IS NULL)
+"""
+
+
+def _arriving_thrice(spark, sf, start) -> DataFrame:
     """The same captures arrive three times: a day later they add nothing, a day earlier they take the place of the first."""
     source, store = _new_folder(spark, "arrivals"), _new_folder(spark, "store")
     captured = _page_captures(spark, sf)
     for days in (0, 1, -1):
         captured.withColumn("fetched_at", F.expr(f"fetched_at + INTERVAL '{days}' DAY")).write.mode("append").parquet(source)
-        stream.first_postings(stream.read_capture_stream(spark, source), store, store + "-state", buckets=4).awaitTermination()
+        start(stream.read_capture_stream(spark, source), store, store + "-state").awaitTermination()
     kept = stream.read_store(spark, store)
     day = F.datediff("fetched_at", F.lit(captured.agg(F.min("fetched_at")).first()[0])).alias("day")
     return kept.select("page_url", "job.source", "job.title", "job.url", day)
 
 
+@query(_FIRST_SQL)
+def streamed_first_postings(spark, sf):
+    return _arriving_thrice(spark, sf, lambda *where: stream.first_postings(*where, buckets=4))
+
+
+@query(_FIRST_SQL)
+def streamed_keyed_postings(spark, sf):
+    return _arriving_thrice(spark, sf, stream.keyed_first_postings)
+
+
 @query("""
 SELECT s_suppkey AS k, CAST(s_suppkey % 3 + 1 AS INT) AS version, CAST(CASE WHEN s_suppkey % 3 = 1 THEN 404 ELSE 200 END AS INT) AS status FROM supplier
 """)

@@ -274,3 +274,26 @@ def test_stage_folder_must_be_shared_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.stage_folder(Fake)
+
+
+def test_keyed_postings_over_batches(spark, tmp_path, responses):
+    """Later, equal and repeated captures add nothing, an earlier one counts; each batch is stored once and no batch reads the store."""
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    page = "https://a.com/careers"
+    batches = [
+        [(page, '<a href="/jobs/1">One</a><a href="/jobs/2">Two</a>', {"at": 50}), (page, '<a href="/jobs/1">Eins</a>', {"at": 40})],
+        [(page, '<a href="/jobs/2">Zwei</a><a href="/jobs/3">Drei</a>', {"at": 60})],
+        [(page, '<a href="/jobs/3">Trois</a>', {"at": 10})],
+        [(page, '<a href="/jobs/3">Tres</a>', {"at": 10})],
+    ]
+    assert stream.read_store(spark, store) is None
+    sizes = []
+    for rows in batches:
+        responses(*rows).write.mode("append").parquet(source)
+        stream.keyed_first_postings(stream.read_capture_stream(spark, source), store, str(tmp_path / "state")).awaitTermination()
+        sizes.append(stream.stored_rows(spark, store).count())
+    assert sizes == [2, 3, 4, 4]
+    assert sorted(r.job.title for r in stream.read_store(spark, store).collect()) == ["Eins", "Trois", "Two"]
+    # Started again without new captures, nothing changes.
+    stream.keyed_first_postings(stream.read_capture_stream(spark, source), store, str(tmp_path / "state")).awaitTermination()
+    assert stream.stored_rows(spark, store).count() == 4

@@ -7,14 +7,18 @@ are put in a row per file; a second pass reads the records that begin in each ra
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+
 RANGE_BYTES = 32 << 20
 # More ranges than this share tasks.
 MOST_TASKS = 50_000
