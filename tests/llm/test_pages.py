@@ -52,6 +52,13 @@ def test_archives_round_trip(spark, pages, package_bytes):
     assert packages.count() > 1 and packages.agg({"records": "sum"}).first()[0] == len(ROWS)
 
 
+def test_one_package_is_read_by_many_tasks(spark, pages):
+    packages = archives.write_packages(pages.coalesce(1), archives.package_folder(spark))
+    out = archives.read_packages(packages, read_bytes=500)
+    assert packages.count() == 1 and out.rdd.getNumPartitions() == -(-packages.first()["bytes"] // 500) > 1
+    assert len(out.rdd.glom().filter(len).collect()) > 1 and out.count() == len(ROWS)
+
+
 def test_archive_of_no_rows(spark, pages):
     assert archives.read_packages(archives.write_packages(pages.where("false"), archives.package_folder(spark))).count() == 0
 

@@ -33,6 +33,8 @@ from vacantia.session import stage, stage_folder
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PACKAGE_BYTES = 128 << 20
 READ_BYTES = 8 << 20
+# More ranges than this share reading tasks.
+MOST_TASKS = 50_000
 
 
 def digest(payload: bytes) -> str:
@@ -230,8 +232,8 @@ def record_ranges(packages: DataFrame, read_bytes: int = READ_BYTES) -> DataFram
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_packages(packages: DataFrame) -> DataFrame:
-    """Every record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+def read_packages(packages: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """Every record of the packages (package, bytes): page_id, payload_bytes, payload_digest, record_type, refers_to."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,8 +246,9 @@ def read_packages(packages: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in RECORD.split(", ")])
 
-    # Ranges are dealt out anew, so one large package is read by many tasks.
-    return record_ranges(packages).repartition("package", "begin").mapInArrow(run, RECORD)
+    # Ranges are dealt out anew, so one large package is read by many tasks. Their rows are tiny, so the number is given by the bytes.
+    tasks = packages.agg(F.sum(F.ceil(F.col("bytes") / read_bytes))).first()[0] or 1
+    return record_ranges(packages, read_bytes).repartition(min(int(tasks), MOST_TASKS), "package", "begin").mapInArrow(run, RECORD)
 
 
 def package_folder(spark: SparkSession) -> str:
