@@ -154,7 +154,9 @@ def contaminated(rows: list[tuple], benchmark: list[tuple], rate: float = 0.08,
     for doc_id, text in rows:
         plain = " ".join(words((text or "").lower()))
         for item_id, item in wanted:
-            if item.count(" ") + 1 < min_words or not item:
+            if item.count(" ") + 1 < min_words:
+                if item and f" {item} " in f" {plain} ":
+                    found[doc_id, item_id, 0] += 1
                 continue
             if sum(item[i : i + 8] in plain for i in range(0, len(item) - 8, 8)) >= 2 and (d := substring_distance(item, plain)) <= int(len(item) * rate):
                 found[doc_id, item_id, d] += 1

@@ -261,6 +261,17 @@ def test_contamination(spark, docs, empty, rows):
     assert contamination.contaminated(empty, benchmark).count() == contamination.contaminated(docs, benchmark.where("false")).count() == 0
 
 
+def test_short_items_occur_word_for_word(spark):
+    texts = ["A  Capital of\nFrance", "the capital of frances", "capital of", "ofrance capital of france!", "", None, "x capital\tof France x capital of france"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = [(1, "Capital of France"), (2, "capital"), (None, "  "), (3, "capital of"), (1, "capital  of france")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = plain.contaminated(list(enumerate(texts)), items)
+    assert want[0, 1, 0] == want[6, 1, 0] == want[2, 3, 0] == 1 and (1, 1, 0) not in want and (3, 1, 0) not in want
+    for block_chars in (1 << 20, 4):
+        assert got(contamination.contaminated(docs, benchmark, block_chars=block_chars), "doc_id", "item_id", "distance") == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab ", min_size=1, max_size=70), st.text("ab ", max_size=80))
 def test_bit_parallel_distance(item, text):

@@ -2,23 +2,31 @@
 
 A passage that differs from a test item in at most k characters keeps at least one of k + 1 pieces of the item whole. So
 all pieces of the items are looked for at once by an automaton, and around each hit the item's edit distance to the best
-substring is computed, one character of text per step for the whole item. Items come in blocks of bounded size;
-documents are read once per block and never move.
+substring is computed, one character of text per step for the whole item. Items of few words must occur word for word.
+Items are a table in blocks of bounded size, which tasks read from the shared folder; documents are read once per block and
+never move.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.llm.archives import file_system
 from vacantia.llm.texts import slices
+from vacantia.session import stage, stage_folder
 
 ERROR_RATE = 0.08
-MIN_WORDS = 5
+# Items of fewer words have no edits to spare.
+EDITED_WORDS = 5
 BLOCK_CHARS = 1 << 20
 
 Item = tuple[int, str]
@@ -36,8 +44,17 @@ def pieces(text: str, errors: int) -> list[tuple[int, str]]:
     return [(a, text[a:b]) for a, b in zip(bounds, bounds[1:], strict=False) if a < b]
 
 
-def budget(text: str, rate: float) -> int:
-    return int(len(text) * rate)
+def is_short(text: str, edited_words: int) -> bool:
+    return text.count(" ") + 1 < edited_words
+
+
+def budget(text: str, rate: float, edited_words: int = EDITED_WORDS) -> int:
+    return 0 if is_short(text, edited_words) else int(len(text) * rate)
+
+
+def is_apart(text: str, begin: int, end: int) -> bool:
+    """Whether a part of a text begins and ends with words."""
+    return (begin == 0 or text[begin - 1] == " ") and (end == len(text) or text[end] == " ")
 
 
 def best_distance(item: str, text: str) -> tuple[int, int]:
@@ -65,10 +82,11 @@ def best_distance(item: str, text: str) -> tuple[int, int]:
 
 
 class Finder:
-    def __init__(self, items: list[Item], rate: float):
+    def __init__(self, items: list[Item], rate: float, edited_words: int = EDITED_WORDS):
         import ahocorasick
 
-        self.items, self.errors = items, [budget(text, rate) for _, text in items]
+        self.items, self.errors = items, [budget(text, rate, edited_words) for _, text in items]
+        self.short = [is_short(text, edited_words) for _, text in items]
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text) in enumerate(items):
             for offset, piece in pieces(text, self.errors[n]):
@@ -87,6 +105,8 @@ class Finder:
         for last, (length, where) in self.automaton.iter(text):
             for n, offset in where:
                 begin, errors = last + 1 - length - offset, self.errors[n]
+                if self.short[n] and not is_apart(text, begin, last + 1):
+                    continue
                 low, high = max(0, begin - errors), begin + len(self.items[n][1]) + errors
                 mine = windows.setdefault(n, [])
                 if mine and low <= mine[-1][1] and low >= mine[-1][0]:
@@ -101,42 +121,46 @@ class Finder:
         return out
 
 
-def item_blocks(benchmark: DataFrame, min_words: int, block_chars: int) -> Iterator[list[Item]]:
-    """Distinct items of at least `min_words` words, a block at a time; the driver holds one block."""
+def item_blocks(benchmark: DataFrame, block_chars: int) -> tuple[str, int]:
+    """Folder of the distinct items that have a word, in blocks by a hash of their text, and the number of blocks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = plain(batch.column("text"))
-            enough = pc.greater_equal(pc.count_substring(text, " "), min_words - 1)
-            enough = pc.and_(enough, pc.greater(pc.binary_length(text), 0))
-            yield pa.RecordBatch.from_arrays([batch.column("item_id").filter(enough), text.filter(enough)], ["item_id", "text"])
+            some = pc.greater(pc.binary_length(text), 0)
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").filter(some), text.filter(some)], ["item_id", "text"])
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, text string")
-    block: list[Item] = []
-    size = 0
-    for row in rows.distinct().toLocalIterator():
-        if block and size + len(row.text) > block_chars:
-            yield block
-            block, size = [], 0
-        block.append((row.item_id, row.text))
-        size += len(row.text)
-    yield block
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    items = stage(rows.distinct(), "items")
+    blocks = max(1, math.ceil((items.agg(F.sum(F.char_length("text"))).first()[0] or 0) / block_chars))
+    folder = f"{stage_folder(benchmark.sparkSession).rstrip('/')}/vacantia/item-blocks-{uuid.uuid4().hex}"
+    items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(folder)
+    return folder, blocks
+
+
+def read_block(folder: str, number: int) -> list[Item]:
+    system, path = file_system(folder)
+    files = system.get_file_info(fs.FileSelector(f"{path}/block={number}", allow_not_found=True))
+    tables = [pq.ParquetFile(system.open_input_file(f.path)).read(["item_id", "text"]) for f in files if f.base_name.endswith(".parquet")]
+    return sorted(((r["item_id"], r["text"]) for t in tables for r in t.to_pylist()), key=lambda r: (r[1], r[0] is None, r[0]))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, edited_words: int = EDITED_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance): every document with every benchmark item that occurs in it.
 
     An item occurs when its edit distance, in characters, to some substring of the text is at most `rate` times its length.
-    Case and the kind of white space do not count. Items of fewer than `min_words` words, null and empty ones are not looked
-    for; null and empty texts have no items. Ids may be null. Equal items are looked for once, and each repeated document
-    row gives its own rows. Other columns are left out; an empty table on either side gives an empty result.
+    Case and the kind of white space do not count. Items of fewer than `edited_words` words occur only word for word; null and
+    empty ones are not looked for; null and empty texts have no items. Ids may be null. Equal items are looked for once, and each
+    repeated document row gives its own rows. Other columns are left out; an empty table on either side gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    folder, blocks = item_blocks(benchmark, block_chars)
     out = None
-    for block in item_blocks(benchmark, min_words, block_chars):
+    for number in range(blocks):
 
-        def run(batches: Iterable[pa.RecordBatch], block: list[Item] = block) -> Iterator[pa.RecordBatch]:
-            finder = Finder(block, rate)
+        def run(batches: Iterable[pa.RecordBatch], number: int = number) -> Iterator[pa.RecordBatch]:
+            block = read_block(folder, number)
+            finder = Finder(block, rate, edited_words)
             for batch in slices(batches):
                 ids = batch.column("doc_id").to_pylist()
                 rows = [(ids[i], block[n][0], distance) for i, text in enumerate(plain(batch.column("text")).to_pylist()) for n, distance in finder.found(text).items()]
@@ -148,12 +172,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, edited_words: int = EDITED_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of `docs`, with all their columns, in which no benchmark item occurs. See `contaminated`."""
-    for block in item_blocks(benchmark, min_words, block_chars):
+    folder, blocks = item_blocks(benchmark, block_chars)
+    for number in range(blocks):
 
-        def run(batches: Iterable[pa.RecordBatch], block: list[Item] = block) -> Iterator[pa.RecordBatch]:
-            finder = Finder(block, rate)
+        def run(batches: Iterable[pa.RecordBatch], number: int = number) -> Iterator[pa.RecordBatch]:
+            finder = Finder(read_block(folder, number), rate, edited_words)
             for batch in slices(batches):
                 yield batch.filter(pa.array([not finder.found(text) for text in plain(batch.column("text")).to_pylist()], pa.bool_()))
 
