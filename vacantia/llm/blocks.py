@@ -74,8 +74,10 @@ def marked(blocks: DataFrame, other_blocks: bool, heavy: int) -> DataFrame:
         for batch in batches:
             for block, n, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 k, c = numbers(keys, n, "<u8"), numbers(counts, n, "<u4")
-                ends = [0, *np.searchsorted(k, bounds).tolist(), n]
-                rows = [(s, k[a:b].tobytes(), c[a:b].tobytes()) for s, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b]
+                # Of all shards only those that this block has keys of.
+                shard = np.searchsorted(bounds, k, side="right")
+                ends = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), n]
+                rows = [(int(shard[a]), k[a:b].tobytes(), c[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False) if a < b]
                 columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))]
                 yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "keys", "counts"])
 
