@@ -18,8 +18,8 @@ from vacantia.functions.urls import host, last_segment, normalize_website, path,
 from vacantia.operators import boards, discover, html, links, listings, scripts
 from vacantia.operators.flatten import flatten_records
 from vacantia.operators.merge import merge_postings
-from vacantia.operators.sinks import write_csv, write_outputs
-from vacantia.plans.collect import Collection, collect_jobs
+from vacantia.operators.sinks import COUNTS, write_csv, write_outputs
+from vacantia.plans.collect import Collection, collect_jobs, write_jobs
 from vacantia.plans.cuts import CutStore
 from vacantia.plans.frontier import crawl_frontier
 from vacantia.plans.reports import jobs_per_company, run_summary
@@ -27,6 +27,7 @@ from vacantia.schemas import job
 from vacantia.session import stage, stage_folder, tune
 from vacantia.sources import captures, directory, shard_csv
 from vacantia.sources.archive import CaptureArchive, capture_changes
+from vacantia.sources.published import KINDS, publish_outputs, read_published
 from vacantia.streaming import postings as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -886,6 +887,42 @@ def records_by_shard(spark, sf):
     return spark.read.json(f"{base}/jsonl").groupBy(F.col("shard").cast("int").alias("shard")).agg(F.count("*").alias("n"))
 
 
+_SHARD_SQL = _SHARD.format(key="'co-' || conv_id", n=3)
+
+
+@query(f"""
+WITH s AS (SELECT CAST({_SHARD_SQL} AS INT) AS shard, 'co-' || conv_id AS company_slug, ' "' || text || '",' || chr(10) || ' ' AS title, conv_id, turn FROM conversations),
+p AS (SELECT shard, company_slug, title || CASE WHEN shard = 1 THEN ' again' ELSE '' END AS title, conv_id, turn FROM s WHERE shard <> 1 OR turn % 2 = 0)
+SELECT kind, shard, company_slug, title, 'https://c.org/' || conv_id || '/' || turn AS url FROM p, (VALUES ('jsonl'), ('json'), ('csv')) AS k(kind)
+""")
+def published_records(spark, sf):
+    """All shards, then one of them again with half its records under new titles, and a run over all that fails at its end."""
+    base, records = _new_folder(spark, "published"), _flat_sample(spark, sf)
+    publish_outputs(records, base, num_shards=3)
+    shard = R.shard_index(F.col("company.yc_slug"), 3)
+    again = records.withColumn("shard", shard).where(shard == 1).where(F.col("careers_url").rlike("[02468]$"))
+    again = again.withColumn("job", F.col("job").withField("title", F.concat("job.title", F.lit(" again"))))
+    publish_outputs(again, base, shards=[1])
+    try:
+        publish_outputs(records, base, num_shards=3, shards=[0, 2])
+    except ValueError:
+        pass
+    shown = {"jsonl": ("company.yc_slug", "job.title", "job.url")}
+    out = None
+    for kind in KINDS:
+        columns = [F.col(c).alias(n) for c, n in zip(shown.get(kind, ("company_slug", "job_title", "job_url")), ("company_slug", "title", "url"), strict=True)]
+        rows = read_published(spark, base, kind).select(F.lit(kind).alias("kind"), "shard", *columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(OPENINGS + f", {_POSTINGS} SELECT (SELECT count(*) FROM j) + (SELECT count(*) FROM c WHERE k % 10 = 8) AS n_rows, (SELECT count(*) FROM j) AS n_titled, (SELECT count(*) FROM c WHERE k % 10 = 8) AS n_careers_faults, CAST(0 AS BIGINT) AS n_listing_faults")
+def written_counts(spark, sf):
+    """Counts of a run, taken while its records are written."""
+    counts = write_jobs(*archive(spark, sf), _new_folder(spark, "outputs"), only_hiring=False)
+    return spark.createDataFrame([tuple(counts[n] for n in COUNTS)], ", ".join(f"{n} BIGINT" for n in COUNTS))
+
+
 def _page_captures(spark, sf) -> DataFrame:
     """All captures of the archive over HTTP, failures included."""
     return archive(spark, sf)[1].where("render = 'http'")

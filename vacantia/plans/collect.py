@@ -357,10 +357,10 @@ def collect_jobs(
     return out.to(schema)
 
 
-def write_jobs(companies: DataFrame, responses: DataFrame | CaptureArchive, base: str, *, mode: str = "errorifexists", num_shards: int = 1, **options) -> None:
+def write_jobs(companies: DataFrame, responses: DataFrame | CaptureArchive, base: str, *, mode: str = "errorifexists", num_shards: int = 1, **options) -> dict[str, int]:
     """Collect and write all three outputs (see `write_outputs`), then delete the intermediate tables, also after a failure.
 
-    `options` are those of `collect_jobs`.
+    `options` are those of `collect_jobs`. Returns counts of rows, titled rows and faults, taken while the records are written.
     """
     with Stages(companies.sparkSession) as stages:
-        write_outputs(collect_jobs(companies, responses, num_shards=num_shards, stages=stages, **options), base, mode, num_shards, stages)
+        return write_outputs(collect_jobs(companies, responses, num_shards=num_shards, stages=stages, **options), base, mode, num_shards, stages)
