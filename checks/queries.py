@@ -121,6 +121,20 @@ def page_link_targets(spark, sf):
     return links.link_targets(html.explode_anchors(pages)).select("page_id", "pos", "target")
 
 
+@query(f"""
+WITH {_ANCHORS}
+SELECT page_id, pos + 1 AS pos, regexp_extract(block, 'href="([^"]*)"', 1) AS href, regexp_extract(block, '(?s)>(.*)</a>', 1) AS text, '' AS title FROM b
+UNION ALL SELECT page_id, 0, '/p/' || page_id, 'Page', trim(replace(html, '"', ''), ' ' || chr(10) || chr(13) || chr(9)) FROM pages
+""")
+def misread_page_anchors(spark, sf):
+    """Every page behind itself as the text of a form, as a hidden frame, and as the title of a link that has two addresses."""
+    title = F.replace(F.replace("html", F.lit('"'), F.lit("")), F.lit("&"), F.lit("&amp;"))
+    one = F.concat(F.lit('<a href="/first" title="'), title, F.lit('" href="/p/'), F.col("page_id"), F.lit('">Page</a>'))
+    whole = F.concat(F.lit("<textarea>"), "html", F.lit("</textarea><iframe>"), "html", F.lit("</iframe>"), one, "html")
+    pages = html.with_blocks(_pages(spark, sf).withColumn("html", whole), "html").select("page_id", "anchors")
+    return html.explode_anchors(pages).select("page_id", "pos", "href", "text", F.col("title_attr").alias("title"))
+
+
 @query("""
 SELECT page_id, CAST(0 AS INT) AS pos, '' AS id_lc, '' AS type_lc, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS body
 FROM pages WHERE html LIKE '%<script>%'

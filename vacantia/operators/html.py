@@ -1,7 +1,7 @@
 """Page tables: anchors and scripts of captured pages in document order.
 
-Pages are cut with linear, non-backtracking patterns on the JVM. What a tolerant tree parser would do
-differently is listed in the README.
+Pages are cut with linear, non-backtracking patterns on the JVM; the few that these would misread are written anew
+first (`markup`). What a tolerant tree parser would do differently is listed in the README.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from vacantia.functions import vocabulary as V
 from vacantia.functions.bind import bind
 from vacantia.functions.text import WS, collapse, empty_to_null, strip, unescape
 from vacantia.functions.urls import strip_fragment
+from vacantia.operators.markup import misread, plain_form
 from vacantia.schemas import carried
 
 # Attributes of a start tag up to its '>'; quotes count only as values after '='.
@@ -48,9 +49,18 @@ def attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(value, "(?s)^([\"'])(.*)\\1$", "$2")
 
 
+def visible(html: Column) -> Column:
+    """The page without scripts, styles and comments."""
+    return F.regexp_replace(html, _INVISIBLE, "<!>")
+
+
+def _anchors(visible: Column) -> Column:
+    return F.regexp_extract_all(visible, F.lit(_ANCHOR), F.lit(0))
+
+
 def anchor_blocks(html: Column) -> Column:
     """ARRAY<STRING> of the anchors, each from '<a' to before its end tag. Scripts, styles and comments are left out."""
-    return F.regexp_extract_all(F.regexp_replace(html, _INVISIBLE, "<!>"), F.lit(_ANCHOR), F.lit(0))
+    return _anchors(visible(html))
 
 
 def script_blocks(html: Column) -> Column:
@@ -58,6 +68,18 @@ def script_blocks(html: Column) -> Column:
     return F.filter(F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(0)), lambda s: ~s.startswith("<!"))
 
 
+def with_blocks(pages: DataFrame, html: str) -> DataFrame:
+    """Add `anchors` and `scripts` (see `anchor_blocks`, `script_blocks`) of a page column, of misread pages from their plain form."""
+    seen = bind(pages, _visible=visible(F.col(html)))
+    seen = bind(seen, anchors=_anchors(F.col("_visible")), _misread=F.when(misread(F.col(html), F.col("_visible")), F.col(html)))
+    seen = seen.drop("_visible").withColumn("_plain", plain_form(F.col("_misread")))
+    anew = F.col("_plain").isNotNull()
+    return bind(
+        seen, anchors=F.when(anew, anchor_blocks(F.col("_plain"))).otherwise(F.col("anchors")),
+        scripts=script_blocks(F.coalesce("_plain", html)),
+    ).drop("_misread", "_plain")
+
+
 def _tagged(tokens: Column, tag: list[Column]) -> Column:
     return F.transform(tokens, lambda t: F.struct(*tag, t.alias("token")))
 
@@ -91,13 +113,13 @@ def page_parts(pages: DataFrame) -> DataFrame:
     body, no_boards = F.col("body"), F.array().cast("array<struct<vendor_rank:int,vendor:string,token:string>>")
     # A page without a board host's name has no board tokens either: one scan of the body decides both.
     has_ats_text = F.exists(F.array(F.lower(body)), lambda low: _contains_any(low, _ATS_HOSTS))
-    return bind(pages, has_ats_text=has_ats_text).select(
+    return bind(with_blocks(pages, "body"), has_ats_text=has_ats_text).select(
         "request_url", "render", "fetched_at",
         page_address().alias("page_url"),
         body.rlike(f"(?U)[^{WS}]").alias("has_text"),
         "has_ats_text",
-        anchor_blocks(body).alias("anchors"),
-        F.filter(script_blocks(body), lambda s: F.exists(F.array(F.lower(s)), lambda low: _contains_any(low, _POSTING_WORDS))).alias("scripts"),
+        "anchors",
+        F.filter("scripts", lambda s: F.exists(F.array(F.lower(s)), lambda low: _contains_any(low, _POSTING_WORDS))).alias("scripts"),
         F.when(F.col("has_ats_text"), board_tokens(body)).otherwise(no_boards).alias("boards"),
         *carried(pages),
     )
@@ -108,7 +130,9 @@ def explode_anchors(df: DataFrame, blocks: str = "anchors") -> DataFrame:
     keep = [c for c in df.columns if c != blocks]
     block = F.col("_block")
     rows = df.select(*keep, F.posexplode(blocks).alias("pos", "_block"))
-    # Attribute values are decoded together, cut apart by a character that cannot be typed into a page.
+    # Attribute values are decoded together, cut apart by a control character that is taken out of the page before; references
+    # to it are none.
+    rows = bind(rows, _block=F.replace("_block", F.lit(_CUT), F.lit("")))
     rows = bind(rows, _low=F.lower("_block"))
     maybe = lambda n: F.when(F.contains("_low", F.lit(n)), attribute(block, n)).otherwise("")
     attrs = F.concat_ws(_CUT, attribute(block, "href"), maybe("aria-label"), maybe("title"))
