@@ -22,10 +22,14 @@ from vacantia.session import path_exists
 PAGES = ("parts", "links")
 
 
+#: Changes whenever the rules do by which pages are cut, so that rows kept under earlier rules are not taken over.
+RULES = 2
+
+
 def identity(same_site_only: bool) -> Column:
-    """Hash of what a capture says. Links of pages also depend on the run's rule for other sites."""
+    """Hash of what a capture says and the rules it is read by. Links of pages also depend on the run's rule for other sites."""
     says = [F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in ("request_url", "render", "final_url", "status", "error", "content")]
-    return F.md5(F.concat_ws("\x01", F.lit(str(same_site_only)), *says))
+    return F.md5(F.concat_ws("\x01", F.lit(f"{RULES} {same_site_only}"), *says))
 
 
 class CutStore:
