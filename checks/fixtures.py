@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Narrow rows that will grow long, dealt over many tasks: the files of a small table are read by one or two."""
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, df.count() // 2000)
+    return df.repartition(tasks, key)
+
+
 def companies_base(spark: SparkSession, sf: str) -> DataFrame:
     """k, nation, region, balance."""
     return (

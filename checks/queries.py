@@ -361,9 +361,10 @@ def payload_faults(spark, sf):
 
 
 def _script_table(rows: DataFrame, body, kind: str = "", name: str = "") -> DataFrame:
-    return rows.select(
-        "pk", text("https://co{k}.example.com/careers").alias("page_url"), F.lit(0).alias("pos"), F.lit(name).alias("id_lc"),
-        F.lit(kind).alias("type_lc"), body.alias("body"),
+    # Bound, so that no filter on a long text moves to the few tasks that read the rows it is made of.
+    table = rows.withColumn("page_url", text("https://co{k}.example.com/careers"))
+    return bind(table, body=body).select(
+        "pk", "page_url", F.lit(0).alias("pos"), F.lit(name).alias("id_lc"), F.lit(kind).alias("type_lc"), "body",
     )
 
 
@@ -429,7 +430,7 @@ def embedded_jobs(spark, sf):
 @query("SELECT s_suppkey AS k, 'Engineer ' || s_suppkey AS title, n AS walk_pos FROM supplier, (VALUES (0), (1)) v(n)")
 def long_embedded_scripts(spark, sf):
     """A script of over 90,000 values is read to its end."""
-    c = X.companies_base(spark, sf)
+    c = X.spread(X.companies_base(spark, sf), "k")
     k = F.col("k").cast("string")
     item = F.concat(F.lit('{"title":"Engineer '), k, F.lit('","jobUrl":"https://b.org/'), k, F.lit("/"))
     body = F.concat(F.lit("["), F.expr("repeat('0,', 90000)"), item, F.lit('1"},[['), item, F.lit('2"}]]]'))
@@ -440,7 +441,7 @@ def long_embedded_scripts(spark, sf):
 @query(OPENINGS + "SELECT pk, title, 'https://b.org/' || pk AS url, linked FROM o, (VALUES (true), (false)) v(linked) WHERE pk % 4 <> 3")
 def hostile_scripts(spark, sf):
     """Half a surrogate pair, numbers out of range and nesting no reader follows lose nothing; broken texts give nothing."""
-    o = X.openings(spark, sf)
+    o = X.spread(X.openings(spark, sf), "pk")
     extra = (
         F.when(F.expr("pk % 4 = 0"), F.lit('"note":"\\ud83d","location":"\\ud83d"')).when(F.expr("pk % 4 = 1"), F.lit('"location":1e999,"job_id":-1e999,"size":' + "9" * 400))
         .when(F.expr("pk % 4 = 2"), F.concat(F.lit('"location":'), F.expr("repeat('[', 3000)"), F.expr("repeat(']', 3000)"))).otherwise(F.lit('"x":"\\u12"'))
@@ -463,7 +464,7 @@ FROM o, (VALUES (true), (false)) v(linked)
 """)
 def deep_scripts(spark, sf):
     """Postings below 220 levels with ids of 5,000 digits, and locations with 600 levels behind what is read of them."""
-    o = X.openings(spark, sf)
+    o = X.spread(X.openings(spark, sf), "pk")
     place = X.js(addressLocality="{nation}", addressCountry="{region}")
     location = F.concat(F.lit('{"address":'), place, F.lit(',"x":'), F.expr("repeat('[', 600)"), F.expr("repeat(']', 600)"), F.lit("}"))
     found = None
