@@ -24,6 +24,18 @@ def not_blank(c: Column) -> Column:
     return F.coalesce(strip(c) != "", F.lit(False))
 
 
+def contains_any(c: Column, words: list[str]) -> Column:
+    """Whether one of the lower-case words occurs in any case: plain search, much cheaper on long texts than a case-blind pattern."""
+
+    def search(low: Column) -> Column:
+        found = F.contains(low, F.lit(words[0]))
+        for w in words[1:]:
+            found |= F.contains(low, F.lit(w))
+        return found
+
+    return F.exists(F.array(F.lower(c)), search)
+
+
 def collapse(c: Column) -> Column:
     """Whitespace runs become one space; ends are stripped."""
     return F.trim(F.regexp_replace(c, _WS_RUN, " "))

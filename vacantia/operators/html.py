@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import vocabulary as V
 from vacantia.functions.bind import bind
-from vacantia.functions.text import WS, collapse, empty_to_null, strip, unescape
+from vacantia.functions.text import WS, collapse, contains_any, empty_to_null, strip, unescape
 from vacantia.functions.urls import strip_fragment
 from vacantia.operators.markup import misread, plain_form
 from vacantia.schemas import carried
@@ -33,14 +33,6 @@ _POSTING_WORDS = ["jobposting", "\\u00", *V.JOB_HINT_KEYS]
 _ATS_HOSTS = V.ATS_HOST.strip("()").replace("\\", "").split("|")
 
 
-def _contains_any(lower: Column, words: list[str]) -> Column:
-    """Plain search, much cheaper on long texts than a case-blind pattern."""
-    found = F.contains(lower, F.lit(words[0]))
-    for w in words[1:]:
-        found |= F.contains(lower, F.lit(w))
-    return found
-
-
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of the start tag at the head of `tag`, not decoded; '' if absent or empty."""
     other = rf"""(?:[\s/]+|(?<=["']))(?!{name}[\s=/>])[^\s/>=]++(?:\s*+=\s*+{_VALUE.replace('(', '(?:', 1)}?)?+"""
@@ -112,14 +104,14 @@ def page_parts(pages: DataFrame) -> DataFrame:
     """
     body, no_boards = F.col("body"), F.array().cast("array<struct<vendor_rank:int,vendor:string,token:string>>")
     # A page without a board host's name has no board tokens either: one scan of the body decides both.
-    has_ats_text = F.exists(F.array(F.lower(body)), lambda low: _contains_any(low, _ATS_HOSTS))
+    has_ats_text = contains_any(body, _ATS_HOSTS)
     return bind(with_blocks(pages, "body"), has_ats_text=has_ats_text).select(
         "request_url", "render", "fetched_at",
         page_address().alias("page_url"),
         body.rlike(f"(?U)[^{WS}]").alias("has_text"),
         "has_ats_text",
         "anchors",
-        F.filter("scripts", lambda s: F.exists(F.array(F.lower(s)), lambda low: _contains_any(low, _POSTING_WORDS))).alias("scripts"),
+        F.filter("scripts", lambda s: contains_any(s, _POSTING_WORDS)).alias("scripts"),
         F.when(F.col("has_ats_text"), board_tokens(body)).otherwise(no_boards).alias("boards"),
         *carried(pages),
     )

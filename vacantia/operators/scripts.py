@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import variants as J
 from vacantia.functions import vocabulary as V
-from vacantia.functions.text import empty_to_null, not_blank, strip
+from vacantia.functions.text import contains_any, empty_to_null, not_blank, strip
 from vacantia.functions.bind import bind
 from vacantia.functions.urls import strip_fragment, with_absolute
 from vacantia.operators.json_walk import json_objects
@@ -107,8 +107,7 @@ def _embedded_location(loc: Column) -> Column:
 
 def embedded_postings(scripts: DataFrame) -> DataFrame:
     """Job-like objects of embedded JSON. Needs the script table plus page_url."""
-    hints = r"(?i)\\u00|" + "|".join(V.JOB_HINT_KEYS)
-    chosen = embedded_scripts(scripts).where(F.col("body").rlike(hints)).withColumnRenamed("pos", "script_pos")
+    chosen = embedded_scripts(scripts).where(contains_any(F.col("body"), ["\\u00", *V.JOB_HINT_KEYS])).withColumnRenamed("pos", "script_pos")
     v = F.col("v")
     found = bind(_objects(chosen, F.col("body"), linked=False), _title=J.first_truthy(v, V.EMBEDDED_TITLE_KEYS))
     title = F.col("_title")
