@@ -25,11 +25,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Settings the results depend on. Sizes and cluster settings are left as they are."""
+    """Settings the results depend on, and what bounds the memory of Python workers and what is sent by way of the driver.
+
+    Other sizes and cluster settings are left as they are.
+    """
     # The last of two equal keys of a JSON object counts, instead of the object being malformed.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     # The JVM never compiles methods over 8000 bytes; beyond that, generated code is slower than none.
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # Tables of addresses are several times as large in memory as in their files; which ones are sent to all tasks by way of the driver
+    # is decided by this size.
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", "8")
     return spark
 
 
@@ -51,8 +57,8 @@ def path_exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def few(df: DataFrame, most: int = 1_000_000) -> bool:
-    """Whether a narrow table is small enough to be sent to all tasks."""
+def few(df: DataFrame, most: int = 50_000) -> bool:
+    """Whether a narrow table is small enough to be sent to all tasks. It passes through the driver, once for every such join of a run."""
     return df.limit(most + 1).count() <= most
 
 
