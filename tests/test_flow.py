@@ -297,3 +297,27 @@ def test_keyed_postings_over_batches(spark, tmp_path, responses):
     # Started again without new captures, nothing changes.
     stream.keyed_first_postings(stream.read_capture_stream(spark, source), store, str(tmp_path / "state")).awaitTermination()
     assert stream.stored_rows(spark, store).count() == 4
+
+
+def test_python_batches_and_tables_sent_to_all_tasks_are_bounded(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from vacantia.session import few, tune
+
+    tune(spark)
+    sizes = spark.range(64, numPartitions=1).select(F.expr("repeat('x', 1000000)").alias("page"))
+
+    @F.pandas_udf("long")
+    def together(pages):
+        import pandas as pd
+
+        return pd.Series([len(pages)] * len(pages))
+
+    assert sizes.select(together("page").alias("n")).agg(F.max("n")).first()[0] <= 16  # 64 before
+    assert few(spark.range(50_000)) and not few(spark.range(50_001))
+    path = str(tmp_path / "keys")
+    # Some 40 MB of addresses in a file of a few: sent to all tasks before.
+    spark.range(400_000).select(F.concat(F.lit("https://www.a-long-name-of-a-site.example.com/careers/"), "id").alias("request_url")).coalesce(1).write.parquet(path)
+    keys = spark.read.parquet(path)
+    plan = keys.join(keys.withColumnRenamed("request_url", "u"), F.col("u") == F.col("request_url"), "left_semi")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+PYTHON_BATCH = 8 << 20
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests, benchmarks and single machines. On a cluster, pass the cluster's own session."""
     spark = (
@@ -36,6 +40,8 @@ def tune(spark: SparkSession) -> SparkSession:
     # Tables of addresses are several times as large in memory as in their files; which ones are sent to all tasks by way of the driver
     # is decided by this size.
     spark.conf.set("spark.sql.sources.fileCompressionFactor", "8")
+    # Whole pages go to Python, where a batch takes several times its size: as Arrow, as text, as result.
+    spark.conf.set(ARROW_BYTES, str(PYTHON_BATCH))
     return spark
 
 
