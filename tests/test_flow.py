@@ -321,3 +321,13 @@ def test_python_batches_and_tables_sent_to_all_tasks_are_bounded(spark, tmp_path
     keys = spark.read.parquet(path)
     plan = keys.join(keys.withColumnRenamed("request_url", "u"), F.col("u") == F.col("request_url"), "left_semi")._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_parts_of_one_file_are_dealt_over_files(spark, companies, responses):
+    """Many pages of one small file: their parts and links are made and read by several tasks, as sizes of files say nothing of the work."""
+    sites = [(f"s{i}", f"https://s{i}.com") for i in range(200)]
+    captured = responses(*[(site, "<a href='/jobs'>Jobs</a>") for _, site in sites]).coalesce(1)
+    with Collection(companies(*sites), captured) as run:
+        for table in (run.parts, run.facts):
+            counts = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+            assert sum(counts) == 200 and max(counts) <= 60  # one file of 200 before

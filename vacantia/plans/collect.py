@@ -21,7 +21,7 @@ from vacantia.operators.sinks import write_outputs
 from vacantia.operators.scripts import RANK_BOARD, embedded_postings, linked_data_postings
 from vacantia.plans.cuts import CutStore, identity
 from vacantia.schemas import COMPANY, IDENT, JOB, RECORDS, carried
-from vacantia.session import Stages, tune
+from vacantia.session import Stages, dealt, tune
 from vacantia.sources.archive import CaptureArchive, as_archive
 from vacantia.sources.captures import CAPTURE, page_captures
 from vacantia.sources.directory import select_companies
@@ -191,7 +191,9 @@ class Collection:
         keys = self.stage(keys, "wanted")
         if self.parts is not None and keys.isEmpty():
             return
-        parts, facts = self._made(keys, {"parts": lambda rows: page_parts(page_captures(rows)), "links": lambda parts: link_facts(parts, self.same_site_only)})
+        pages = keys.count()
+        cut = lambda rows: dealt(page_parts(page_captures(rows)), pages, CAPTURE)
+        parts, facts = self._made(keys, {"parts": cut, "links": lambda parts: link_facts(parts, self.same_site_only)})
         self.parts = parts if self.parts is None else self.parts.unionByName(parts)
         self.facts = facts if self.facts is None else self.facts.unionByName(facts)
 

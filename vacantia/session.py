@@ -76,6 +76,15 @@ def only_among(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(F.broadcast(keys) if few(keys) else keys, on, "left_semi")
 
 
+def dealt(df: DataFrame, rows: int, keys: list[str]) -> DataFrame:
+    """About `rows` rows that later steps make many of, dealt over tasks by their keys, so that written they make as many even files.
+
+    Repetitive rows take so little room in files that one reading task would get all of them: sizes of files say nothing of the work.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(min(4 * cores, rows // 16 + 1), rows // 20_000), *keys)
+
+
 class Stages:
     """Intermediate tables of one run, in a folder of its own that `close` deletes."""
 
