@@ -331,3 +331,16 @@ def test_parts_of_one_file_are_dealt_over_files(spark, companies, responses):
         for table in (run.parts, run.facts):
             counts = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
             assert sum(counts) == 200 and max(counts) <= 60  # one file of 200 before
+
+
+def test_keyed_postings_keep_no_state_in_python(spark, tmp_path, responses):
+    """Keys are looked up where the state is, not one by one from Python; a posting given again at the same time is not stored again."""
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    for at in (5, 5, 4):
+        rows = [(f"https://a.com/{i}/careers", f'<a href="/jobs/{at}">At {at}</a><a href="/jobs/1">One</a>', {"at": at}) for i in range(3)]
+        responses(*rows).write.mode("append").parquet(source)
+        query = stream.keyed_first_postings(stream.read_capture_stream(spark, source), store, str(tmp_path / "state"))
+        query.awaitTermination()
+        assert [o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]][0] == "stateStoreSave"  # transformWithState in Python before
+    assert stream.stored_rows(spark, store).count() == 12  # 6, none, 3 new and 3 of an earlier capture
+    assert sorted((r.job.title, r.fetched_at.second) for r in stream.read_store(spark, store).collect()) == [("At 4", 4)] * 3 + [("At 5", 5)] * 3 + [("One", 4)] * 3

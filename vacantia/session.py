@@ -63,6 +63,12 @@ def path_exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def paths_of(spark: SparkSession, pattern: str) -> list[str]:
+    """Files and folders of any of Spark's file systems that match the pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return [f.getPath().toString() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []]
+
+
 def few(df: DataFrame, most: int = 50_000) -> bool:
     """Whether a narrow table is small enough to be sent to all tasks. It passes through the driver, once for every such join of a run."""
     return df.limit(most + 1).count() <= most

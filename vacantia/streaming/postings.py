@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from vacantia.operators.html import page_parts
 from vacantia.operators.links import link_facts
 from vacantia.operators.merge import merge_postings, posting_key
 from vacantia.plans.collect import page_postings
 from vacantia.schemas import RESPONSES
-from vacantia.session import Stages, path_exists, tune
-from vacantia.sources.captures import page_captures
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+from vacantia.session import Stages, path_exists, paths_of, tune
+from vacantia.sources.captures import CAPTURE, page_captures
 
 # Arrival order of postings: capture time first, then the order inside a page.
 ARRIVAL = ["fetched_at", "extractor", "script_pos", "walk_pos"]
@@ -29,8 +23,11 @@ def read_capture_stream(spark: SparkSession, folder: str, max_files: int = 1000)
 
 
 def captured_postings(responses: DataFrame) -> DataFrame:
-    """Postings of captured pages. Stateless and map-only: the same expression serves batch and stream."""
-    parts = page_parts(page_captures(responses))
+    """Postings of captured pages. Stateless: the same expression serves batch and stream.
+
+    Parts of pages are dealt over tasks before links and scripts are made of them: sizes of files say little of that work.
+    """
+    parts = page_parts(page_captures(responses)).repartition(*CAPTURE)
     return page_postings(parts, link_facts(parts))
 
 
@@ -65,12 +62,15 @@ def store_batch(batch: DataFrame, batch_id: int, store: str, buckets: int = 64)
 
 def stored_rows(spark: SparkSession, store: str) -> DataFrame | None:
     """All stored rows, None while there are none. A key stored again from an earlier capture has several."""
-    if path_exists(spark, f"{store}/_spark_metadata/*"):  # a store of `keyed_first_postings`: what its batches have committed
-        rows = spark.read.parquet(store)
-        return None if rows.isEmpty() else rows
-    if not path_exists(spark, f"{store}/batch_id=*/bucket=*"):
+    if path_exists(spark, f"{store}/batch_id=*/bucket=*"):
+        return spark.read.option("basePath", store).parquet(f"{store}/batch_id=*")
+    # A store of `keyed_first_postings`: its finished batches, or, written by an earlier form of it, what its file sink has committed.
+    earlier = path_exists(spark, f"{store}/_spark_metadata/*")
+    folders = [store] if earlier else [done.rsplit("/", 1)[0] for done in paths_of(spark, f"{store}/batch_id=*/_SUCCESS")]
+    if not folders:
         return None
-    return spark.read.option("basePath", store).parquet(f"{store}/batch_id=*")
+    rows = spark.read.option("basePath", store).parquet(*folders)
+    return None if rows.isEmpty() else rows
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame | None:
@@ -94,30 +94,9 @@ def first_postings(responses: DataFrame, store: str, checkpoint: str, buckets: i
     )
 
 
-# The same with the time in microseconds.
-_BY_TIME = ["at", *ARRIVAL[1:]]
-
-
-class FirstPosting(StatefulProcessor):
-    """State of one (page, key): when the capture was made that its posting was given from.
-
-    Gives the first posting of a key when it is met, and again one of an earlier capture that arrives late. Rows of a key are
-    looked at one by one, so a key with very many rows needs no more memory.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.given = handle.getValueState("given", "at long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        # Null is first, as in the merge of a batch.
-        first = min(rows, key=lambda r: [(r[c] is not None, r[c]) for c in _BY_TIME])
-        known = self.given.get()
-        if known is None or (first.at is not None and known[0] is not None and first.at < known[0]):
-            self.given.update((first.at,))
-            yield Row(page_url=first.page_url, key=first.key, at=first.at, job=first.job)
-
-    def close(self) -> None:
-        pass
+def keep_batch(batch: DataFrame, batch_id: int, store: str) -> None:
+    """Write what one micro-batch gives. A repeated batch overwrites its own folder, with the same rows."""
+    batch.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -126,22 +105,25 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 def keyed_first_postings(responses: DataFrame, store: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep the first posting per page and key across all batches, known from keyed state instead of the store.
 
-    State is a time per (page, key), in RocksDB and in files below `checkpoint`, hashed by the key: a batch looks up its own keys
-    only, and no batch reads the store, so its work does not grow with what is stored. Each batch is committed to the store once.
+    State is the first posting per (page, key), with the batch it came in, in RocksDB and in files below `checkpoint`, hashed by the key: a
+    batch looks up its own keys only, and no batch reads the store, so its work does not grow with what is stored. Rows are reduced before
+    they are dealt by key, so a key with very many needs no more memory. A batch stores the keys whose first posting came in it: those
+    new, and again those of an earlier capture that arrives late. Captures without a time come first.
     The number of shuffle partitions at the first start is that of the state for good. Read it with `read_store`.
     """
     spark = tune(responses.sparkSession)
-    rows = captured_postings(responses).withColumn("key", posting_key(F.col("job"))).withColumn("at", F.unix_micros("fetched_at"))
-    rows = rows.select("page_url", "key", *_BY_TIME, "job")
-    given = rows.select("page_url", "key", "at", "job").schema
-    first = rows.groupBy("page_url", "key").transformWithState(statefulProcessor=FirstPosting(), outputStructType=given, outputMode="Append", timeMode="None")
-    first = first.select("page_url", "key", F.timestamp_micros("at").alias("fetched_at"), "job")
+    rows = captured_postings(responses).withColumn("key", posting_key(F.col("job")))
+    # The time of a batch is one and the same in all its rows, and when the batch is repeated.
+    order = F.struct("fetched_at", "arrived", *ARRIVAL[1:])
+    first = F.min_by(F.struct("fetched_at", "job", "arrived"), order).alias("m")
+    first = rows.withColumn("arrived", F.current_timestamp()).groupBy("page_url", "key").agg(first)
+    first = first.where(F.col("m.arrived") == F.current_timestamp()).select("page_url", "key", "m.fetched_at", "m.job")
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     spark.conf.set(setting, _ROCKSDB)  # the query takes a copy of the settings when it starts
     try:
         return (
-            first.writeStream.format("parquet").outputMode("append").option("path", store).option("checkpointLocation", checkpoint)
+            first.writeStream.foreachBatch(lambda df, n: keep_batch(df, n, store)).outputMode("update").option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start()
         )
     finally:
