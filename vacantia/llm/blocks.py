@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.texts import slices
+from vacantia.llm.texts import forget_others, give_back, slices
 from vacantia.session import stage
 
 KEYS_PER_SHARD = 1 << 20
@@ -45,6 +45,7 @@ def packed(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], nam
     """Blocks of `docs`, written once. `keys_of` gives the keys of a batch, a key as often as it occurs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("blocks")
         block = TaskContext.get().partitionId() << 32
         for batch in slices(batches):
             keys, counts = distinct_keys(keys_of(batch))
@@ -52,6 +53,7 @@ def packed(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], nam
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["block", "n_keys", "payload", "keys", "counts"])
             block += 1
+        give_back()
 
     return stage(docs.mapInArrow(run, BLOCK), name)
 

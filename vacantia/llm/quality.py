@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.texts import Words, codes_of, slices, sums, words_of
+from vacantia.llm.texts import Words, codes_of, forget_others, give_back, slices, sums, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
@@ -208,7 +208,9 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     plan = ordered(rules, estimated(docs, rules, sample_rows)) if len(rules) > 1 else list(rules)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("quality")
         for batch in slices(batches):
             yield batch.filter(pa.array(~rejected(measured(batch.column("text")), plan)))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
