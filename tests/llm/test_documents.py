@@ -217,6 +217,31 @@ def test_groups_of_near_copies_lose_no_link(spark):
     assert out == Counter(want) and 1 < len({w[2] for w in want}) < 110
 
 
+@pytest.mark.parametrize("most", [2, 1])
+def test_texts_of_no_bucket_do_not_move(spark, monkeypatch, most):
+    """The texts for verification are found without a shuffle of all texts while the ids are few; the groups are the same either way."""
+    rng = random.Random(4)
+    data = [(i, plain.prose(rng, 60)) for i in range(40)]
+    data.append((100, data[7][1] + " more"))
+    plans, stage = {}, minhash.stage
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name)
+
+    monkeypatch.setattr(minhash, "stage", noted)
+    monkeypatch.setattr(minhash, "MAX_BROADCAST_IDS", most, raising=False)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as with ids beyond it
+    try:
+        out = got(minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 3, 0.85), "doc_id", "n_shingles", "component_id", "kept")
+    finally:
+        spark.conf.set(key, before)
+    assert out == Counter(plain.near(data, 3, 85))
+    assert ("SortMergeJoin" in plans["minhash-texts"]) == (most < 2)
+
+
 def test_no_near_duplicates_in_no_rows(empty):
     assert minhash.near_duplicates(empty).count() == 0
 

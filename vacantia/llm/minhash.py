@@ -37,6 +37,8 @@ SMALL, RARE = 16, 8
 PARTS = 16
 PAIR_BYTES = 2 << 20
 PAIR_ROWS = 1000
+#: Ids of documents that share a bucket, sent to all tasks while they are this few; 2 million take some 100 MB there.
+MAX_BROADCAST_IDS = 2_000_000
 NAME = ["set_1", "set_2", "n_shingles"]
 
 
@@ -184,9 +186,10 @@ def _near_duplicates(docs: DataFrame, size: int, similarity: float, growth: int)
     placed = sets.select("id", "n_shingles", F.explode("buckets").alias("bucket"))
     shared = stage(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "minhash-shared")
     members = stage(placed.join(shared, "bucket"), "minhash-members")
-    weights = members.groupBy("id").agg(F.sum("n").alias("weight"))
-    # Texts of the members alone, for verification.
-    texts = stage(rows.join(weights.select("id"), "id", "left_semi"), "minhash-texts")
+    weights = stage(members.groupBy("id").agg(F.sum("n").alias("weight")), "minhash-weights")
+    # Texts of the members alone, for verification. While their ids are sent to all tasks, the texts of the others stay where they are.
+    ids = weights.select("id")
+    texts = stage(rows.join(F.broadcast(ids) if weights.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi"), "minhash-texts")
 
     def compared(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
