@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.texts import forget_others, give_back, slices
+from vacantia.llm.texts import forget_others, give_back, giving_back, slices
 from vacantia.session import stage
 
 KEYS_PER_SHARD = 1 << 20
@@ -95,7 +95,7 @@ def marked(blocks: DataFrame, other_blocks: bool, heavy: int) -> DataFrame:
         packed_marks = [pa.compress(marks[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(ends, ends[1:], strict=False)]
         return pa.table([table.column("block"), table.column("shard"), pa.array(lengths, pa.int32()), pa.array(packed_marks, pa.binary())], ["block", "shard", "n", "marks"])
 
-    parts = blocks.select("block", "n_keys", "keys", "counts").mapInArrow(cut, "shard int, block long, keys binary, counts binary")
+    parts = blocks.select("block", "n_keys", "keys", "counts").mapInArrow(giving_back(cut), "shard int, block long, keys binary, counts binary")
     found = parts.groupBy("shard").applyInArrow(judge, "block long, shard int, n int, marks binary")
     lists = found.groupBy("block").agg(F.collect_list(F.struct("shard", "n", "marks")).alias("marks"))
     return blocks.select("block", "payload").join(lists, "block", "left")

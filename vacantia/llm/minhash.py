@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm.components import components
-from vacantia.llm.texts import codes_of, hashes, mixed, slices, words_of
+from vacantia.llm.texts import codes_of, giving_back, hashes, mixed, slices, words_of
 from vacantia.session import stage
 
 ROWS_PER_BAND = 4
@@ -115,7 +115,7 @@ def summaries(docs: DataFrame, size: int, similarity: float) -> DataFrame:
             columns = [batch.column("id"), pa.array(np.diff(starts)), pa.array(names[0]), pa.array(names[1]), lists]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "set_1", "set_2", "buckets"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, set_1 long, set_2 long, buckets array<long>")
+    return docs.mapInArrow(giving_back(run), "id long, n_shingles long, set_1 long, set_2 long, buckets array<long>")
 
 
 def verified(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -134,7 +134,7 @@ def verified(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
             good = pa.array((union > 0) & (100 * common >= percent * union))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], ["a", "b"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(giving_back(run), "a long, b long").distinct()
 
 
 def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
@@ -146,7 +146,7 @@ def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
             ids = batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(starts))))
             yield pa.RecordBatch.from_arrays([ids, pa.array(values.view(np.int64))], ["id", "shingle"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, shingle long")
+    return texts.select("id", "text").mapInArrow(giving_back(run), "id long, shingle long")
 
 
 def uniform(*columns: Column) -> Column:

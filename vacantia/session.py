@@ -40,7 +40,11 @@ def tune(spark: SparkSession) -> SparkSession:
     # Tables of addresses are several times as large in memory as in their files; which ones are sent to all tasks by way of the driver
     # is decided by this size.
     spark.conf.set("spark.sql.sources.fileCompressionFactor", "8")
-    # Whole pages go to Python, where a batch takes several times its size: as Arrow, as text, as result.
+    return small_batches(spark)
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Whole texts and pages go to Python, where a batch takes several times its size: as Arrow, as text, as result."""
     spark.conf.set(ARROW_BYTES, str(PYTHON_BATCH))
     return spark
 
