@@ -242,6 +242,31 @@ def test_texts_of_no_bucket_do_not_move(spark, monkeypatch, most):
     assert ("SortMergeJoin" in plans["minhash-texts"]) == (most < 2)
 
 
+def test_texts_with_the_same_rare_shingles_meet_once(spark, monkeypatch):
+    rng = random.Random(9)
+    base = plain.prose(rng, 150).split()
+    data = []
+    for i in range(120):
+        w = list(base)
+        for k in rng.sample(range(len(w)), min(i % 14, 9)):
+            w[k] = f"v{rng.randint(0, 400)}"
+        data.append((1000 - i, " ".join(w)))
+    groups, stage = {}, minhash.stage
+
+    def noted(df, name):
+        out = stage(df, name)
+        if name == "minhash-rare":
+            key = "having" if "having" in out.columns else "shingle"
+            for r in out.select(key, "id").collect():
+                groups.setdefault(r[0], set()).add(r[1])
+        return out
+
+    monkeypatch.setattr(minhash, "stage", noted)
+    out = got(minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 3, 0.85), "doc_id", "n_shingles", "component_id", "kept")
+    assert out == Counter(plain.near(data, 3, 85))
+    assert groups and len({frozenset(g) for g in groups.values()}) == len(groups) and all(2 <= len(g) <= minhash.RARE for g in groups.values())
+
+
 def test_no_near_duplicates_in_no_rows(empty):
     assert minhash.near_duplicates(empty).count() == 0
 

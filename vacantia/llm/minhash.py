@@ -252,8 +252,11 @@ def _near_duplicates(docs: DataFrame, size: int, similarity: float, growth: int)
         large = stage(large.join(common, "id", "left").fillna(0, parts), "minhash-large")
         # Two texts that share a rare shingle are compared, whatever else they share.
         facts_of = with_components(large.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_shingles").alias("common")))
-        rare = stage(rows.join(found_in.where(F.col("df") <= RARE).select("shingle"), "shingle").distinct().join(facts_of, "id"), "minhash-rare")
-        tested(rare.withColumnRenamed("id", "x").join(other(rare, "shingle"), "shingle").where(may_link & apart & (F.col("x") < F.col("y"))))
+        # One edit makes several shingles that the same texts have. Such texts, RARE at most, meet once.
+        having = rows.join(found_in.where(F.col("df") <= RARE).select("shingle"), "shingle").groupBy("shingle").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+        having = having.where(F.size("ids") > 1).select("ids").distinct().select(F.xxhash64("ids").alias("having"), F.explode("ids").alias("id"))
+        rare = stage(having.distinct().join(facts_of, "id"), "minhash-rare")
+        tested(rare.withColumnRenamed("id", "x").join(other(rare, "having"), "having").where(may_link & apart & (F.col("x") < F.col("y"))))
         # Others share common shingles only, counted apart by their hash. Those with too few of them are linked to none.
         large = large.where(100 * sum((F.col(c) for c in parts), F.lit(0)) >= percent * F.col("n_shingles"))
         low = 1
