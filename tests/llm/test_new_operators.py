@@ -99,6 +99,23 @@ def test_alignment(docs, rows, libraries):
         alignment.align(docs, BYTES, PIECES, groups="md5")
 
 
+def test_a_chunk_is_encoded_and_resolved_once(libraries, monkeypatch):
+    encoders = alignment.Encoder(alignment.ByteLevel(alignment.file_bytes(BYTES))), alignment.Encoder(alignment.Pieces(alignment.file_bytes(PIECES)))
+    encoded, resolved = [], []
+    for encoder in encoders:
+        monkeypatch.setattr(encoder.tokenizer, "encode", lambda strings, own=encoder.tokenizer.encode: encoded.extend(strings) or own(strings))
+    monkeypatch.setattr(alignment, "diagonals", lambda a, b, own=alignment.diagonals: resolved.append(len(a)) or own(a, b))
+    texts = ["one twofold unresolvable " * 50 + "one", "", "twofold two  spaces", "unresolvable\x00 one"]
+    for chosen in (texts, texts[::-1], texts[:1]):
+        x = alignment.aligned(pa.array(chosen), *encoders)
+        assert alignment.group_texts(x).to_pylist() == [written(libraries.groups(t)) for t in chosen]
+    assert len(encoded) == 2 * len(set(encoded)) and max(resolved) < 100
+    # Beyond the bounds of what a worker keeps, chunks are encoded anew, with the same result.
+    monkeypatch.setattr(alignment, "HELD_BYTES", 0)
+    x = alignment.aligned(pa.array(["a chunk not seen before", *texts]), *encoders)
+    assert not encoders[0].table.places and alignment.group_texts(x).to_pylist()[1:] == [written(libraries.groups(t)) for t in texts]
+
+
 def test_alignment_of_an_empty_table(docs):
     assert alignment.align(docs.where("false"), BYTES, PIECES).count() == 0
     assert got(alignment.align(docs.where("doc_id IS NULL AND text = ''").unionByName(docs.where("text = ''")), BYTES, PIECES), *COUNTS[1:], "groups") == Counter({(0, 0, 0, 0, 0, 0, ""): 1})

@@ -6,10 +6,11 @@ index shift, a diagonal. `diagonals` compares the arrays at the present shift in
 and halve once they do not, so a stretch of n such groups costs about log n comparisons of memory. Where they
 disagree, the group is resolved locally by advancing the array that is behind until both meet, which gives the new shift.
 
-A chunk of text between two words is a token border of both tokenizers, so a slice of texts is encoded once per distinct
-chunk. How often tokens are linked is counted over the corpus: every slice keeps its pairs with the number of its texts
-that have them, Spark sums these by pair, and sends each slice the counts of its own pairs, so no task holds the table of all
-pairs and a pair that every text has is one row per slice.
+A chunk of text between two words is a token border of both tokenizers, so a slice of texts is encoded and resolved into
+groups once per distinct chunk, and a worker keeps the tokens of chunks of earlier slices, up to a bound. How often
+tokens are linked is counted over the corpus: every slice keeps its pairs with the number of its texts that have them,
+Spark sums these by pair, and sends each slice the counts of its own pairs, so no task holds the table of all pairs and a
+pair that every text has is one row per slice.
 """
 
 from __future__ import annotations
@@ -30,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.blocks import pack, unpack
-from vacantia.llm.texts import codes_of, gather, slices, worker_state
+from vacantia.llm.texts import WordTable, codes_of, gather, slices, sums, worker_state
 from vacantia.session import stage
 
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 LARGE_GROUP = 256
 ENCODED = 1 << 13
+MOST_STRINGS, HELD_BYTES = 300_000, 8 << 20
 SPACE_MARK = "▁"
 
 
@@ -93,26 +95,40 @@ class Pieces:
 
 @dataclass
 class Encoder:
-    """A tokenizer with the length of each token in bytes."""
+    """A tokenizer with the length of each token in bytes, and the ids of strings seen before."""
 
     tokenizer: ByteLevel | Pieces
 
     def __post_init__(self):
         self.lengths = np.array([len(b) for b in self.tokenizer.bytes], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.data = np.frombuffer(b"".join(self.tokenizer.bytes), np.uint8)
+        self.table, self.held = WordTable(self.encode_new, MOST_STRINGS), 0
 
-    def encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all strings, where those of each start, and whether its tokens are made of the string's own bytes."""
+    def encode_new(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings and how many each has: none if its tokens are not made of the string's own bytes."""
         rows = self.tokenizer.encode(strings)
-        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))))
-        ids = np.fromiter(chain.from_iterable(rows), np.int64, int(starts[-1]))
-        made = np.concatenate(([0], np.cumsum(self.lengths[ids])))[starts]
-        own = np.concatenate(([0], np.cumsum(np.fromiter((len(s.encode()) for s in strings), np.int64, len(strings)))))
-        of = self.tokenizer.bytes
-        if (made == own).all() and b"".join(of[i] for i in ids.tolist()) == "".join(strings).encode():
-            same = np.ones(len(strings), bool)
-        else:
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        ids = np.fromiter(chain.from_iterable(rows), np.int64, int(counts.sum()))
+        data = np.frombuffer("".join(strings).encode(), np.uint8)
+        own = pc.binary_length(pa.array(strings, pa.string())).to_numpy().astype(np.int64)
+        self.held += len(data)
+        made = sums(self.lengths[ids], np.concatenate(([0], np.cumsum(counts))))
+        if not ((made == own).all() and (self.data[gather(self.begins, self.lengths, ids)[0]] == data).all()):
+            of = self.tokenizer.bytes
             same = np.fromiter((b"".join(of[i] for i in row) == s.encode() for row, s in zip(rows, strings, strict=True)), bool, len(rows))
-        return ids, starts, same
+            ids, counts = ids[np.repeat(same, counts)], np.where(same, counts, 0)
+        return ids, counts
+
+    def encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings, and where those of each start. A string that is not made of its tokens' bytes has none."""
+        places, table = self.table.look_up(strings), self.table
+        at, starts = gather(np.cumsum(table.counts) - table.counts, table.counts, places)
+        ids = table.ids[at].astype(np.int64)
+        if self.held > HELD_BYTES:  # it starts anew, which changes no result
+            table.clear()
+            self.held = 0
+        return ids, starts
 
 
 def encoders(first: bytes, second: bytes) -> tuple[Encoder, Encoder]:
@@ -217,26 +233,31 @@ def aligned(texts: pa.Array, first: Encoder, second: Encoder) -> Aligned:
     strings = chunks.dictionary.to_pylist()
     doc = np.flatnonzero(full)[np.searchsorted(bounds, cuts, side="right") - 1]
     tables = [e.encode(strings) for e in (first, second)]
-    right = tables[0][2] & tables[1][2]
+    right = (np.diff(tables[0][1]) > 0) & (np.diff(tables[1][1]) > 0)
     wrong = np.zeros(n, bool)
     wrong[doc[~right[codes]]] = True
     codes, doc = codes[~wrong[doc]], doc[~wrong[doc]]
+    # Groups end with every chunk, so those of the distinct chunks are found once and laid out in text order like the tokens.
+    kept = np.flatnonzero(right)
     flat, starts, ends = [], [], []
-    for encoder, (ids, at, _) in zip((first, second), tables, strict=True):
+    for encoder, (ids, at) in zip((first, second), tables, strict=True):
         counts = np.diff(at)
-        places, _ = gather(at[:-1], counts, codes)
-        flat.append(ids[places])
+        flat.append(ids[gather(at[:-1], counts, codes)[0]])
         starts.append(np.concatenate(([0], np.cumsum(np.bincount(doc, weights=counts[codes], minlength=n).astype(np.int64)))))
-        ends.append(np.cumsum(encoder.lengths[flat[-1]]))
+        ends.append(np.cumsum(encoder.lengths[ids[gather(at[:-1], counts, kept)[0]]]))
     group_a, group_b = diagonals(*ends)
-    starts_groups = np.searchsorted(group_a, starts[0], side="right")
-    return Aligned(*flat, *starts, starts_groups, np.diff(group_a, prepend=0), np.diff(group_b, prepend=0))
+    groups = np.zeros(len(right), np.int64)
+    groups[kept] = np.diff(np.searchsorted(group_a, np.cumsum(np.diff(tables[0][1])[kept]), side="right"), prepend=0)
+    places, _ = gather(np.cumsum(groups) - groups, groups, codes)
+    starts_groups = np.concatenate(([0], np.cumsum(np.bincount(doc, weights=groups[codes], minlength=n).astype(np.int64))))
+    return Aligned(*flat, *starts, starts_groups, np.diff(group_a, prepend=0)[places], np.diff(group_b, prepend=0)[places])
 
 
 def group_texts(x: Aligned) -> pa.Array:
     """Groups of each text as `a1,a2|b1;a3|b2,b3`."""
     def written(ids: np.ndarray, last: np.ndarray, between: str, behind: str) -> pa.Array:
-        distinct, at = np.unique(ids, return_inverse=True)
+        there = np.bincount(ids) > 0
+        distinct, at = np.flatnonzero(there), (np.cumsum(there) - 1)[ids]
         strings = pa.array([f"{i}{between}" for i in distinct.tolist()] + [f"{i}{behind}" for i in distinct.tolist()], pa.string())
         return strings.take(pa.array(at + len(distinct) * last))
 
