@@ -1,5 +1,6 @@
 """The word model of operator 3 against its definition, and what a model of characters cannot see."""
 
+import os
 import random
 from collections import Counter
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 
 from vacantia.llm import perplexity, word_grams
+from vacantia.session import stage_folder
 
 B, E, U = "<begin>", "<end>", "<unknown>"
 
@@ -79,3 +81,28 @@ def test_words_in_any_order_do_not_pass(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
     out = {r.doc_id: r.kept for r in perplexity.quality_by_perplexity(spark.createDataFrame(data, "doc_id long, text string, lang string"), labels).collect()}
     assert sum(out[i] for i in range(100, 150)) >= 47 and not any(out[1000 + i] for i in range(len(mixed)))
+
+
+def test_keys_are_those_of_spark(spark):
+    rng = np.random.default_rng(3)
+    grams = np.concatenate((rng.integers(0, 2**64, (50, word_grams.ORDER), np.uint64), np.zeros((1, word_grams.ORDER), np.uint64)))
+    df = spark.createDataFrame([tuple(g) for g in grams.view(np.int64).tolist()], word_grams.GRAMS)
+    want = [r[0] for r in df.coalesce(1).select(word_grams.key_of([df[n] for n in word_grams.NAMES])).collect()]
+    assert word_grams.keys_of(grams).view(np.int64).tolist() == want
+
+
+def test_parts_and_shards_change_nothing_and_only_scores_stay(spark, monkeypatch):
+    rng = random.Random(6)
+    data = [(i, " ".join(chain(rng, 60) + [f"once{i}"] * (i % 3 == 0)), ("en", "de", None)[i % 3]) for i in range(90)] + [(1, None, "en"), (None, "", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(6)
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    of = lambda: sorted(map(tuple, perplexity.quality_by_perplexity(docs, labels).collect()), key=str)
+    want = of()
+    folder = os.path.join(stage_folder(spark).removeprefix("file:"), "vacantia")
+    before = set(os.listdir(folder))
+    monkeypatch.setattr(perplexity, "BLOCKS_PER_ROUND", 1)
+    monkeypatch.setattr(word_grams, "KEYS_PER_SHARD", 1 << 15)
+    got = of()
+    assert len(got) == len(data) and got == want
+    left = set(os.listdir(folder)) - before
+    assert len(left) == perplexity.ROUNDS and all(name.startswith("scores-") for name in left)

@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from vacantia.llm import word_grams
 from vacantia.llm.texts import codes_of, mixed, slices, worker_state
 from vacantia.llm.word_grams import discounts
-from vacantia.session import stage, stage_folder
+from vacantia.session import Stages, stage, without_old_shuffles
 
 ORDER = 5
 BEGIN, END = "\x02", "\x03"
@@ -38,6 +38,8 @@ CACHE_SHARDS = 6
 MAX_BROADCAST_ROWS = 2_000_000
 SCORE_BYTES = 2 << 20
 STEPS = 1000
+#: Blocks are scored in so many parts, one after the other, so that the shuffles of all do not lie on the disk at once.
+ROUNDS, BLOCKS_PER_ROUND = 4, 8
 
 
 def grams(texts: pa.Array, langs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -87,7 +89,7 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
-def model_rows(counts: DataFrame) -> DataFrame:
+def model_rows(counts: DataFrame, write: word_grams.Write = stage) -> DataFrame:
     """(lang, gram, size, prob, value): log probability of a gram's last character, or log back-off weight of a context.
 
     `size` is the gram's length; the weight of the empty context and the even probability of an unseen character have
@@ -96,18 +98,18 @@ def model_rows(counts: DataFrame) -> DataFrame:
     by_size = {ORDER: counts}
     for size in range(ORDER - 1, 0, -1):
         shorter = by_size[size + 1].groupBy("lang", F.substring("gram", 2, size).alias("gram")).agg(F.count("*").alias("c"))
-        by_size[size] = stage(shorter, "grams")
+        by_size[size] = write(shorter, "grams")
     lower = by_size[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p")).select("lang", F.lit("").alias("gram"), "p")
     out = lower.select("lang", "gram", F.lit(0).alias("size"), F.lit(True).alias("prob"), F.log("p").alias("value"))
     for size in range(1, ORDER + 1):
         d = discounts(by_size[size])
         taken = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         seen = by_size[size].withColumn("context", F.substring("gram", 1, size - 1)).withColumn("taken", taken)
-        contexts = stage(seen.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("taken") / F.sum("c")).alias("left")), "contexts")
+        contexts = write(seen.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("taken") / F.sum("c")).alias("left")), "contexts")
         shorter = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("shorter"))
         level = seen.withColumn("suffix", F.substring("gram", 2, size - 1)).join(contexts, ["lang", "context"]).join(shorter, ["lang", "suffix"])
         p = (F.col("c") - F.col("taken")) / F.col("total") + F.col("left") * F.col("shorter")
-        lower = stage(level.select("lang", "gram", p.alias("p")), "levels")
+        lower = write(level.select("lang", "gram", p.alias("p")), "levels")
         out = out.union(lower.select("lang", "gram", F.lit(size), F.lit(True), F.log("p")))
         out = out.union(contexts.select("lang", F.col("context").alias("gram"), F.lit(size - 1), F.lit(False), F.log("left")))
     return out
@@ -127,7 +129,7 @@ def keys(shape: np.ndarray, lang_hash: np.ndarray, prob: bool) -> np.ndarray:
     return key
 
 
-def write_model(rows: DataFrame, folder: str) -> tuple[str, int]:
+def write_model(rows: DataFrame, folder: str, write: word_grams.Write = stage) -> tuple[str, int]:
     """The model as sorted shards by hash, at about SHARD_ROWS rows each; gives folder and number of shards."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +145,7 @@ def write_model(rows: DataFrame, folder: str) -> tuple[str, int]:
                     out[at] = keys(shape, lang_hash[at], kind)
             yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), batch.column("value")], ["key", "value"])
 
-    rows = stage(rows, "model")
+    rows = write(rows, "model")
     shards = max(1, math.ceil(rows.count() / SHARD_ROWS))
     hashed = rows.mapInArrow(run, "key long, value double").withColumn("shard", F.pmod("key", F.lit(shards)))
     hashed.repartition(shards, "shard").sortWithinPartitions("shard", "key").write.partitionBy("shard").parquet(folder)
@@ -213,14 +215,15 @@ def scored(docs: DataFrame, folder: str, shards: int) -> DataFrame:
     return docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, n_chars long, perplexity double")
 
 
-def unknown_words(uses: DataFrame) -> DataFrame:
+def unknown_words(uses: DataFrame, write: word_grams.Write = stage) -> DataFrame:
     """(block, symbol, spelled) of the words outside the vocabulary, with the log probability of their spelling."""
     words = uses.groupBy("symbol", "lang", "word").agg(F.sum("c").alias("c"))
-    rare = stage(words.where(F.col("c") < word_grams.MIN_COUNT), "rare-words").withColumnRenamed("word", "text")
-    counts = stage(gram_counts(rare.where("c > 0")), "grams")
-    folder, shards = write_model(model_rows(counts), f"{stage_folder(uses.sparkSession).rstrip('/')}/vacantia/model-{uuid.uuid4().hex}")
-    spelled = scored(rare.withColumnRenamed("symbol", "doc_id"), folder, shards)
-    spelled = stage(spelled.select(F.col("doc_id").alias("symbol"), (-(F.col("n_chars") + 1) * F.log("perplexity")).alias("spelled")), "spelled")
+    rare = write(words.where(F.col("c") < word_grams.MIN_COUNT), "rare-words").withColumnRenamed("word", "text")
+    with Stages(uses.sparkSession) as passing:
+        counts = passing(gram_counts(rare.where("c > 0")), "grams")
+        folder, shards = write_model(model_rows(counts, passing), f"{passing.folder}/shards", passing)
+        spelled = scored(rare.withColumnRenamed("symbol", "doc_id"), folder, shards)
+        spelled = write(spelled.select(F.col("doc_id").alias("symbol"), (-(F.col("n_chars") + 1) * F.log("perplexity")).alias("spelled")), "spelled")
     return uses.select("block", "symbol").join(spelled, "symbol").select("block", "symbol", "spelled")
 
 
@@ -258,10 +261,17 @@ def quality_by_perplexity(docs: DataFrame, labels: DataFrame, quantile: float =
     """
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
-    blocks = word_grams.blocks_of(with_training_mark(rows, labels, fold > 0))
-    coded = word_grams.coded_blocks(blocks, unknown_words(word_grams.word_uses(blocks)))
-    model = word_grams.model_of(word_grams.gram_counts(coded))
-    scores = stage(word_grams.scored(coded, model), "scores")
+    spark = docs.sparkSession
+    # Tables and shuffles go as soon as the next table is written, so that they do not lie on the disk side by side.
+    with without_old_shuffles(spark), Stages(spark) as lasting:
+        with Stages(spark) as passing:
+            blocks = word_grams.blocks_of(with_training_mark(rows, labels, fold > 0), passing)
+            coded = word_grams.coded_blocks(blocks, unknown_words(word_grams.word_uses(blocks, passing), passing), lasting)
+        with Stages(spark) as passing:
+            model = word_grams.model_of(word_grams.gram_counts(coded, passing), lasting, passing)
+        rounds = max(1, min(ROUNDS, coded.count() // BLOCKS_PER_ROUND))
+        of_round = F.pmod(F.xxhash64("block"), F.lit(rounds))
+        scores = reduce(DataFrame.union, [stage(word_grams.scored(coded.where(of_round == r), model), "scores") for r in range(rounds)])
     limits = thresholds(joined_with_labels(scores, labels).where(fold == 0), quantile, margin)
     out = scores.join(limits, "lang", "left")
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))

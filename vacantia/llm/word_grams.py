@@ -3,14 +3,15 @@
 Documents are packed in blocks of bounded size. A symbol is the hash of a language and a word; words seen less than
 MIN_COUNT times in all trusted text of their language share one symbol, so the vocabulary is known before grams are
 counted. Every block reduces its text to distinct grams before anything moves. Counts, continuation counts and contexts
-are aggregated by gram in Spark and never collected. For scoring, the distinct grams of each block are joined with
-the finished table by key, and what was found returns to the block, so a task holds one block and its own grams only.
+are aggregated by gram in Spark and never collected. For scoring, the sorted keys of each block's distinct grams are cut into
+shards by their first bits and packed, joined by shard with the finished table, and what was found returns packed to the
+block, so a task holds one block and its own grams, or one shard of bounded size.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,11 @@ BLOCK_BYTES = 2 << 20
 #: Symbols that no word has: before and behind a text, a word outside the vocabulary, and the language itself.
 BEGIN, END, UNKNOWN, LANGUAGE = range(1, 5)
 GRAM, CONTEXT, EVEN = range(3)
+#: About as many distinct grams a block has, and a shard has keys of all blocks.
+KEYS_PER_BLOCK, KEYS_PER_SHARD = 1 << 19, 1 << 20
+
+#: How an intermediate table is written.
+Write = Callable[[DataFrame, str], DataFrame]
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -60,7 +66,7 @@ def symbols_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return words.starts, number, symbol, words.unique.take(pa.array(of_pair % size)), of_pair // size, lang, coded.dictionary
 
 
-def blocks_of(docs: DataFrame) -> DataFrame:
+def blocks_of(docs: DataFrame, write: Write = stage) -> DataFrame:
     """(block, payload), written once, of doc_id, text, lang and train."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,10 +75,10 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([pack(batch)], pa.binary())], ["block", "payload"])
             block += 1
 
-    return stage(docs.select("doc_id", "text", "lang", "train").mapInArrow(run, "block long, payload binary"), "text-blocks")
+    return write(docs.select("doc_id", "text", "lang", "train").mapInArrow(run, "block long, payload binary"), "text-blocks")
 
 
-def word_uses(blocks: DataFrame) -> DataFrame:
+def word_uses(blocks: DataFrame, write: Write = stage) -> DataFrame:
     """(block, symbol, lang, word, c): the distinct words of each block and how often its training texts have them; written once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,13 +91,13 @@ def word_uses(blocks: DataFrame) -> DataFrame:
                 columns = [np.full(len(symbol), block), symbol.view(np.int64), names.take(pa.array(of_lang)), word, counts]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["block", "symbol", "lang", "word", "c"])
 
-    return stage(blocks.mapInArrow(run, "block long, symbol long, lang string, word string, c long"), "word-uses")
+    return write(blocks.mapInArrow(run, "block long, symbol long, lang string, word string, c long"), "word-uses")
 
 
 CODED = "block long, docs binary, symbols binary, words binary"
 
 
-def coded_blocks(blocks: DataFrame, unknown: DataFrame) -> DataFrame:
+def coded_blocks(blocks: DataFrame, unknown: DataFrame, write: Write = stage) -> DataFrame:
     """Blocks as symbols instead of text, written once. `unknown` has (block, symbol, spelled): words outside the vocabulary and the log
     probability of their spelling."""
 
@@ -119,7 +125,7 @@ def coded_blocks(blocks: DataFrame, unknown: DataFrame) -> DataFrame:
         return pa.table([pa.array(c, k) for c, k in zip(columns.values(), kinds, strict=True)], list(columns))
 
     joined = blocks.groupBy("block").cogroup(unknown.groupBy("block")).applyInArrow(run, CODED)
-    return stage(joined, "coded-blocks")
+    return write(joined, "coded-blocks")
 
 
 class Sequences:
@@ -185,7 +191,7 @@ NAMES = [f"g{i}" for i in range(ORDER)]
 GRAMS = ", ".join(f"{n} long" for n in NAMES)
 
 
-def gram_counts(coded: DataFrame) -> DataFrame:
+def gram_counts(coded: DataFrame, write: Write = stage) -> DataFrame:
     """(lang, g0, g1, ..., c) of the training texts, summed per block before the shuffle; `lang` is the language's symbol."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +205,14 @@ def gram_counts(coded: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], ["lang", *NAMES, "c"])
 
     rows = coded.mapInArrow(run, f"lang long, {GRAMS}, c long")
-    return stage(rows.groupBy("lang", *NAMES).agg(F.sum("c").alias("c")), "word-grams")
+    return write(rows.groupBy("lang", *NAMES).agg(F.sum("c").alias("c")), "word-grams")
 
 
 def key_of(columns: list[Column]) -> Column:
     return F.xxhash64(*[F.lit(0).cast("long")] * (ORDER - len(columns)), *columns)
 
 
-def model_of(counts: DataFrame) -> DataFrame:
+def model_of(counts: DataFrame, write: Write = stage, write_level: Write = stage) -> DataFrame:
     """(key, kind, x, y): the discounted count of a gram; the count of a context and the share that was taken off what follows
     it; or the even probability of any word of a language. Written once."""
     out, level = None, counts
@@ -222,25 +228,112 @@ def model_of(counts: DataFrame) -> DataFrame:
         if size == 1:
             found = found.union(seen.groupBy("lang").agg((1 / (F.count("*") + 1)).alias("x")).select(key_of([F.col("lang")]), F.lit(EVEN), "x", F.lit(0.0)))
         else:
-            level = stage(seen.groupBy("lang", *names[1:]).agg(F.count("*").alias("c")), "word-grams")
+            level = write_level(seen.groupBy("lang", *names[1:]).agg(F.count("*").alias("c")), "word-grams")
         out = found if out is None else out.union(found)
-    return stage(out, "word-model")
+    return write(out, "word-model")
+
+
+def turned(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def keys_of(grams: np.ndarray) -> np.ndarray:
+    """What `key_of` gives in Spark, for rows of symbols: XXH64 of one after the other, each with the hash before as its seed."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    out = np.full(len(grams), 42, np.uint64)
+    for column in grams.T:
+        out = (out + p5 + np.uint64(8)) ^ turned(column * p2, 31) * p1
+        out = turned(out, 27) * p1 + p4
+        out = (out ^ out >> np.uint64(33)) * p2
+        out = (out ^ out >> np.uint64(29)) * p3
+        out ^= out >> np.uint64(32)
+    return out
+
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers, compressed with their first bytes together, then their second, and so on."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T)
+    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
 
-def wanted_grams(coded: DataFrame) -> DataFrame:
-    """(block, i, key): the distinct grams of each block, those of one symbol first."""
+
+def unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8) if n else np.empty(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def grams_of(x: Sequences) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the distinct grams of a block, and which gram each is, those of one symbol first."""
+    keys = keys_of(np.concatenate([x.table[n] for n in range(1, ORDER + 1)]))
+    order = np.argsort(keys)
+    return keys[order], order
+
+
+def wanted_grams(coded: DataFrame, bits: int) -> DataFrame:
+    """(shard, block, n, keys): the keys of the distinct grams of each block, by their first `bits` bits."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = row.pop("block")
-                x, _ = sequences(**row, train=False)
-                grams = np.concatenate([x.table[n] for n in range(1, ORDER + 1)])
-                columns = [pa.array(np.full(len(grams), block)), pa.array(np.arange(len(grams), dtype=np.int32)), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in grams.T)]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "i", *NAMES])
-
-    rows = coded.mapInArrow(run, f"block long, i int, {GRAMS}")
-    return rows.select("block", "i", F.xxhash64(*NAMES).alias("key"))
+                keys, _ = grams_of(sequences(**row, train=False)[0])
+                shard = keys >> np.uint64(64 - bits)
+                ends = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(keys)]
+                rows = [(int(shard[a]), b - a, packed(np.diff(keys[a:b], prepend=np.uint64(0)))) for a, b in zip(ends, ends[1:], strict=False) if a < b]
+                columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "n", "keys"])
+
+    return coded.mapInArrow(run, "shard long, block long, n int, keys binary")
+
+
+KINDS = {"gram": GRAM, "context": CONTEXT, "even": EVEN}
+FOUND = "block long, shard long, n int, " + ", ".join(f"{name}_n int, {name} binary, {name}_x binary, {name}_y binary" for name in KINDS)
+
+
+def found_grams(wanted: DataFrame, model: DataFrame, bits: int) -> DataFrame:
+    """Per block and shard, for each key sent to it, in order, what the model has of each kind, zeros if nothing: the number of a pair
+    of values, and the distinct pairs, which are few."""
+
+    def run(wanted: pa.Table, model: pa.Table) -> pa.Table:
+        sizes = wanted.column("n").to_pylist()
+        keys = np.concatenate([np.empty(0, np.uint64), *(np.cumsum(unpacked(k, n, "<u8"), dtype=np.uint64) for k, n in zip(wanted.column("keys").to_pylist(), sizes, strict=True))])
+        known, kind = model.column("key").to_numpy().view(np.uint64), model.column("kind").to_numpy()
+        x, y = (np.append(model.column(c).to_numpy(), 0.0) for c in ("x", "y"))
+        (number_x, _), (number_y, several) = codes_of(x), codes_of(y)
+        pair = number_x * several + number_y
+        ends = np.cumsum([0, *sizes]).tolist()
+        out = {c: wanted.column(c) for c in ("block", "shard", "n")}
+        for name, which in KINDS.items():
+            rows = np.flatnonzero(kind == which)
+            rows = rows[np.argsort(known[rows])]
+            at = np.full(len(keys), len(x) - 1)
+            if len(rows):
+                place = rows[np.minimum(np.searchsorted(known[rows], keys), len(rows) - 1)]
+                at = np.where(known[place] == keys, place, at)
+            parts = []
+            for a, b in zip(ends, ends[1:], strict=False):
+                number, n = codes_of(pair[at[a:b]])
+                one = np.empty(n, np.int64)
+                one[number] = at[a:b]
+                parts.append((n, packed(number.astype("<u4")), packed(x[one]), packed(y[one])))
+            for i, (c, t) in enumerate(((f"{name}_n", pa.int32()), (name, pa.binary()), (f"{name}_x", pa.binary()), (f"{name}_y", pa.binary()))):
+                out[c] = pa.array([part[i] for part in parts], t)
+        return pa.table(out)
+
+    sharded = model.withColumn("shard", F.shiftrightunsigned("key", 64 - bits))
+    return wanted.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(run, FOUND)
+
+
+def values_of(found: list[dict], name: str, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both values of each gram of a block, from what its shards found."""
+    out = np.zeros(len(order)), np.zeros(len(order))
+    start = 0
+    for part in found:
+        number = unpacked(part[name], part["n"], "<u4")
+        for i, c in enumerate("xy"):
+            out[i][order[start : start + part["n"]]] = unpacked(part[f"{name}_{c}"], part[f"{name}_n"], "<f8")[number]
+        start += part["n"]
+    return out
 
 
 def scored(coded: DataFrame, model: DataFrame) -> DataFrame:
@@ -248,20 +341,19 @@ def scored(coded: DataFrame, model: DataFrame) -> DataFrame:
 
     def run(block: pa.Table, found: pa.Table) -> pa.Table:
         out = []
+        parts = sorted(found.to_pylist(), key=lambda part: part["shard"])
         for row in block.select(["docs", "symbols", "words"]).to_pylist():
             x, docs = sequences(**row, train=False)
             sizes = np.cumsum([0, *(len(x.table[n]) for n in range(1, ORDER + 1))])
-            i, kind, first, second = (found.column(c).to_numpy() for c in ("i", "kind", "x", "y"))
-            values = {}
-            for name, which, value in (("gram", GRAM, first), ("total", CONTEXT, first), ("left", CONTEXT, second), ("even", EVEN, first)):
-                values[name] = np.zeros(sizes[-1])
-                values[name][i[kind == which]] = value[kind == which]
-            p = values["even"][x.context[0]]
+            _, order = grams_of(x)
+            count, _ = values_of(parts, "gram", order)
+            total_of, left_of = values_of(parts, "context", order)
+            p = values_of(parts, "even", order)[0][x.context[0]]
             p = np.where(p > 0, p, 1e-4)
             for n in range(1, ORDER + 1):
                 context = x.context[n - 1] + (sizes[n - 2] if n > 1 else 0)
-                total, left = values["total"][context], values["left"][context]
-                p = np.where(total > 0, values["gram"][x.number[n] + sizes[n - 1]] / np.maximum(total, 1) + left * p, p)
+                total, left = total_of[context], left_of[context]
+                p = np.where(total > 0, count[x.number[n] + sizes[n - 1]] / np.maximum(total, 1) + left * p, p)
             n_words = docs.column("n_words").to_numpy()
             logs = np.bincount(x.doc, np.log(p), docs.num_rows) + docs.column("spelled").to_numpy()
             perplexity = np.exp(np.minimum(-logs / (n_words + 1), math.log(1e300)))
@@ -269,5 +361,7 @@ def scored(coded: DataFrame, model: DataFrame) -> DataFrame:
             out.append(pa.table([docs.column("doc_id"), docs.column("lang"), docs.column("n_chars"), value], ["doc_id", "lang", "n_chars", "perplexity"]))
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "n_chars": pa.array([], pa.int64()), "perplexity": pa.array([], pa.float64())})
 
-    found = wanted_grams(coded).join(model, "key").select("block", "i", "kind", "x", "y")
+    keys = max(coded.count() * KEYS_PER_BLOCK, model.count())
+    bits = max(1, math.ceil(math.log2(max(1, keys / KEYS_PER_SHARD))))
+    found = found_grams(wanted_grams(coded, bits), model, bits)
     return coded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, "doc_id long, lang string, n_chars long, perplexity double")
